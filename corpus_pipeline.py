@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, decontaminate, quality_rules
+from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules
 from quillframe.llm._common import durable
 
 
@@ -15,6 +14,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without lines that repeat earlier ones, and without documents of which nothing is left."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of which less than a twentieth occurs in the benchmark, word for word."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -25,7 +34,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", quality), ("decontamination", decontaminated), ("byte_bpe", tokens)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", decontaminated), ("byte_bpe", tokens)]
 
 #: Weak supervision, sketches and tokens are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None

@@ -279,3 +279,11 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     """phrase_matches over a stored index of docs, and contaminated: a hit, and at least one word in ``share`` hit."""
     found = phrase_matches(durable(build_index(docs)), items)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
+    """The rows of docs that contamination does not mark, with all their columns."""
+    key = F.xxhash64("doc_id", "text")
+    marked = contamination(docs.select(key.alias("doc_id"), "text"), items, share).where("contaminated")
+    marked = durable(marked.select(F.col("doc_id").alias("__key")).distinct())
+    return docs.withColumn("__key", key).join(marked, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

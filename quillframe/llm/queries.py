@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, decontaminate, quality_rules
+from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +27,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    numbers = [F.size(c).cast("long").alias(f"n_{c}") for c in ("exact", "near")]
+    return report.select("doc_id", "n_lines", *numbers, *(F.concat_ws(",", F.col(c).cast("array<string>")).alias(f"{c}_lines") for c in ("exact", "near")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
+    "op4_order_minhash": op4_order_minhash,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_line_dedup": op6_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
