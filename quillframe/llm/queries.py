@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules
+from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, pii, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,26 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_lines", *numbers, *(F.concat_ws(",", F.col(c).cast("array<string>")).alias(f"{c}_lines") for c in ("exact", "near")))
 
 
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shards_by_bytes(table(spark, sf_dir, "documents"), 8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.array_remove(F.transform("base_spans", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
     "op4_order_minhash": op4_order_minhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_histogram_shards": op7_histogram_shards,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
