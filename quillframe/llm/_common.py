@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples of Python values, a slice at a time."""
     for batch in batches:

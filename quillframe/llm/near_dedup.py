@@ -11,7 +11,7 @@ Equal word sequences are one document from the start. A bucket of up to ``BUCKET
 task, which emits the links of a spanning forest. A larger bucket is split into chunks of that size, each joined by
 the bucket's smallest document, and its members are bucketed again by this and the next sketch, and so on for
 ``DEPTH`` sketches; thus members that do not resemble the smallest document still meet those that they resemble.
-Sets of documents that meet in several buckets are searched once.
+Sets of documents that meet in several buckets are searched once, and what earlier links connect is not compared again.
 
 Defined results: a text without words is in a class with rows of equal text only; null and empty texts, and rows
 without id, are alone (class: own id); a text of fewer than five words has its equals only; rows that repeat an id
@@ -169,9 +169,13 @@ class Text:
         return edit_distance(self.words.tolist(), other.words.tolist(), most) <= most
 
 
-def forest(texts: list[Text]) -> list[tuple[int, int]]:
-    """Links of a spanning forest: pairs already connected need no link of their own, every other pair is compared."""
-    root = list(range(len(texts)))
+def forest(texts: list[Text], classes: list[int]) -> list[tuple[int, int]]:
+    """Links that, with those which made ``classes``, span the documents' components.
+
+    Pairs already connected need no link of their own; every other pair is compared.
+    """
+    first: dict[int, int] = {}
+    root = [first.setdefault(c, k) for k, c in enumerate(classes)]
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -211,47 +215,84 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, exact binary, sketch array<long>")
 
 
-def candidate_sets(unique: DataFrame) -> DataFrame:
-    """(set, doc_id): sets of at most about BUCKET + 1 documents of ``unique`` (doc_id, sketch) that share sketches."""
+def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What shares sketches among the documents of ``unique`` (doc_id, sketch).
+
+    (depth, docs): the members of each small bucket; (depth, least, doc_id): each other member of a large one and its
+    smallest document.
+    """
     indexed = unique.where(F.size("sketch") > 0).select("doc_id", F.posexplode("sketch").alias("at", "own"))
     members = indexed.select("doc_id", "at", F.xxhash64("at", "own").alias("bucket"))
     small, large = [], []
     for depth in range(1, DEPTH + 1):
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
         found = durable(members.join(sizes, "bucket"))
-        small.append(found.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs")).select("docs"))
+        docs = found.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+        small.append(docs.groupBy("docs").agg(F.lit(depth).alias("depth")))
         hot = found.where(F.col("n") > BUCKET)
-        large.append(hot.where("doc_id != least").select("least", "doc_id"))
+        large.append(hot.where("doc_id != least").select(F.lit(depth).alias("depth"), "least", "doc_id"))
         if depth == DEPTH or hot.isEmpty():
             break
         again = hot.select("doc_id", "at", "bucket").join(unique, "doc_id")
         members = again.select("doc_id", "at", F.xxhash64("bucket", F.expr(f"sketch[(at + {depth}) % {SKETCHES}]")).alias("bucket"))
-    docs = small[0]
-    pairs = large[0]
-    for more_docs, more_pairs in zip(small[1:], large[1:], strict=True):
-        docs, pairs = docs.unionAll(more_docs), pairs.unionAll(more_pairs)
-    docs = docs.distinct().select(F.xxhash64("docs").alias("set"), F.explode("docs").alias("doc_id"))
-    # A large bucket's smallest document meets the others in chunks.
-    pairs = durable(pairs.distinct())
+    sets, pairs = small[0], large[0]
+    for more_sets, more_pairs in zip(small[1:], large[1:], strict=True):
+        sets, pairs = sets.unionByName(more_sets), pairs.unionByName(more_pairs)
+    sets = sets.groupBy("docs").agg(F.min("depth").alias("depth"))
+    pairs = pairs.groupBy("least", "doc_id").agg(F.min("depth").alias("depth"), F.count("*").alias("times"))
+    return durable(sets), durable(pairs)
+
+
+def chunked(pairs: DataFrame) -> DataFrame:
+    """(set, doc_id): the partners of each ``least`` in sets of about BUCKET, each with that document."""
     chunks = pairs.groupBy("least").agg(F.ceil(F.count("*") / BUCKET).alias("chunks"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     dealt = pairs.join(chunks, "least").select(F.xxhash64("least", chunk).alias("set"), "doc_id")
     centres = chunks.select("least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    return docs.unionAll(dealt).unionAll(centres.select(F.xxhash64("least", "chunk").alias("set"), F.col("least").alias("doc_id"))).distinct()
+    return dealt.unionAll(centres.select(F.xxhash64("least", "chunk").alias("set"), F.col("least").alias("doc_id")))
 
 
-def links(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): verified links inside the sets, a spanning forest of each."""
+def exploded(sets: DataFrame) -> DataFrame:
+    return sets.select(F.xxhash64("docs").alias("set"), F.explode("docs").alias("doc_id"))
+
+
+def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): verified links inside the sets (set, doc_id), a spanning forest of each; texts: doc_id, text, class."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
         known, ids = Words(), group.column("doc_id").to_pylist()
-        found = forest([Text(t, known) for t in group.column("text").to_pylist()])
+        found = forest([Text(t, known) for t in group.column("text").to_pylist()], group.column("class").to_pylist())
         return pa.Table.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], schema=arrow)
 
+    return durable(texts.join(sets.distinct(), "doc_id").select("set", "doc_id", "text", "class").groupBy("set").applyInArrow(search, "a long, b long"))
+
+
+def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): links that connect every class of the documents of ``unique`` (doc_id, sketch).
+
+    First the small buckets of one sketch are searched, and each member of large ones meets the document it meets most
+    often; then everything that these links have not put in one class yet.
+    """
+    sets, pairs = buckets(unique)
+    wanted = sets.select(F.explode("docs").alias("doc_id")).unionAll(pairs.select("doc_id")).unionAll(pairs.select("least")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return texts.join(sets, "doc_id").select("set", "doc_id", "text").groupBy("set").applyInArrow(search, "a long, b long")
+    texts = durable(texts.join(wanted.hint("merge"), "doc_id"))  # the same plan at any size: a broadcast would grow with the corpus
+    most = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("least")).alias("other"))).alias("most"))
+    first = exploded(sets.where("depth = 1")).unionAll(chunked(most.select((-F.col("most.other")).alias("least"), "doc_id")))
+    found = links(first, texts.withColumn("class", F.col("doc_id")))
+    classed = connected_components(found)
+    label = lambda c: classed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    rest = pairs.join(label("least"), "least", "left").join(label("doc_id"), "doc_id", "left")
+    rest = rest.where(F.coalesce("least_class", "least") != F.coalesce("doc_id_class", "doc_id")).select("least", "doc_id")
+    members = exploded(sets.where("depth > 1")).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
+    mixed_sets = members.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
+    second = durable(chunked(durable(rest)).unionAll(members.join(mixed_sets, "set", "left_semi").select("set", "doc_id")))
+    if second.isEmpty():
+        return found
+    texts = texts.join(label("doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("doc_id_class", "doc_id").alias("class"))
+    return found.unionAll(links(second, texts))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +300,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = durable(sketched(docs, id_col, text_col))
     whole = every.where(F.col("doc_id").isNotNull() & F.col("exact").isNotNull())
     equal = durable(whole.groupBy("exact").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id")))
-    found = links(docs, durable(candidate_sets(equal.select("doc_id", "sketch"))), id_col, text_col)
-    # equal texts hang together by their smallest id; an id with several texts connects them
-    near = connected_components(durable(found))
+    near = connected_components(near_links(docs, equal.select("doc_id", "sketch"), id_col, text_col))
     merged = equal.select("exact", F.col("doc_id").alias("node")).join(near, "node", "left").select("exact", F.coalesce("component", "node").alias("class_id"))
     own = every.join(merged, "exact", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return own.withColumnRenamed("doc_id", id_col)

@@ -93,8 +93,8 @@ def proposals(text: Column, pattern: str) -> Column:
         end = start + F.length(pair["match"])
         return F.struct(end.alias("at"), F.array_append(seen["out"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))).alias("out"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(gaps, i).alias("gap")))
-    found = F.aggregate(pairs, empty, step, lambda seen: seen["out"])
+    pairs = F.arrays_zip(matches.alias("match"), gaps.alias("gap"))  # the last gap has no match
+    found = F.aggregate(F.slice(pairs, 1, F.size(pairs) - 1), empty, step, lambda seen: seen["out"])
     return F.when(text.rlike(pattern), found).otherwise(empty["out"])
 
 

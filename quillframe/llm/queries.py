@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, pii, quality_gam, quality_rules, sharding, url_filter
+from quillframe.llm import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, pii, quality_gam, quality_rules, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_order_minhash": op4_order_minhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
