@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,3 +51,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -7,7 +7,8 @@ deleted or replaced away. Earlier: by document id, then text hash, then line num
 1. Each line becomes a 128-bit key, its number and the hashes of its halves; equal lines are one from here on.
 2. One edit leaves a half of a line as it was. Lines that share no half with a different line drop out: a lossless
    filter, counted by partial aggregation, so a very frequent half or line costs one row a task.
-3. The others emit themselves and every variant with one word deleted, as hashed keys; equal keys are joined, against the earliest line of each key and place: as many rows as variants,
+3. The others emit themselves and every variant with one word outside a shared half deleted, as hashed keys; equal keys
+   are joined, against the earliest line of each key and place: as many rows as variants,
    never all pairs of a group.
 4. Each pair's edit distance is verified on the words themselves.
 
@@ -27,30 +28,32 @@ from pyspark.sql import functions as F
 
 from quillframe.llm._common import durable, rows_of, text_bytes
 
-PLACE = "struct<doc_id:bigint,doc_key:bigint,line:int>"
-
 
 def line_words(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+def halves(m: int) -> list[int]:
+    """Heads (n: the first n words) and tails (-n) of a line of m words, of which one survives any single edit, whichever of two lines is longer."""
+    return [*sorted({m // 2, (m - 1) // 2}), *(-n for n in sorted({m - m // 2, m - 1 - (m - 1) // 2}))]
+
+
 def half_keys(words: list[bytes]) -> list[int]:
-    """Hashes of the heads and tails of which one survives any single edit, whichever of the two lines is longer."""
-    m = len(words)
-    heads, tails = {m // 2, (m - 1) // 2}, {m - m // 2, m - 1 - (m - 1) // 2}
-    parts = [(b"h", words[:n]) for n in sorted(heads)] + [(b"t", words[m - n :]) for n in sorted(tails)]
-    return [signed(xxhash.xxh3_64_intdigest(side + b" ".join(part))) for side, part in parts]
+    return [signed(xxhash.xxh3_64_intdigest(b"h" + b" ".join(words[:n]) if n > 0 else b"t" + b" ".join(words[n:]))) for n in halves(len(words))]
 
 
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def variants(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(key, place): the line itself at -1, and the line without the word at each place."""
+def variants(words: list[bytes], shared: list[int]) -> Iterator[tuple[int, int]]:
+    """(key, place): the line itself at -1, and the line without the word at each place outside a half that it shares (numbers in ``halves``)."""
     yield signed(xxhash.xxh3_64_intdigest(b" ".join(words))), -1
-    for k in range(len(words)):
-        yield signed(xxhash.xxh3_64_intdigest(b" ".join(words[:k] + words[k + 1 :]))), k
+    m = len(words)
+    parts = [halves(m)[k] for k in shared]
+    for k in range(m):
+        if any(k >= n if n > 0 else k < m + n for n in parts):
+            yield signed(xxhash.xxh3_64_intdigest(b" ".join(words[:k] + words[k + 1 :]))), k
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -91,41 +94,49 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, exact_words: int, near_w
     return rows.mapInArrow(lambda b: _batches(lines(rows_of(b, "doc_id", "doc_key", "text")), arrow), "doc_id long, doc_key long, line int, key binary, halves array<long>")
 
 
-def _near_pairs(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(place, earlier): distinct lines and an earlier one within one edit."""
-    halves = distinct.select("place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    wanted = durable(halves.join(shared, "half", "left_semi").groupBy("place.doc_key").agg(F.collect_set("place").alias("places")))
+def _near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_key, line): distinct lines with an earlier one within one edit."""
+    keys = distinct.select("place", F.posexplode("halves").alias("which", "half"))
+    common = keys.groupBy("half").count().where("count > 1").select("half")
+    lines = keys.join(common, "half", "left_semi").groupBy("place").agg(F.collect_set("which").alias("shared"))
+    wanted = lines.groupBy("place.doc_key").agg(F.collect_list(F.struct("place", "shared")).alias("lines"))
 
-    line = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+    schema = "ref long, doc_id long, doc_key long, line int, shared array<int>, words binary"
+    arrow = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("shared", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def texts(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for text, places in rows:
+        for text, lines in rows:
             own = text.split(b"\n")
-            for p in places:
-                yield p["doc_id"], p["doc_key"], p["line"], b" ".join(line_words(own[p["line"]]))
+            for x in lines:
+                p = x["place"]
+                ref = signed(xxhash.xxh3_64_intdigest(b"%d %d" % (p["doc_key"], p["line"])))
+                yield ref, p["doc_id"], p["doc_key"], p["line"], x["shared"], b" ".join(line_words(own[p["line"]]))
 
-    rows = docs.select(doc_key(id_col, text_col).alias("doc_key"), text_bytes(text_col).alias("text")).join(wanted, "doc_key").select("text", "places")
-    kept = durable(rows.mapInArrow(lambda b: _batches(texts(rows_of(b, "text", "places")), line), "doc_id long, doc_key long, line int, words binary"))
+    # Joined by sorting at any size: a broadcast side would grow with the corpus.
+    rows = docs.select(doc_key(id_col, text_col).alias("doc_key"), text_bytes(text_col).alias("text")).join(durable(wanted).hint("merge"), "doc_key").select("text", "lines")
+    kept = durable(rows.mapInArrow(lambda b: _batches(texts(rows_of(b, "text", "lines")), arrow), schema))
 
-    keyed = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("variant", pa.int64()), ("at", pa.int32())])
+    keyed = pa.schema([("variant", pa.int64()), ("at", pa.int32()), ("ref", pa.int64())])
 
     def emit(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, own, k, words in rows:
-            for variant, at in variants(words.split()):
-                yield doc, own, k, variant, at
-
-    rows = kept.mapInArrow(lambda b: _batches(emit(rows_of(b, "doc_id", "doc_key", "line", "words")), keyed), "doc_id long, doc_key long, line int, variant long, at int")
-    rows = durable(rows.select("variant", "at", F.struct("doc_id", "doc_key", "line").alias("place")))
+        for ref, shared, words in rows:
+            for variant, at in variants(words.split(), shared):
+                yield variant, at, ref
+
+    emitted = durable(kept.mapInArrow(lambda b: _batches(emit(rows_of(b, "ref", "shared", "words")), keyed), "variant long, at int, ref long"))
+    met = emitted.groupBy("variant").count().where("count > 1").select("variant")
+    place = F.struct("doc_id", "doc_key", "line").alias("place")
+    rows = emitted.join(met.hint("merge"), "variant").join(kept.select("ref", place), "ref")
+    rows = durable(rows)
     # Per variant, the line that is it and the earliest of those that have it with a word more, at any place and at each.
     by_place = rows.groupBy("variant", "at").agg(F.min("place").alias("earliest"), F.count("*").alias("n"))
     whole = F.min(F.when(F.col("at") < 0, F.col("earliest")))
     longer = F.min(F.when(F.col("at") >= 0, F.col("earliest")))
-    by_variant = by_place.groupBy("variant").agg(whole.alias("whole"), longer.alias("longer"), F.max("n").alias("n")).where("n > 1 or (whole is not null and longer is not null)")
+    by_variant = by_place.groupBy("variant").agg(whole.alias("whole"), longer.alias("longer")).where("whole is not null and longer is not null")
     same = rows.join(by_place.where("n > 1 and at >= 0").select("variant", "at", F.col("earliest").alias("earlier")), ["variant", "at"])
-    across = rows.join(by_variant.where("whole is not null and longer is not null"), "variant").withColumn("earlier", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")))
+    across = rows.join(by_variant, "variant").withColumn("earlier", F.when(F.col("at") < 0, F.col("longer")).otherwise(F.col("whole")))
     pairs = same.select("place", "earlier").unionByName(across.select("place", "earlier")).where("earlier < place").distinct()
-    pairs = pairs.select("*", F.col("place.doc_key").alias("a_key"), F.col("place.line").alias("a_line"), F.col("earlier.doc_key").alias("b_key"), F.col("earlier.line").alias("b_line"))
+    pairs = pairs.select(F.col("place.doc_key").alias("a_key"), F.col("place.line").alias("a_line"), F.col("earlier.doc_key").alias("b_key"), F.col("earlier.line").alias("b_line"))
     side = lambda s: kept.select(F.col("doc_key").alias(f"{s}_key"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words"))
     pairs = pairs.join(side("a"), ["a_key", "a_line"]).join(side("b"), ["b_key", "b_line"])
     out = pa.schema([("doc_key", pa.int64()), ("line", pa.int32())])
@@ -139,7 +150,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = durable(
         lines.groupBy("key").agg(F.min(F.struct("doc_id", "doc_key", "line")).alias("place"), F.max("halves").alias("halves"), F.count("*").alias("n"))
     )
-    near = durable(_near_pairs(docs, distinct, id_col, text_col))
+    near = durable(_near_lines(docs, distinct, id_col, text_col))
     first = distinct.where("n > 1").select("key", "place")
     repeats = lines.select("key", "doc_key", "line").join(first, "key").where("doc_key != place.doc_key or line != place.line")
     verdicts = repeats.select("doc_key", "line", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
@@ -152,7 +163,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lost = durable(dropped_lines(docs, id_col, text_col))
     own = docs.select(F.col(id_col), doc_key(id_col, text_col).alias("doc_key"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit("\n")).alias("n_lines") + 1)
     none = F.array().cast("array<int>")
-    return own.toDF(id_col, "doc_key", "n_lines").join(lost, "doc_key", "left").select(
+    return own.toDF(id_col, "doc_key", "n_lines").join(lost.hint("merge"), "doc_key", "left").select(
         id_col, F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near")
     )
 
@@ -162,7 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lost = durable(dropped_lines(docs, id_col, text_col))
     key, gone = "__doc_key", "__gone"
     lost = lost.select(F.col("doc_key").alias(key), F.array_union("exact", "near").alias(gone))
-    rows = docs.withColumn(key, doc_key(id_col, text_col)).join(lost, key, "left")
+    rows = docs.withColumn(key, doc_key(id_col, text_col)).join(lost.hint("merge"), key, "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains(gone, k)), "\n")
     rows = rows.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept))
     return rows.where(F.col(gone).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*(F.col(f"`{c}`") for c in docs.columns))
