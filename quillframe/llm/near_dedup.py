@@ -221,10 +221,15 @@ def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     (depth, docs): the members of each small bucket; (depth, least, doc_id): each other member of a large one and its
     smallest document.
     """
-    indexed = unique.where(F.size("sketch") > 0).select("doc_id", F.posexplode("sketch").alias("at", "own"))
-    members = indexed.select("doc_id", "at", F.xxhash64("at", "own").alias("bucket"))
+    own = lambda k: F.get("sketch", F.lit(k) if isinstance(k, int) else k)
+    members = unique.where(F.size("sketch") > 0).select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("at"))
+    members = members.withColumn("level1", F.xxhash64("at", own(F.col("at"))))
+    for depth in range(1, DEPTH):  # a bucket of a level is told by its path of sketches
+        members = members.withColumn(f"level{depth + 1}", F.xxhash64(f"level{depth}", own((F.col("at") + depth) % SKETCHES)))
+    members = members.drop("sketch", "at")
     small, large = [], []
     for depth in range(1, DEPTH + 1):
+        members = members.withColumnRenamed(f"level{depth}", "bucket")
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
         found = durable(members.join(sizes, "bucket"))
         docs = found.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
@@ -233,8 +238,7 @@ def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
         large.append(hot.where("doc_id != least").select(F.lit(depth).alias("depth"), "least", "doc_id"))
         if depth == DEPTH or hot.isEmpty():
             break
-        again = hot.select("doc_id", "at", "bucket").join(unique, "doc_id")
-        members = again.select("doc_id", "at", F.xxhash64("bucket", F.expr(f"sketch[(at + {depth}) % {SKETCHES}]")).alias("bucket"))
+        members = hot.drop("bucket", "n", "least")
     sets, pairs = small[0], large[0]
     for more_sets, more_pairs in zip(small[1:], large[1:], strict=True):
         sets, pairs = sets.unionByName(more_sets), pairs.unionByName(more_pairs)
