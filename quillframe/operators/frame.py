@@ -244,7 +244,7 @@ class Frame:
         for k in keys:
             own = F.col(k)
             if isinstance(self._type(k), FRACTIONAL):
-                columns.append(F.coalesce(F.isnan(own), F.lit(False)).asc())
+                columns.append(F.when(own.isNull(), 2).when(F.isnan(own), 1).otherwise(0))
             columns.append(own.asc_nulls_last() if ascending else own.desc_nulls_last())
         return Frame(self.df.orderBy(*columns, *ordering.ascending([c for c in self.order if c not in keys])), self.order)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.plans import numeric, relational
+from quillframe.plans import learning, numeric, relational
 from quillframe.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "numeric", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "learning", "numeric", "relational"]

@@ -322,7 +322,7 @@ def diff(t):
     return _events(t).diff("value", 2).df.select("event_id", F.round("diff", 6).alias("d"))
 
 
-@query("pct_change", "SELECT event_id, round(value / nullif(lag(value) OVER (ORDER BY event_id), 0) - 1, 4) AS d FROM events")
+@query("pct_change", "SELECT event_id, round((value - lag(value) OVER (ORDER BY event_id)) / nullif(lag(value) OVER (ORDER BY event_id), 0), 4) AS d FROM events")
 def pct_change(t):
     return _events(t).pct_change("value").df.select("event_id", F.round("pct_change", 4).alias("d"))
 
@@ -352,7 +352,7 @@ def cummin(t):
     return _events(t).cummin("value").select(["event_id", "cummin"]).df
 
 
-@query("cumprod", "SELECT n_nationkey, product(1 + n_nationkey / 100.0) OVER (ORDER BY n_nationkey) AS p FROM nation".replace("product(1 + n_nationkey / 100.0) OVER (ORDER BY n_nationkey)", "round(exp(sum(ln(1 + n_nationkey / 100.0)) OVER (ORDER BY n_nationkey)), 6)"))
+@query("cumprod", "SELECT n_nationkey, round(exp(sum(ln(1 + n_nationkey / 100.0)) OVER (ORDER BY n_nationkey)), 6) AS p FROM nation")
 def cumprod(t):
     f = Frame(t.nation.select("n_nationkey", (1 + F.col("n_nationkey") / 100.0).alias("x")), ["n_nationkey"])
     return f.cumprod("x").df.select("n_nationkey", F.round("cumprod", 6).alias("p"))
