@@ -1,38 +1,18 @@
-"""What several corpus operators share: scratch tables and Arrow batches of texts."""
+"""What several corpus operators share: Arrow batches of texts, and columns evaluated once."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillframe.plans.scratch import durable, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses none of it.
-
-    The folder goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bound", "durable", "give_back", "rows_of", "scratch_dir", "text_bytes"]
 
 
 def text_bytes(name: str = "text") -> Column:

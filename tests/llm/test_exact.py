@@ -1,0 +1,247 @@
+"""Operators with an exact answer, against plain Python, on the smallest tables and on awkward rows."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from quillframe.llm import byte_bpe, decontaminate, license_scan, pii, quality_rules, queries, sharding, textstats, url_filter
+
+FOLDER = "/root/testdata/sf0.001"
+BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+AWKWARD = [None, "", " ", "\n\n", "a", "a b c d e", "x\ty\x0bz\rw", "é" * 50, "word " * 400, "1234567890" * 40, "a@b.c_d@e.f +1 (212) 555-0100 and 1.2.3.4.5", "same text here twice", "same text here twice", "\u3000wide\u00a0space\x85next\x1cfs"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size string, spans string, host string, `a.b` int"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(i if t is not None or i else None, t, None, "s", None, 7, "x", "y", "z", 1) for i, t in enumerate(AWKWARD)]
+    return spark.createDataFrame([*rows, rows[-1]], SCHEMA).repartition(3)
+
+
+def documents(spark, name="documents"):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, items, size=13):
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = WORD.findall(lower(text or ""))
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            windows[tuple(w[k : k + size])].add(item)
+    out = []
+    for doc, text in docs:
+        w, hit, found = WORD.findall(lower(text or "")), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
+                    found |= own
+                    hit.update(range(k, k + n))
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_contamination(spark):
+    got = queries.op1_decontaminate(spark, FOLDER).collect()
+    want = contamination(documents(spark).select("doc_id", "text").collect(), documents(spark, "benchmark").collect())
+    assert sorted(map(tuple, got), key=str) == want
+    assert any(r[-1] for r in want)
+
+
+def test_contamination_of_awkward_rows_in_segments_and_blocks(spark, awkward):
+    items = spark.createDataFrame([(1, "same text here twice"), (2, None), (3, ""), (4, "b c"), (5, "word"), (5, "word word"), (6, "!!")], "item_id long, text string")
+    index = decontaminate.build_index(awkward, segment_bytes=100)
+    one = decontaminate.phrase_matches(index, items)
+    many = decontaminate.phrase_matches(index, items, block_bytes=10)
+    rows = lambda df: sorted([(r.doc_id, r.n_words, r.n_hit, [tuple(s) for s in r.spans], r["items"]) for r in df.collect()], key=str)
+    assert rows(one) == rows(many)
+    want = contamination([(r.doc_id, r.text) for r in awkward.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert [(r[0], r[1], r[2], len(r[4])) for r in rows(one)] == [w[:4] for w in sorted(want, key=lambda w: str((w[0], w[1], w[2])))] or sorted((str(r[0]), r[1], r[2], len(r[4])) for r in rows(one)) == sorted((str(w[0]), *w[1:4]) for w in want)
+    assert decontaminate.keep_clean(awkward, items).columns == awkward.columns
+    nothing = items.limit(0)
+    assert decontaminate.keep_clean(awkward, nothing).count() == awkward.count()
+    assert decontaminate.contamination(awkward.limit(0), items).count() == 0
+
+
+def test_proximity(spark):
+    random.seed(5)
+    texts = [(i, " ".join(random.choices("abcdef", k=40))) for i in range(30)]
+    items = [(0, "a b c"), (1, "f f e"), (2, "d")]
+    index = decontaminate.build_index(spark.createDataFrame(texts, "doc_id long, text string"), segment_bytes=300)
+    got = decontaminate.proximity_matches(index, spark.createDataFrame(items, "item_id long, text string"), window=3, slop=1).collect()
+    for r in got:
+        w = dict(texts)[r.doc_id].split()
+        for item, text in items:
+            need = collections.Counter(text.split())
+            span = len(text.split()) + 1
+            hit = any(not need - collections.Counter(w[s : s + span]) for s in range(len(w)))
+            assert (str(item) in r["items"]) == hit
+
+
+def counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    three = collections.Counter(zip(w, w[1:], w[2:]))
+    inside = {k + j for k in range(len(w) - 2) if three[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
+
+
+def test_text_counts(spark, awkward):
+    for docs in (documents(spark), awkward):
+        got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in textstats.text_counts(docs).collect())
+        assert got == sorted((str(r.doc_id), *counts(r.text)) for r in docs.select("doc_id", "text").collect())
+
+
+def test_quality_rules_agree_with_labels_and_filter(spark, awkward):
+    judged = queries.op2_quality_rules(spark, FOLDER)
+    rows = judged.join(documents(spark, "labels"), "doc_id").where("not base_failed").collect()
+    assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
+    kept = quality_rules.keep_good(documents(spark))
+    assert kept.columns == documents(spark).columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in judged.where("kept").collect()}
+    assert quality_rules.keep_good(awkward).columns == awkward.columns
+    assert quality_rules.judge(awkward.limit(0)).count() == 0
+
+
+def test_accuracies_are_found_without_labels():
+    import numpy as np
+
+    random.seed(2)
+    votes, weights = collections.Counter(), []
+    for _ in range(5000):
+        good = random.random() < 0.8
+        votes[tuple((1 if good else -1) * (1 if random.random() < a else -1) for a in (0.9, 0.75, 0.85))] += 1
+    prior, accuracy = quality_rules.fit_votes(np.array(list(votes)), np.array(list(votes.values()), float))
+    assert prior == pytest.approx(0.8, abs=0.04)
+    assert accuracy == pytest.approx([0.9, 0.75, 0.85], abs=0.04)
+    assert weights == []
+
+
+def test_bpe(spark, awkward):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = lambda t: b"".join(i.to_bytes(4, "little") for i in known.encode_ordinary(t or ""))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for docs in (documents(spark), awkward):
+        got = byte_bpe.encode(docs, BPE, public_tokenizers.PATTERN)
+        assert sorted((str(r.doc_id), r.n_tokens, bytes(r.ids), r.ids_sha256, r.decoded_sha256) for r in got.collect()) == sorted(
+            (str(r.doc_id), len(ids(r.text)) // 4, ids(r.text), sha(ids(r.text)), sha((r.text or "").encode())) for r in docs.select("doc_id", "text").collect()
+        )
+    own = byte_bpe.with_tokens(awkward, BPE, public_tokenizers.PATTERN)
+    assert own.where("round_trip").count() == awkward.count()
+    assert byte_bpe.decode(own.drop("text"), BPE, public_tokenizers.PATTERN).count() == awkward.count()
+    codec, random_text = byte_bpe.codec(BPE, public_tokenizers.PATTERN), random.Random(1)
+    alphabet = [chr(c) for c in [*range(0x180), 0x85, 0xA0, 0x2028, 0x3000, 0x200B, 0x1F600, 0x4E2D, 0x661, 0xFEFF, 0x2581, 0x10FFFF]]
+    for _ in range(3000):
+        text = "".join(random_text.choices(alphabet, k=random_text.randrange(30)))
+        assert codec.encode(text) == ids(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
+@pytest.mark.parametrize("source", ["documents", "awkward", "copies", "empty"])
+def test_shards(spark, awkward, source):
+    copies = spark.createDataFrame([(i, "copy " * 20 if i % 3 else f"text {i} " * 10) for i in range(3000)], "doc_id long, text string")
+    docs = {"documents": documents(spark), "awkward": awkward, "copies": copies, "empty": awkward.limit(0)}[source]
+    got = sharding.shards_by_bytes(docs, 8).collect()
+    texts = docs.select("doc_id", "text").collect()
+    want = sorted((str(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in texts)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    shard = collections.defaultdict(set)
+    for r in got:
+        shard[r.text_crc32].add(r.shard)
+    assert all(len(s) == 1 for s in shard.values())
+    if source == "documents":
+        load = collections.Counter()
+        for r in got:
+            load[r.shard] += r["size"]
+        largest = max(r["size"] for r in got)
+        assert max(load.values()) - min(load.values()) <= 2 * largest
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(text):
+    found, kinds = [], (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    for kind, pattern in kinds:
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 16 <= len(d) <= 19 and luhn(d) or kind == "phone" and 8 <= len(d) <= 15:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def test_personal_data(spark, awkward):
+    random.seed(3)
+    alphabet = ["1", "2", "0", " ", "-", "-", ".", "@", "a", "b.c", "+", "(", ")", "é", "😀", "4111111111111111", "255.1.2.3", "x@y.z", "_"]
+    noise = spark.createDataFrame([(i, "".join(random.choices(alphabet, k=random.randrange(40)))) for i in range(2000)], "doc_id long, text string")
+    for docs in (documents(spark), awkward, noise):
+        got = sorted((str(r.doc_id), [(s["kind"], s["start"], s["end"]) for s in r.base_spans]) for r in pii.find(docs).collect())
+        assert got == sorted((str(r.doc_id), base_spans(r.text)) for r in docs.select("doc_id", "text").collect())
+    assert "sha256" in "".join(queries.op9_pii(spark, FOLDER).columns)
+
+
+def test_further_personal_data_needs_checksums_or_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00.", "IBAN DE89 3704 0044 0532 0130 01.", "my ssn is 219-09-9999", "part 219-09-9999", "amex card 378282246310005", "number 378282246310005", "call (212) 555-0100", "+1 212 555-0100"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in pii.find(d).collect()}
+    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["short_card"], 5: [], 6: ["local_phone"], 7: ["phone"]}
+    assert [r.text for r in pii.redacted(d.where("doc_id = 0")).collect()] == ["IBAN [iban]."]
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme", "http://EXAMPLE.org/es/1", "http://a.example.org/en/12?x#y", "http://a.example.org/en/2", "http://org", "http://org/", "http://notexample.org/es/", "https://x.com/fr/?a", "https://x.com/de/#", "https://b.net/de/x", "http://a?b/c", "://h/p://q"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule) for r in got] == [
+        ("", "", None), ("", "", None), ("", "", None), ("example.org", "/es/1", "example.org/es/"), ("a.example.org", "/en/12", "example.org/en/1"), ("a.example.org", "/en/2", "org/"), ("org", "", None),
+        ("org", "/", "org/"), ("notexample.org", "/es/", "org/"), ("x.com", "/fr/", "com/fr/"), ("x.com", "/de/", "com/de/"), ("b.net", "/de/x", None), ("a", "", None), ("h", "/p://q", None),
+    ]
+    assert all(r.verdict == {"org/": "allow", "com/fr/": "allow"}.get(r.rule, "block") for r in got if r.rule)
+    assert url_filter.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
+
+
+def test_url_trees_learn(spark):
+    d = spark.range(2000).select(F.concat(F.lit("http://h"), F.col("id") % 7, F.when(F.col("id") % 3 == 0, "-x-y-z").otherwise(""), F.lit(".com/p/"), "id").alias("url"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    model = url_filter.fit(d)
+    wrong = model.score(url_filter.parsed(d)).where("(block_score >= 0.5) != (label = 1)").count()
+    assert wrong == 0
+
+
+def test_licenses(spark, awkward):
+    mit = license_scan.TEMPLATES[0][1]
+    texts = [mit, "intro words here " * 9 + mit.upper() + " tail" * 30, mit.replace("Software", "Thing"), " ".join(mit.split()[:20]), "Lorem ipsum. Released under the MIT License.", "the MIT license", "licensed under the GNU General Public License, version 2", None, ""]
+    texts += [" ".join(["pad"] * k) + " Licensed under CC BY-NC 4.0. " + " ".join(["end"] * 9) for k in range(9)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = collections.defaultdict(set)
+    for r in license_scan.scan(d).collect():
+        got[r.doc_id].add(r.license)
+    assert dict(got) == {0: {"MIT"}, 1: {"MIT"}, 4: {"MIT"}, 6: {"GPL-2.0"}} | {k: {"CC-BY-NC-4.0"} for k in range(9, 18)}
+    assert license_scan.scan(awkward).count() == 0
+    assert 1 - (1 - (1 - license_scan.SHARED) ** license_scan.bands_for(license_scan.SHARED, license_scan.MISS)) <= license_scan.MISS
+
+
+@pytest.mark.parametrize("module", [license_scan, pii, url_filter])
+def test_native_plans_run_no_python(spark, module):
+    d = documents(spark)
+    df = {license_scan: lambda: license_scan.scan(d), pii: lambda: pii.find(d), url_filter: lambda: url_filter.judge(documents(spark, "pages"))}[module]()
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
