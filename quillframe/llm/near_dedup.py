@@ -9,8 +9,8 @@ connected components of links.
 
 Equal word sequences are one document from the start. A bucket of up to ``BUCKET`` documents is searched inside one
 task, which emits the links of a spanning forest. A larger bucket is split into chunks of that size, each joined by
-the bucket's smallest document, and its members are bucketed again by this and the next sketch, and so on for
-``DEPTH`` sketches; thus members that do not resemble the smallest document still meet those that they resemble.
+the bucket's centre, and its members are bucketed again by this and the next sketch, and so on for
+``DEPTH`` sketches; thus members that do not resemble the centre still meet those that they resemble.
 Sets of documents that meet in several buckets are searched once, and what earlier links connect is not compared again.
 
 Defined results: a text without words is in a class with rows of equal text only; null and empty texts, and rows
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm._common import durable, rows_of, text_bytes
@@ -218,8 +218,9 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What shares sketches among the documents of ``unique`` (doc_id, sketch).
 
-    (depth, docs): the members of each small bucket; (depth, least, doc_id): each other member of a large one and its
-    smallest document.
+    (depth, docs): the members of each small bucket; (depth, centre, doc_id): each other member of a large one and its
+    centre. That is the document in most large buckets, as what a group was copied from is in more of them than any
+    copy; of several the smallest.
     """
     own = lambda k: F.get("sketch", F.lit(k) if isinstance(k, int) else k)
     members = unique.where(F.size("sketch") > 0).select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("at"))
@@ -230,30 +231,32 @@ def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     small, large = [], []
     for depth in range(1, DEPTH + 1):
         members = members.withColumnRenamed(f"level{depth}", "bucket")
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         found = durable(members.join(sizes, "bucket"))
         docs = found.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
         small.append(docs.groupBy("docs").agg(F.lit(depth).alias("depth")))
         hot = found.where(F.col("n") > BUCKET)
-        large.append(hot.where("doc_id != least").select(F.lit(depth).alias("depth"), "least", "doc_id"))
+        often = hot.select("bucket", "doc_id", F.count("*").over(Window.partitionBy("doc_id")).alias("times"))
+        centres = often.groupBy("bucket").agg((-F.max(F.struct("times", (-F.col("doc_id")).alias("id")))["id"]).alias("centre"))
+        large.append(hot.select("bucket", "doc_id").join(centres, "bucket").where("doc_id != centre").select(F.lit(depth).alias("depth"), "centre", "doc_id"))
         if depth == DEPTH or hot.isEmpty():
             break
-        members = hot.drop("bucket", "n", "least")
+        members = hot.drop("bucket", "n")
     sets, pairs = small[0], large[0]
     for more_sets, more_pairs in zip(small[1:], large[1:], strict=True):
         sets, pairs = sets.unionByName(more_sets), pairs.unionByName(more_pairs)
     sets = sets.groupBy("docs").agg(F.min("depth").alias("depth"))
-    pairs = pairs.groupBy("least", "doc_id").agg(F.min("depth").alias("depth"), F.count("*").alias("times"))
+    pairs = pairs.groupBy("centre", "doc_id").agg(F.min("depth").alias("depth"), F.count("*").alias("times"))
     return durable(sets), durable(pairs)
 
 
 def chunked(pairs: DataFrame) -> DataFrame:
-    """(set, doc_id): the partners of each ``least`` in sets of about BUCKET, each with that document."""
-    chunks = pairs.groupBy("least").agg(F.ceil(F.count("*") / BUCKET).alias("chunks"))
+    """(set, doc_id): the partners of each ``centre`` in sets of about BUCKET, each with that document."""
+    chunks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BUCKET).alias("chunks"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
-    dealt = pairs.join(chunks, "least").select(F.xxhash64("least", chunk).alias("set"), "doc_id")
-    centres = chunks.select("least", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    return dealt.unionAll(centres.select(F.xxhash64("least", "chunk").alias("set"), F.col("least").alias("doc_id")))
+    dealt = pairs.join(chunks, "centre").select(F.xxhash64("centre", chunk).alias("set"), "doc_id")
+    centres = chunks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    return dealt.unionAll(centres.select(F.xxhash64("centre", "chunk").alias("set"), F.col("centre").alias("doc_id")))
 
 
 def exploded(sets: DataFrame) -> DataFrame:
@@ -280,16 +283,16 @@ def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_
     often; then everything that these links have not put in one class yet.
     """
     sets, pairs = buckets(unique)
-    wanted = sets.select(F.explode("docs").alias("doc_id")).unionAll(pairs.select("doc_id")).unionAll(pairs.select("least")).distinct()
+    wanted = sets.select(F.explode("docs").alias("doc_id")).unionAll(pairs.select("doc_id")).unionAll(pairs.select("centre")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
     texts = durable(texts.join(wanted.hint("merge"), "doc_id"))  # the same plan at any size: a broadcast would grow with the corpus
-    most = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("least")).alias("other"))).alias("most"))
-    first = exploded(sets.where("depth = 1")).unionAll(chunked(most.select((-F.col("most.other")).alias("least"), "doc_id")))
+    most = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("centre")).alias("other"))).alias("most"))
+    first = exploded(sets.where("depth = 1")).unionAll(chunked(most.select((-F.col("most.other")).alias("centre"), "doc_id")))
     found = links(first, texts.withColumn("class", F.col("doc_id")))
     classed = connected_components(found)
     label = lambda c: classed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
-    rest = pairs.join(label("least"), "least", "left").join(label("doc_id"), "doc_id", "left")
-    rest = rest.where(F.coalesce("least_class", "least") != F.coalesce("doc_id_class", "doc_id")).select("least", "doc_id")
+    rest = pairs.join(label("centre"), "centre", "left").join(label("doc_id"), "doc_id", "left")
+    rest = rest.where(F.coalesce("centre_class", "centre") != F.coalesce("doc_id_class", "doc_id")).select("centre", "doc_id")
     members = exploded(sets.where("depth > 1")).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
     mixed_sets = members.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
     second = durable(chunked(durable(rest)).unionAll(members.join(mixed_sets, "set", "left_semi").select("set", "doc_id")))
