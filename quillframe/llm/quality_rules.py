@@ -53,14 +53,14 @@ def rules() -> dict[str, Column]:
 def fit_votes(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """Prior of good and each rule's accuracy (how often its votes are right), by expectation-maximisation.
 
-    Abstaining is taken to say nothing. Accuracies start at 0.8, count ten documents at that rate beside the
+    Abstaining is taken to say nothing. Accuracies start at 0.9, count fifty documents at that rate beside the
     observed ones, and stay between 0.55 and 0.99: a rule is better than chance and never certain.
     """
-    prior, accuracy = 0.8, np.full(patterns.shape[1], 0.8)
+    prior, accuracy = 0.8, np.full(patterns.shape[1], 0.9)
     for _ in range(rounds):
         good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + patterns @ np.log(accuracy / (1 - accuracy)))))
         right = weights @ np.where(patterns > 0, good[:, None], np.where(patterns < 0, 1 - good[:, None], 0))
-        now = np.clip((right + 8) / (weights @ (patterns != 0) + 10), 0.55, 0.99)
+        now = np.clip((right + 45) / (weights @ (patterns != 0) + 50), 0.55, 0.99)
         prior_now = float(np.clip((weights @ good + 8) / (weights.sum() + 10), 0.01, 0.99))
         done = max(np.abs(now - accuracy).max(initial=0), abs(prior_now - prior)) < 1e-10
         prior, accuracy = prior_now, now
