@@ -160,33 +160,40 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, "id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def _packed(df: DataFrame, without: Iterable[str]) -> DataFrame:
+    """One column ``row`` of all others, whatever their names."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("row"), *(F.col(c) for c in without if c in df.columns))
+
+
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """encoded with a string column ``into``: the text of its ids."""
-    kept = [f for f in encoded.schema if f.name != into]
+    packed = _packed(encoded, [into]).select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = [own.decode(ids or b"").decode("utf-8", "replace") for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), into])
+            row = batch.column("row")
+            texts = [own.decode(ids or b"").decode("utf-8", "replace") for ids in pc.struct_field(row, ids_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], names=["row", into])
 
-    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField(into, T.StringType())])).select("row.*", into)
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with all their columns, and n_tokens, ids and round_trip (whether the ids decode to the text)."""
     added = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("round_trip", T.BooleanType())]
-    kept = [f for f in docs.schema if f.name not in dict(added)]
+    packed = _packed(docs, dict(added)).select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = pc.cast(batch.column(text_col), pa.string()).to_pylist()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                row = batch.column("row").slice(at, 512)
+                texts = pc.struct_field(row, text_col).cast(pa.string()).to_pylist()
                 ids = [own.encode(t or "") for t in texts]
                 same = [own.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
                 new = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *new], names=[*(f.name for f in kept), *dict(added)])
+                yield pa.RecordBatch.from_arrays([row, *new], names=["row", *dict(added)])
 
-    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, t in added)]))
+    schema = T.StructType([packed.schema["row"], *(T.StructField(n, t) for n, t in added)])
+    return packed.mapInArrow(run, schema).select("row.*", *dict(added))
