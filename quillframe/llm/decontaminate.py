@@ -203,14 +203,12 @@ class Segment:
         return pairs[:, 0], pairs[:, 1]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The benchmark in blocks of about block_bytes, by a hash of its rows."""
     items = items.select(F.col(id_col).cast("string").alias("id"), text_bytes(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r.id, bytes(r.text)) for r in part.collect()]
+    return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
 def _search(index: DataFrame, windows: Windows, slop: int | None) -> DataFrame:
@@ -247,7 +245,9 @@ def _search(index: DataFrame, windows: Windows, slop: int | None) -> DataFrame:
 
 
 def _matches(index: DataFrame, items: DataFrame, window: int, slop: int | None, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    found = [_search(index, Windows(block, window), slop) for block in item_blocks(items, id_col, text_col, block_bytes)]
+    blocks = item_blocks(items, id_col, text_col, block_bytes)
+    index = durable(index) if len(blocks) > 1 else index  # its segments keep their names from block to block
+    found = [_search(index, Windows([(r.id, bytes(r.text)) for r in block.collect()], window), slop) for block in blocks]
     if len(found) > 1:  # the blocks' spans of a document are merged
         every = found[0]
         for more in found[1:]:

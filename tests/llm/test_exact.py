@@ -229,7 +229,7 @@ def test_url_trees_learn(spark):
 
 def test_licenses(spark, awkward):
     mit = license_scan.TEMPLATES[0][1]
-    texts = [mit, "intro words here " * 9 + mit.upper() + " tail" * 30, mit.replace("Software", "Thing"), " ".join(mit.split()[:20]), "Lorem ipsum. Released under the MIT License.", "the MIT license", "licensed under the GNU General Public License, version 2", None, ""]
+    texts = [mit, "intro words here " * 9 + mit.upper() + " tail" * 30, mit.replace("the", "thy").replace("of", "off"), " ".join(mit.split()[:20]), "Lorem ipsum. Released under the MIT License.", "the MIT license", "licensed under the GNU General Public License, version 2", None, ""]
     texts += [" ".join(["pad"] * k) + " Licensed under CC BY-NC 4.0. " + " ".join(["end"] * 9) for k in range(9)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = collections.defaultdict(set)
