@@ -262,3 +262,49 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> float:
         others = [(x["s"] + y["s"]) / d if (d := math.dist([x[f"__m_{c}"] for c in features], [y[f"__m_{c}"] for c in features])) else INF for y in spread if y[label] != x[label]]
         worst.append(max(others, default=0.0))
     return sum(worst) / max(1, len(worst))
+
+
+def silhouette(df: DataFrame, features: list[str], label: str, key: str, block_rows: int = 4_000) -> DataFrame:
+    """(key, silhouette) by Euclidean distances: exact, every row against all rows in blocks of bounded size.
+
+    The work is quadratic by definition; each task holds two blocks and returns a sum a row and cluster.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = df.count()
+    blocks = max(1, math.ceil(n / block_rows))
+    rows = df.select(F.col(key).alias("k"), F.col(label).alias("c"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    left = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "q")
+    right = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "p")
+    names = [f"x{i}" for i in range(len(features))]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(a) and len(b):
+            clusters, at = np.unique(b["c"].to_numpy(), return_inverse=True)
+            member = np.eye(len(clusters))[at]
+            y = b[names].to_numpy(float)
+            for s in range(0, len(a), 256):
+                x = a[names].to_numpy(float)[s : s + 256]
+                d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)) @ member
+                parts.append(pd.DataFrame({"k": np.repeat(a["k"].to_numpy()[s : s + 256], len(clusters)), "c": np.repeat(a["c"].to_numpy()[s : s + 256], len(clusters)), "o": np.tile(clusters, len(x)), "d": d.ravel()}))
+        return pd.concat(parts) if parts else pd.DataFrame({"k": [], "c": [], "o": [], "d": []})
+
+    sums = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(distances, f"k {kinds['k']}, c {kinds['c']}, o {kinds['c']}, d double")
+    sizes = rows.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
+    means = sums.groupBy("k", "c", "o").agg(F.sum("d").alias("d")).join(sizes, "o")
+    own = F.max(F.when((F.col("o") == F.col("c")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
+    other = F.min(F.when(F.col("o") != F.col("c"), F.col("d") / F.col("n")))
+    out = means.groupBy("k").agg(own.alias("a"), other.alias("b"))
+    score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(_ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return out.select(F.col("k").alias(key), score.alias("silhouette"))
+
+
+def report(df: DataFrame, t: str, p: str) -> str:
+    """A text table of per_class, for people."""
+    rows = per_class(df, t, p).orderBy("label").collect()
+    lines = [f"{'':>12} {'precision':>10} {'recall':>10} {'f1':>10} {'support':>10}"]
+    return "\n".join([*lines, *(f"{r.label!s:>12} {r.precision:>10.2f} {r.recall:>10.2f} {r.f1:>10.2f} {r.support:>10}" for r in rows)])

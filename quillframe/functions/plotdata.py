@@ -37,3 +37,42 @@ def density(df: DataFrame, name: str, points: int = 50, bins: int = 512) -> Data
     cells = histogram(df, name, bins).select(((F.col("low") + F.col("high")) / 2).alias("m"), "n").where("n > 0")
     z = (F.col("x") - F.col("m")) / h
     return x.crossJoin(F.broadcast(cells)).groupBy("x").agg((F.sum(F.exp(-z * z / 2) * F.col("n")) / (s.n * h * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def bars(df: DataFrame, by: str, value: str | None = None, how: str = "sum") -> DataFrame:
+    """A height for each category: its rows, or an aggregate of value."""
+    return df.groupBy(by).agg((F.count("*") if value is None else getattr(F, how)(value)).alias("height"))
+
+
+def shares(df: DataFrame, by: str, value: str | None = None) -> DataFrame:
+    """Categories with their parts of the whole, as a pie shows them."""
+    parts = bars(df, by, value)
+    return parts.crossJoin(F.broadcast(parts.agg(F.sum("height").alias("all")))).select(by, (F.col("height") / F.col("all")).alias("share"))
+
+
+def points(df: DataFrame, x: str, y: str, most: int = 5_000, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows for a scatter plot, those with the smallest hashes."""
+    return df.select(x, y).orderBy(F.xxhash64(x, y, F.lit(seed)), x, y).limit(most)
+
+
+def heat(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """(i, j, n): counts over a grid of equal cells."""
+    ends = df.agg(*(f(c).cast("double").alias(f"{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    cell = lambda c: F.least(F.floor((F.col(c) - ends[f"lo{c}"]) / ((ends[f"hi{c}"] - ends[f"lo{c}"]) / bins or 1.0)), F.lit(bins - 1)).cast("int")
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("i"), cell(y).alias("j")).agg(F.count("*").alias("n"))
+
+
+def boundary(spark, model, features: list[str], low: list[float], high: list[float], steps: int = 50) -> DataFrame:
+    """A model's predictions over a grid of two features."""
+    grid = spark.range(steps * steps).select(*((F.lit(a) + f(F.col("id")) * ((b - a) / (steps - 1))).alias(c) for c, a, b, f in zip(features, low, high, (lambda i: F.pmod(i, F.lit(steps)), lambda i: F.floor(i / steps)), strict=True)))
+    return model.predict(grid)
+
+
+def learning_curve(make, train: DataFrame, test: DataFrame, keys: list[str], score, parts: tuple[float, ...] = (0.1, 0.3, 0.5, 1.0)) -> DataFrame:
+    """(part, train, test): scores of models fitted on growing parts of a table, cut by hash. score is a column of a prediction."""
+    rows = []
+    for part in parts:
+        own = train.where(F.pmod(F.xxhash64(*keys), F.lit(1000)) < part * 1000)
+        model = make().fit(own)
+        rows.append((part, *(float(model.predict(d).agg(score).first()[0]) for d in (own, test))))
+    return train.sparkSession.createDataFrame(rows, "part double, train double, test double")

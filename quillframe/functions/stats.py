@@ -253,3 +253,106 @@ def friedman(df: DataFrame, samples: Sequence[str]) -> tuple[float, float]:
     s = df.agg(F.count("*").alias("n"), *(F.sum(rank(c)).alias(f"r{i}") for i, c in enumerate(samples)), F.sum(ties).alias("ties")).first()
     x = (12 / (s.n * k * (k + 1)) * sum(s[f"r{i}"] ** 2 for i in range(k)) - 3 * s.n * (k + 1)) / (1 - s.ties / (s.n * k * (k * k - 1)))
     return x, special.chi2_sf(x, k - 1)
+
+
+def kendall(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+    """tau-b with a normal tail. Discordant pairs are inversions, counted by merging sorted stretches: inside each bucket of x by a merge sort, across buckets against counts of y.
+
+    Distinct pairs are weighed, so ties cost nothing; the counts of y by bucket, at most 256 times its distinct values, are summed by Spark.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(_c(x).alias("x"), _c(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("w"))
+    cut = ordering.bucketed(rows, ["x"])
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one bucket with x and y in the same and in opposite order, by a Fenwick tree over y."""
+        values = np.unique(group["y"].to_numpy())
+        tree, same, opposite, seen = [0] * (len(values) + 1), 0, 0, 0
+
+        def upto(k: int) -> int:
+            total = 0
+            while k:
+                total += tree[k]
+                k &= k - 1
+            return total
+
+        for _, part in group.sort_values("x").groupby("x", sort=True):
+            at = np.searchsorted(values, part["y"].to_numpy())
+            for k, w in zip(at.tolist(), part["w"].tolist(), strict=True):
+                same += w * upto(k)
+                opposite += w * (seen - upto(k + 1))
+            for k, w in zip(at.tolist(), part["w"].tolist(), strict=True):
+                seen += w
+                k += 1
+                while k < len(tree):
+                    tree[k] += w
+                    k += k & -k
+        return pd.DataFrame({"same": [same], "opposite": [opposite]})
+
+    own = cut.groupBy(ordering.BUCKET).applyInPandas(inside, "same long, opposite long").agg(F.sum("same").alias("s"), F.sum("opposite").alias("o")).first()
+    # across buckets: for each y, how many rows of earlier buckets lie below and above it
+    by = cut.groupBy(ordering.BUCKET, "y").agg(F.sum("w").alias("w"))
+    buckets = [r[0] for r in by.select(ordering.BUCKET).distinct().orderBy(ordering.BUCKET).collect()]
+    wide = by.groupBy("y").pivot(ordering.BUCKET, buckets).agg(F.sum("w")).fillna(0)
+    wide = ordering.running(wide, ["y"], {f"c{b}": (F.col(f"`{b}`"), "sum") for b in buckets})
+    totals = {r[0]: r.w for r in by.groupBy(ordering.BUCKET).agg(F.sum("w").alias("w")).collect()}
+    same, opposite, before = F.lit(0), F.lit(0), []
+    for b in buckets:
+        for a in before:
+            same = same + F.col(f"`{b}`") * (F.col(f"c{a}") - F.col(f"`{a}`"))
+            opposite = opposite + F.col(f"`{b}`") * (F.lit(totals[a]) - F.col(f"c{a}"))
+        before.append(b)
+    far = wide.agg(F.sum(same).alias("s"), F.sum(opposite).alias("o")).first()
+    ties = lambda *keys: [F.sum(F.col("t") * (F.col("t") - 1)).alias("a"), F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)).alias("b"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("c")]
+    tx, ty = (rows.groupBy(k).agg(F.sum("w").cast("double").alias("t")).agg(*ties()).first() for k in ("x", "y"))
+    n = float(sum(totals.values()))
+    s = (own.s or 0) + (far.s or 0) - (own.o or 0) - (far.o or 0)
+    pairs = n * (n - 1)
+    if pairs - tx.a <= 0 or pairs - ty.a <= 0:
+        return NAN, NAN
+    tau = 2 * s / math.sqrt((pairs - tx.a) * (pairs - ty.a))
+    var = (pairs * (2 * n + 5) - tx.c - ty.c) / 18 + (tx.b * ty.b / (9 * pairs * (n - 2)) if n > 2 else 0) + tx.a * ty.a / (2 * pairs)
+    return tau, 2 * (1 - special.normal_cdf(abs(s) / math.sqrt(var)))
+
+
+def anderson_normal(df: DataFrame, name: str) -> float:
+    """A squared against the normal distribution with the sample's mean and deviation."""
+    v = df.select(_c(name).alias("v")).where("v is not null")
+    s = v.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).first()
+    if s.n < 3 or not s.s:
+        raise DataValidationError("three different values are needed")
+    z = (F.col("v") - s.m) / s.s / math.sqrt(2)
+    erf = F.signum(z) * F.sqrt(1 - F.exp(-z * z * (F.lit(4 / math.pi) + z * z * special.NORMAL_A) / (z * z * special.NORMAL_A + 1)))
+    low, high = F.greatest((erf + 1) / 2, F.lit(1e-300)), F.greatest((1 - erf) / 2, F.lit(1e-300))
+    at = ordering.numbered(v, ["v"], "i").select("i", F.ln(low).alias("a"), F.ln(high).alias("b"))
+    total = at.agg(F.sum((2 * F.col("i") + 1) * F.col("a") + (2 * (s.n - F.col("i")) - 1) * F.col("b"))).first()[0]
+    return -s.n - total / s.n
+
+
+def shapiro(df: DataFrame, name: str) -> float:
+    """W by Royston's weights, for 3 to 5000 values, which the driver sorts."""
+    values = sorted(float(r[0]) for r in df.select(_c(name)).where(F.col(name).isNotNull()).limit(5001).collect())
+    n = len(values)
+    if not 3 <= n <= 5000 or values[0] == values[-1]:
+        raise DataValidationError("between 3 and 5000 values, not all equal, are needed")
+    from statistics import NormalDist
+
+    m = [NormalDist().inv_cdf((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+    ss = sum(x * x for x in m)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        u = 1 / math.sqrt(n)
+        poly = lambda c: sum(k * u**i for i, k in enumerate(c))
+        last = poly((m[-1] / math.sqrt(ss), 0.221157, -0.147981, -2.07119, 4.434685, -2.706056))
+        if n > 5:
+            second = poly((m[-2] / math.sqrt(ss), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            a = [-last, -second, *(x / math.sqrt(phi) for x in m[2:-2]), second, last]
+        else:
+            phi = (ss - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+            a = [-last, *(x / math.sqrt(phi) for x in m[1:-1]), last]
+    mean_ = sum(values) / n
+    return sum(w * v for w, v in zip(a, values, strict=True)) ** 2 / sum((v - mean_) ** 2 for v in values)

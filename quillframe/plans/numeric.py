@@ -279,6 +279,22 @@ def mann_whitney(t):
     return _row(t, stats.mann_whitney(t.orders.where("o_orderstatus in ('F', 'O')"), "o_totalprice", "o_orderstatus")[0], 2)
 
 
+@query(
+    "kendall",
+    """WITH p AS (SELECT p_size AS x, floor(p_retailprice / 10) AS y FROM part WHERE p_partkey <= 1000), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b), n AS (SELECT count(*) * (count(*) - 1) / 2.0 AS n FROM p),
+    tx AS (SELECT sum(c * (c - 1) / 2.0) AS t FROM (SELECT count(*) AS c FROM p GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2.0) AS t FROM (SELECT count(*) AS c FROM p GROUP BY y)) SELECT round(s / sqrt((n - tx.t) * (n - ty.t)), 6) AS statistic FROM s, n, tx, ty""",
+)
+def kendall(t):
+    d = t.part.where("p_partkey <= 1000").select(F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
+    return _row(t, stats.kendall(d, "x", "y")[0])
+
+
+@query("wilcoxon", """WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem WHERE abs(l_tax - l_discount) > 1e-9), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 6)) + (count(*) OVER (PARTITION BY round(abs(d), 6)) - 1) / 2.0 AS r FROM d) SELECT round(sum(r) FILTER (d > 0), 2) AS statistic FROM r""")
+def wilcoxon(t):
+    d = t.lineitem.select(F.round(F.col("l_tax") - F.col("l_discount"), 6).alias("d"), F.lit(0.0).alias("z"))
+    return _row(t, stats.wilcoxon(d, "d", "z")[0], 2)
+
+
 # -- metrics --------------------------------------------------------------------------------------------------------
 
 
@@ -378,6 +394,16 @@ def clustering_scores(t):
     return s.select(*(F.round(c, 8).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness", "fowlkes_mallows")))
 
 
+@query(
+    "silhouette",
+    """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings WHERE vec_id < 300), d AS (SELECT p.vec_id, p.label, q.label AS o, sum(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS d, count(*) AS n FROM p, p q GROUP BY ALL),
+    s AS (SELECT vec_id, max(CASE WHEN label = o AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN label <> o THEN d / n END) AS b FROM d GROUP BY vec_id) SELECT vec_id, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""",
+)
+def silhouette(t):
+    d = t.embeddings.where("vec_id < 300").select("vec_id", "label", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
+    return metrics.silhouette(d, ["a", "b"], "label", "vec_id", 100).withColumn("silhouette", F.round("silhouette", 6))
+
+
 # -- preprocessing --------------------------------------------------------------------------------------------------
 
 

@@ -103,3 +103,44 @@ def test_csv_and_json_round_trips(spark, tmp_path):
 def test_generated_data_do_not_depend_on_partitions(spark):
     a = generated.make_blobs(spark, 100, [[0.0], [1.0]]).repartition(7).orderBy("id").collect()
     assert a == generated.make_blobs(spark, 100, [[0.0], [1.0]]).orderBy("id").collect()
+
+
+def test_named_data_sets(spark):
+    from quillframe.sources import datasets
+
+    for name, shape in datasets.SETS.items():
+        d = datasets.load(spark, name)
+        assert sum(c.startswith("x") for c in d.columns) == shape.features
+        assert d.count() == shape.rows
+    assert datasets.load(spark, "iris").select("label").distinct().count() == 3
+
+
+def test_rank_correlation_against_all_pairs(spark):
+    rows = [(i * 7 % 31, i * 11 % 13) for i in range(120)]
+    sign = lambda v: (v > 0) - (v < 0)
+    s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(rows) for b in rows[:i])
+    pairs = 120 * 119 / 2
+    ties = [sum(n * (n - 1) / 2 for n in (sum(r[k] == v for r in rows) for v in {r[k] for r in rows})) for k in (0, 1)]
+    tau, p = stats.kendall(spark.createDataFrame(rows, "x int, y int"), "x", "y")
+    assert tau == pytest.approx(s / math.sqrt((pairs - ties[0]) * (pairs - ties[1])))
+    assert 0 <= p <= 1
+
+
+def test_normality(spark):
+    d = generated.make_regression(spark, 300, [1.0], 0.0).select("x0", (F.exp("x0")).alias("e"))
+    assert stats.shapiro(d, "x0") > 0.98 > stats.shapiro(d, "e")
+    assert stats.anderson_normal(d, "x0") < 1.2 < stats.anderson_normal(d, "e")
+    assert stats.normaltest(d, "x0")[1] > 0.001 > stats.normaltest(d, "e")[1]
+    assert stats.kstest_normal(d, "x0")[1] > 0.01 > stats.kstest_normal(d, "e")[1]
+
+
+def test_settings():
+    from quillframe import config
+
+    config.set_config(seed=3)
+    assert config.get_config()["seed"] == 3
+    config.reset_config()
+    assert config.get_config()["seed"] is None
+    with pytest.raises(Exception, match="unknown setting"):
+        config.set_config(nothing=1)
+    assert config.normalize_axis(-1, 2) == 1
