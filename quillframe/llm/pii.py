@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.llm._common import bound
+
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 LOCAL = "A-Za-z0-9._%+-"
 
@@ -34,11 +36,12 @@ class Kind:
     context: str = ""
 
 
-#: The card pattern takes whole runs of digits of the right length only, which drops the other runs unseen. The email
-#: pattern starts where its characters start, or where the last match ended: other starts in a run fail alike.
+#: The card pattern takes whole runs of digits of the right length only, which drops the other runs unseen. Email and
+#: ip patterns start where a run of their characters starts (or the last match ended), as other starts in it fail
+#: alike, and never give characters back: long runs take time in proportion, and no stack.
 KINDS = (
-    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", True, 0.9, r"mail|contact|@"),
-    Kind("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", ".", True, 0.7, r"\bip\b|host|server|address"),
+    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, r"mail|contact|@"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.7, r"\bip\b|host|server|address"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", "", True, 0.8, r"card|visa|master|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", True, 0.7, r"tel|phone|call|fax|mobil"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", False, 0.8, r"iban|account|bank|konto|compte|cuenta"),
@@ -46,7 +49,7 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.4, r"ssn|social security|tax id"),
     Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "", False, 0.4, r"tel|phone|call|fax|mobil"),
 )
-NEAR, CONTEXT_SCORE, LEAST = 40, 0.3, 0.6
+NEAR, CONTEXT_SCORE, LEAST, CHUNK = 40, 0.3, 0.6, 64
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
@@ -84,24 +87,38 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def proposals(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the pattern's leftmost matches."""
+    """array<struct<start, end, match, near>> of the pattern's leftmost matches; near: what stands beside, up to the next match.
+
+    Everything comes from the pieces of one split, so that many matches in a long text do not each search it again.
+    """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,near:string>>")
+
+    def step(seen: Column, part: Column) -> Column:
+        start = seen["at"] + F.length(part["gap"])
+        end = start + F.length(part["match"])
+        near = F.concat(F.right(part["gap"], F.lit(NEAR)), F.lit(" "), F.left(part["next"], F.lit(NEAR)))
+        return F.struct(end.alias("at"), F.array_append(seen["out"], F.struct(start.alias("start"), end.alias("end"), part["match"].alias("match"), near.alias("near"))).alias("out"))
+
+    def placed(parts: Column) -> Column:
+        """Matches with places, a chunk at a time, as appending to one long array would take quadratic time."""
+        chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int"))
+        chunk = lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK))
+        lengths = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["match"])))
+
+        def from_starts(sizes: Column) -> Column:
+            start = lambda c: F.aggregate(F.slice(sizes, F.lit(1), c), F.lit(0), lambda a, n: a + n)
+            return F.flatten(F.transform(chunks, lambda c: F.aggregate(chunk(c), F.struct(start(c).alias("at"), none.alias("out")), step, lambda seen: seen["out"])))
 
-    def step(seen: Column, pair: Column) -> Column:
-        start = seen["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.array_append(seen["out"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))).alias("out"))
+        return bound(lengths, from_starts)
 
-    pairs = F.arrays_zip(matches.alias("match"), gaps.alias("gap"))  # the last gap has no match
-    found = F.aggregate(F.slice(pairs, 1, F.size(pairs) - 1), empty, step, lambda seen: seen["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty["out"])
+    parts = bound(gaps, lambda g: F.arrays_zip(matches.alias("match"), F.slice(g, 1, F.size(g) - 1).alias("gap"), F.slice(g, 2, F.size(g)).alias("next")))
+    return F.when(text.rlike(pattern), bound(parts, placed)).otherwise(none)
 
 
 def spans(text: Column, kind: Kind) -> Column:
     """The kind's valid matches, with scores."""
-    near = lambda m: F.concat(F.substring(text, F.greatest(m["start"] + 1 - NEAR, F.lit(1)), F.least(m["start"], F.lit(NEAR))), F.lit(" "), F.substring(text, m["end"] + 1, NEAR))
-    score = lambda m: F.when(F.lower(near(m)).rlike(kind.context), kind.score + CONTEXT_SCORE).otherwise(kind.score)
+    score = lambda m: F.when(F.lower(m["near"]).rlike(kind.context), kind.score + CONTEXT_SCORE).otherwise(kind.score)
     found = F.transform(
         F.filter(proposals(text, kind.pattern), lambda m: valid(kind.name, m["match"])),
         lambda m: F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.least(score(m), F.lit(1.0)).alias("score")),

@@ -201,6 +201,15 @@ def test_personal_data(spark, awkward):
     assert "sha256" in "".join(queries.op9_pii(spark, FOLDER).columns)
 
 
+def test_personal_data_in_long_runs(spark):
+    n = 200_000
+    texts = ["a" * n, "1" * n, "a@" + "b" * n, "a@b" + ".c" * n, "1." * n, "1 " * n, "+1" + " " * n, "." * n, "a@" * n, "+1" * n, "1" * n + ".2.3.4"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.base_spans] for r in pii.find(d).collect()}
+    assert {k: len(v) for k, v in got.items()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: n // 4, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0, 10: 0}
+    assert got[3] == [("email", 0, 3 + 2 * n)]
+
+
 def test_further_personal_data_needs_checksums_or_context(spark):
     texts = ["IBAN DE89 3704 0044 0532 0130 00.", "IBAN DE89 3704 0044 0532 0130 01.", "my ssn is 219-09-9999", "part 219-09-9999", "amex card 378282246310005", "number 378282246310005", "call (212) 555-0100", "+1 212 555-0100"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
