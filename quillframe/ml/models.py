@@ -262,3 +262,50 @@ def batches(df: DataFrame, order: Sequence[str], size: int, seed: int | None = N
             held = []
     if held and not drop_last:
         yield pd.DataFrame(held, columns=df.columns)
+
+
+class TSNE:
+    """Exact embedding of at most ``most`` rows, on the driver; larger tables are sampled by hash."""
+
+    def __init__(self, features: Sequence[str], n_components: int = 2, perplexity: float = 30.0, steps: int = 300, rate: float = 200.0, seed: int = 0, most: int = 2000):
+        self.features, self.n, self.perplexity, self.steps, self.rate, self.seed, self.most = list(features), n_components, perplexity, steps, rate, seed, most
+
+    def fit_transform(self, df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, *self.features).orderBy(F.xxhash64(key, F.lit(self.seed)), key).limit(self.most).collect()
+        x = np.array([tuple(r)[1:] for r in rows], float).reshape(len(rows), -1)
+        y = self._embed(x) if len(x) > 1 else np.zeros((len(x), self.n))
+        kind = df.schema[key].dataType.simpleString()
+        return df.sparkSession.createDataFrame([(r[0], *map(float, v)) for r, v in zip(rows, y, strict=True)], f"{key} {kind}, " + ", ".join(f"t{k} double" for k in range(self.n)))
+
+    def _neighbours(self, d: np.ndarray) -> np.ndarray:
+        """Joint probabilities whose rows have the wanted perplexity, by bisection of each row's precision."""
+        n = len(d)
+        wanted = math.log(min(self.perplexity, max(1.0, (n - 1) / 3)))
+        low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
+        for _ in range(60):
+            p = np.exp(-(d - np.where(np.eye(n), np.inf, d).min(axis=1, keepdims=True)) * beta[:, None])
+            np.fill_diagonal(p, 0)
+            p /= p.sum(axis=1, keepdims=True)
+            entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+            wide = entropy > wanted
+            low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+            beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+        p = p + p.T
+        return np.maximum(p / p.sum(), 1e-12)
+
+    def _embed(self, x: np.ndarray) -> np.ndarray:
+        squares = (x * x).sum(axis=1)
+        p = self._neighbours(np.maximum(squares[:, None] + squares - 2 * x @ x.T, 0))
+        y = np.random.default_rng(self.seed).normal(0, 1e-4, (len(x), self.n))
+        velocity, gains = np.zeros_like(y), np.ones_like(y)
+        for step in range(self.steps):
+            s = (y * y).sum(axis=1)
+            near = 1 / (1 + np.maximum(s[:, None] + s - 2 * y @ y.T, 0))
+            np.fill_diagonal(near, 0)
+            force = ((4 if step < 100 else 1) * p - near / near.sum()) * near
+            gradient = 4 * (force.sum(axis=1)[:, None] * y - force @ y)
+            gains = np.maximum(np.where(np.sign(gradient) != np.sign(velocity), gains + 0.2, gains * 0.8), 0.01)
+            velocity = (0.5 if step < 250 else 0.8) * velocity - min(self.rate, len(x) / 4) * gains * gradient
+            y = y + velocity
+            y -= y.mean(axis=0)
+        return y

@@ -313,3 +313,17 @@ def group_k_fold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
         at.append((g, f))
     folds = df.sparkSession.createDataFrame(at, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
     return df.join(folds, group)
+
+
+def leave_one_out(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with ``fold``, the position of each row: every row is once the test."""
+    return ordering.numbered(df, order, "fold")
+
+
+def leave_p_out(n: int, p: int, most: int = 100_000) -> list[tuple[int, ...]]:
+    """The test positions of every split, for small n."""
+    from itertools import combinations
+
+    if math.comb(n, p) > most:
+        raise InvalidParameterError(f"more than {most} splits", "p", p)
+    return list(combinations(range(n), p))

@@ -73,3 +73,33 @@ def make_circles(spark: SparkSession, n: int, factor: float = 0.8, noise: float
     outer, t = F.pmod("id", F.lit(2)) == 0, uniform(seed * 97) * (2 * math.pi)
     r = F.when(outer, 1.0).otherwise(factor)
     return spark.range(n).select("id", (r * F.cos(t) + normal(seed * 97 + 1, 0.0, noise)).alias("x0"), (r * F.sin(t) + normal(seed * 97 + 2, 0.0, noise)).alias("x1"), F.when(outer, 0).otherwise(1).alias("label"))
+
+
+def poisson(seed: int, mean: float, key: str = "id") -> Column:
+    """By inversion: the number of terms of the distribution's sum below a uniform number."""
+    most = int(mean + 12 * math.sqrt(mean) + 20)
+    sums, term = [], math.exp(-mean)
+    total = term
+    for k in range(1, most):
+        sums.append(total)
+        term *= mean / k
+        total += term
+    return F.size(F.filter(F.array(*map(F.lit, sums)), lambda s: s < uniform(seed, key=key)))
+
+
+def gamma(seed: int, shape: int, scale: float = 1.0, key: str = "id") -> Column:
+    """For whole shapes: a sum of exponential numbers."""
+    return sum((exponential(seed * 1009 + k, scale, key) for k in range(shape)), F.lit(0.0))
+
+
+def beta(seed: int, a: int, b: int, key: str = "id") -> Column:
+    x, y = gamma(2 * seed, a, key=key), gamma(2 * seed + 1, b, key=key)
+    return x / (x + y)
+
+
+def make_gaussian_quantiles(spark: SparkSession, n: int, features: int = 2, classes: int = 3, seed: int = 0) -> DataFrame:
+    """One cloud, with labels by equal parts of its distance from the middle."""
+    x = spark.range(n).select("id", *(normal(seed * 97 + j).alias(f"x{j}") for j in range(features)))
+    r = sum((F.col(f"x{j}") * F.col(f"x{j}") for j in range(features)), F.lit(0.0))
+    cuts = x.agg(F.percentile(r, F.array(*(F.lit(k / classes) for k in range(1, classes))))).first()[0] if classes > 1 else []
+    return x.withColumn("label", sum(((r >= float(c)).cast("int") for c in cuts), F.lit(0)))

@@ -144,3 +144,20 @@ def test_settings():
     with pytest.raises(Exception, match="unknown setting"):
         config.set_config(nothing=1)
     assert config.normalize_axis(-1, 2) == 1
+
+
+def test_random_columns(spark):
+    d = spark.range(4000).select(generated.poisson(1, 3.0).alias("p"), generated.gamma(2, 3, 2.0).alias("g"), generated.beta(3, 2, 2).alias("b"), generated.binomial(4, 10, 0.3).alias("n"), generated.normal(5).alias("z"))
+    m = d.agg(*(F.avg(c).alias(c) for c in d.columns)).first()
+    assert (m.p, m.g, m.b, m.n, m.z) == pytest.approx((3, 6, 0.5, 3, 0), abs=0.15)
+    assert generated.make_gaussian_quantiles(spark, 300).groupBy("label").count().agg(F.min("count")).first()[0] == 100
+
+
+def test_embedding_and_splits(spark):
+    d = generated.make_blobs(spark, 60, [[0.0] * 5, [30.0] * 5])
+    e = {r.id: (r.t0, r.t1) for r in models.TSNE([f"x{i}" for i in range(5)], perplexity=10).fit_transform(d, "id").collect()}
+    inside = np.mean([math.dist(e[i], e[i + 2]) for i in range(0, 50, 2)])
+    across = np.mean([math.dist(e[i], e[i + 1]) for i in range(0, 50, 2)])
+    assert across > 2 * inside
+    assert len(prep.leave_p_out(5, 2)) == 10
+    assert prep.leave_one_out(d, ["id"]).select("fold").distinct().count() == 60
