@@ -80,4 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_gam": op10_quality_gam,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    i AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 13 THEN [w] ELSE list_transform(range(1, len(w) - 11), lambda k: w[k:k + 12]) END) AS win FROM b),
+    n AS (SELECT DISTINCT len(win) AS n FROM i), c AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, n),
+    h AS (SELECT doc_id, item_id, s, n FROM (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM c) JOIN (SELECT item_id, array_to_string(win, ' ') AS k FROM i) USING (k)),
+    p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM h) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(found, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
