@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillframe.llm._common import durable
 
 LOW_BITS = 24
-RANGE_ROWS = 20_000
+#: rows of a range at least, and ranges at most, by which tasks share the numbering
+RANGE_ROWS, MOST_RANGES = 250, 1 << 14
 PROBES = 64
 
 
@@ -105,10 +106,11 @@ def shards_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     named = F.array(*map(F.lit, sorted(placed))) if placed else F.array().cast("array<bigint>")
     light = rows.where(~F.array_contains(named, F.col("group"))) if placed else rows
     cuts = np.sort(splitters(light, np.cumsum(room)[:-1].tolist(), most))
-    # ranges of keys for the tasks: even cuts through the whole, and through each large group
+    # candidate ranges of keys: even cuts through the whole, and through each large group
     step = 1 << LOW_BITS
-    edges = np.linspace(-(2.0**63), 2.0**63, max(64, min(n_rows // RANGE_ROWS, 1 << 16)), endpoint=False)[1:].astype(np.int64)
-    inner = [np.linspace(0, step, int(r.n // RANGE_ROWS * 4 + 16), endpoint=False).astype(np.int64) + r.group * step for r in large]
+    wanted = max(RANGE_ROWS, n_rows // MOST_RANGES)
+    edges = np.linspace(-(2.0**63), 2.0**63, max(4096, min(4 * n_rows // wanted, 1 << 16)), endpoint=False)[1:].astype(np.int64)
+    inner = [np.linspace(0, step, int(4 * r.n // wanted + 16), endpoint=False).astype(np.int64) + r.group * step for r in large]
     after = [np.array([(r.group + 1) * step], np.int64) for r in large if r.group + 1 < (1 << 63) >> LOW_BITS]
     edges = np.unique(np.concatenate([edges, cuts, *inner, *after]))
     firsts = np.concatenate(([-(1 << 63)], edges)).astype(np.int64)
@@ -117,8 +119,17 @@ def shards_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
         if int(group) in placed:
             owner[k] = placed[int(group)]
     _, n = histogram(rows, edges)
-    base, so_far = np.zeros(len(firsts), np.int64), np.zeros(shards, np.int64)
-    for k in range(len(firsts)):
+    # neighbours of one shard become a range until it has the wanted rows, so that tasks get even shares
+    heads = [0]
+    held = n[0]
+    for k in range(1, len(firsts)):
+        if owner[k] != owner[heads[-1]] or held + n[k] > wanted:
+            heads.append(k)
+            held = 0
+        held += n[k]
+    n, owner, edges = np.add.reduceat(n, heads), owner[heads], firsts[heads][1:]
+    base, so_far = np.zeros(len(heads), np.int64), np.zeros(shards, np.int64)
+    for k in range(len(heads)):
         base[k], so_far[owner[k]] = so_far[owner[k]], so_far[owner[k]] + n[k]
 
     arrow = pa.schema([("range", pa.int32()), ("base", pa.int64()), ("shard", pa.int32())])
