@@ -83,6 +83,41 @@ class Frame:
             raise InvalidParameterError("n must not be negative", "n", n)
         return self._with(self.df.orderBy(*(F.col(c).desc_nulls_last() for c in self.order)).limit(n))
 
+    def set_index(self, name: str) -> Frame:
+        """The frame ordered by a column, whose values must be unique: a row beside its double is an error when read."""
+        self._known([name])
+        twice = self.df.groupBy(name).agg(F.count("*").alias("__n")).where("__n > 1").limit(1)
+        if not twice.isEmpty():
+            raise DataValidationError(f"values of {name} repeat")
+        return Frame(self.df, [name])
+
+    def get(self, name: str, kind: type[T.DataType] | None = None) -> Series:
+        """One column; with a kind, an error unless it has that type."""
+        self._known([name])
+        if kind is not None and not isinstance(self._type(name), kind):
+            raise DataValidationError(f"{name} is {self._type(name).simpleString()}")
+        return Series(self, name)
+
+    def to_arrays(self, into: str = "v", names: Sequence[str] | None = None) -> Frame:
+        """One array of doubles a row, beside the order columns; null is NaN."""
+        chosen = names or [c for c in self._numeric() if c not in self.order]
+        row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in chosen))
+        return self._with(self.df.select(*self.order, row.alias(into)))
+
+    @staticmethod
+    def from_arrays(df: DataFrame, name: str, width: int, columns: Sequence[str] | None = None, order: Sequence[str] = ()) -> Frame:
+        """A column for each place of an array column: col0, col1, ... or the given names."""
+        names = list(columns or (f"col{i}" for i in range(width)))
+        return Frame(df.select(*order, *(F.get(name, i).alias(c) for i, c in enumerate(names))), order)
+
+    def to_rows(self) -> list[tuple]:
+        """All rows in order, on the driver: for results that fit there."""
+        return [tuple(r) for r in self.ordered().collect()]
+
+    def text(self, most: int = 20) -> str:
+        """The first rows as a table of text."""
+        return self.ordered()._show_string(most, False)
+
     # -- projection, filters, cleaning ------------------------------------------------------------------------------
 
     def select(self, names: Sequence[str]) -> Frame:
@@ -381,3 +416,75 @@ class Frame:
         if {var_name, value_name} & set(id_vars):
             raise DataValidationError("the new names are taken")
         return self.df.unpivot(list(id_vars), list(value_vars), var_name, value_name)
+
+
+class Series:
+    """One column of a frame. Statistics skip null and NaN but, unlike grouped ones, keep infinite values."""
+
+    def __init__(self, frame: Frame, name: str):
+        self.frame, self.name = frame, name
+
+    def _agg(self, value: Column) -> object:
+        return self.frame.df.agg(value.alias("v")).first().v
+
+    def _value(self) -> Column:
+        own = F.col(self.name)
+        return F.when(~self.frame._missing(self.name), own)
+
+    def __len__(self) -> int:
+        return self.frame.df.count()
+
+    def sum(self) -> float:
+        found = self._agg(F.sum(self._value()))
+        if found is None and not len(self):
+            raise DataValidationError("the sum of nothing")
+        return found or 0
+
+    def mean(self) -> float | None:
+        return self._agg(F.avg(self._value()))
+
+    def median(self) -> float | None:
+        return self._agg(F.median(self._value()))
+
+    def std(self) -> float | None:
+        return self._agg(F.stddev_samp(self._value()))
+
+    def var(self) -> float | None:
+        return self._agg(F.var_samp(self._value()))
+
+    def min(self) -> object:
+        return self._agg(F.min(self._value()))
+
+    def max(self) -> object:
+        return self._agg(F.max(self._value()))
+
+    def unique(self) -> list:
+        return [r[0] for r in self.frame.unique(self.name).collect()]
+
+    def value_counts(self) -> DataFrame:
+        return self.frame.value_counts(self.name)
+
+    def map(self, function: Callable[[Column], Column]) -> Series:
+        """function of the column, as a column."""
+        return Series(self.frame._with(self.frame.df.withColumn(self.name, function(F.col(self.name)))), self.name)
+
+    def filter(self, predicate: Callable[[Column], Column]) -> Series:
+        return Series(self.frame.filter(predicate(F.col(self.name))), self.name)
+
+    def sort(self, ascending: bool = True) -> Series:
+        return Series(self.frame.sort(self.name, ascending), self.name)
+
+    def head(self, n: int = 5) -> list:
+        return [r[self.name] for r in self.frame.head(n).ordered().collect()]
+
+    def tail(self, n: int = 5) -> list:
+        return [r[self.name] for r in self.frame.tail(n).ordered().collect()]
+
+    def iloc(self, position: int) -> object:
+        found = self.frame.iloc(position).df.first()
+        if found is None:
+            raise PositionError(f"position {position} is beyond the end")
+        return found[self.name]
+
+    def to_list(self) -> list:
+        return [r[self.name] for r in self.frame.ordered().select(self.name).collect()]

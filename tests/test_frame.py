@@ -132,3 +132,24 @@ def test_plans_push_filters_and_columns(spark):
     plan = f.df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,25.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_columns_as_series_and_arrays(spark):
+    f = frame(spark, [(0, 2.0, "b"), (1, NAN, "a"), (2, 4.0, "b")], "i int, v double, s string")
+    v = f.get("v")
+    assert (v.sum(), v.mean(), v.median(), v.min(), v.max(), len(v)) == (6, 3, 3, 2, 4, 3)
+    assert f.get("s").unique() == ["b", "a"]
+    assert f.get("i").map(lambda c: c * 2).to_list() == [0, 2, 4]
+    assert f.get("i").filter(lambda c: c > 0).head(1) == [1]
+    assert f.get("i").sort(False).frame.df.first().i == 2
+    assert f.get("i").iloc(1) == 1
+    with pytest.raises(IndexError):
+        f.get("i").iloc(9)
+    rows = f.to_arrays(names=["i", "v"]).to_rows()
+    assert rows[0] == (0, [0.0, 2.0])
+    back = Frame.from_arrays(f.to_arrays(names=["i", "v"]).df, "v", 2, order=["i"])
+    assert back.columns == ["i", "col0", "col1"]
+    assert "v" in f.text()
+    with pytest.raises(DataValidationError):
+        f.set_index("s")
+    assert f.set_index("i").order == ["i"]
