@@ -9,7 +9,7 @@ from quillframe.functions import plotdata
 from quillframe.ml import linear, models
 from quillframe.plans.registry import query
 from quillframe.sources import files, generated
-from quillframe.streaming import windows
+from quillframe.streaming import state, windows
 
 
 def _row(t, **values):
@@ -179,3 +179,13 @@ def tumbling_window(t):
 )
 def session_window(t):
     return windows.sessions(t.events, "ts", "30 minutes", ["user_id"], [F.count("*").alias("n")]).drop("end")
+
+
+@query("running_totals", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def running_totals(t):
+    return state.running_totals(t.events, "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("sliding_window", """SELECT start, count(*) AS n FROM (SELECT ts, unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS start FROM events) GROUP BY start""")
+def sliding_window(t):
+    return windows.tumbling(t.events, "ts", "2 hours", [], [F.count("*").alias("n")], slide="1 hour").drop("end")

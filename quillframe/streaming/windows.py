@@ -28,11 +28,6 @@ def sessions(df: DataFrame, time: str, gap: str, by: Sequence[str], aggregates:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(c for c in out.columns if c != "w"))
 
 
-def first_of_each(df: DataFrame, time: str, keys: Sequence[str], late: str) -> DataFrame:
-    """One event a key within the watermark's reach."""
-    return _marked(df, time, late).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
-
-
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there, in Parquet, and stop; the checkpoint makes it resume and never repeat a row."""
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -16,3 +16,21 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.start, r.event_type): r.n for r in batch.collect()}
     assert got
     assert all(want[k] == n for k, n in got.items())
+
+
+def test_state_over_a_stream(spark, tmp_path):
+    from quillframe.streaming import state
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").drop("ts").repartition(4)
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            seen[r.event_type] = (r.n, round(r.total, 4))
+
+    run = state.running_totals(stream, "event_type", "value").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    want = {r.event_type: (r.n, round(r.total, 4)) for r in state.running_totals(events, "event_type", "value").collect()}
+    assert seen == want
