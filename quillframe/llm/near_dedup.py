@@ -215,41 +215,6 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, exact binary, sketch array<long>")
 
 
-def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What shares sketches among the documents of ``unique`` (doc_id, sketch).
-
-    (depth, docs): the members of each small bucket; (depth, centre, doc_id): each other member of a large one and its
-    centre. That is the document in most large buckets, as what a group was copied from is in more of them than any
-    copy; of several the smallest.
-    """
-    own = lambda k: F.get("sketch", F.lit(k) if isinstance(k, int) else k)
-    members = unique.where(F.size("sketch") > 0).select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("at"))
-    members = members.withColumn("level1", F.xxhash64("at", own(F.col("at"))))
-    for depth in range(1, DEPTH):  # a bucket of a level is told by its path of sketches
-        members = members.withColumn(f"level{depth + 1}", F.xxhash64(f"level{depth}", own((F.col("at") + depth) % SKETCHES)))
-    members = members.drop("sketch", "at")
-    small, large = [], []
-    for depth in range(1, DEPTH + 1):
-        members = members.withColumnRenamed(f"level{depth}", "bucket")
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        found = durable(members.join(sizes, "bucket"))
-        docs = found.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
-        small.append(docs.groupBy("docs").agg(F.lit(depth).alias("depth")))
-        hot = found.where(F.col("n") > BUCKET)
-        often = hot.select("bucket", "doc_id", F.count("*").over(Window.partitionBy("doc_id")).alias("times"))
-        centres = often.groupBy("bucket").agg((-F.max(F.struct("times", (-F.col("doc_id")).alias("id")))["id"]).alias("centre"))
-        large.append(hot.select("bucket", "doc_id").join(centres, "bucket").where("doc_id != centre").select(F.lit(depth).alias("depth"), "centre", "doc_id"))
-        if depth == DEPTH or hot.isEmpty():
-            break
-        members = hot.drop("bucket", "n")
-    sets, pairs = small[0], large[0]
-    for more_sets, more_pairs in zip(small[1:], large[1:], strict=True):
-        sets, pairs = sets.unionByName(more_sets), pairs.unionByName(more_pairs)
-    sets = sets.groupBy("docs").agg(F.min("depth").alias("depth"))
-    pairs = pairs.groupBy("centre", "doc_id").agg(F.min("depth").alias("depth"), F.count("*").alias("times"))
-    return durable(sets), durable(pairs)
-
-
 def chunked(pairs: DataFrame) -> DataFrame:
     """(set, doc_id): the partners of each ``centre`` in sets of about BUCKET, each with that document."""
     chunks = pairs.groupBy("centre").agg(F.ceil(F.count("*") / BUCKET).alias("chunks"))
@@ -276,30 +241,71 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(texts.join(sets.distinct(), "doc_id").select("set", "doc_id", "text", "class").groupBy("set").applyInArrow(search, "a long, b long"))
 
 
+def paths(unique: DataFrame) -> DataFrame:
+    """doc_id and level1, level2, ...: for each sketch of a document, its bucket, and the buckets it is in by this and the next sketches."""
+    own = lambda k: F.get("sketch", k)
+    rows = unique.where(F.size("sketch") > 0).select("doc_id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("at"))
+    rows = rows.withColumn("level1", F.xxhash64("at", own(F.col("at"))))
+    for depth in range(1, DEPTH):
+        rows = rows.withColumn(f"level{depth + 1}", F.xxhash64(f"level{depth}", own((F.col("at") + depth) % SKETCHES)))
+    return rows.drop("sketch", "at")
+
+
+def centred(hot: DataFrame) -> DataFrame:
+    """(centre, doc_id, times): the members of large buckets and their buckets' centres.
+
+    A centre is the document in most large buckets, as what a group was copied from is in more of them than any copy;
+    of several the smallest.
+    """
+    often = hot.select("bucket", "doc_id", F.count("*").over(Window.partitionBy("doc_id")).alias("times"))
+    centres = often.groupBy("bucket").agg((-F.max(F.struct("times", (-F.col("doc_id")).alias("id")))["id"]).alias("centre"))
+    pairs = hot.select("bucket", "doc_id").join(centres, "bucket").where("doc_id != centre")
+    return pairs.groupBy("centre", "doc_id").agg(F.count("*").alias("times"))
+
+
 def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links that connect every class of the documents of ``unique`` (doc_id, sketch).
 
-    First the small buckets of one sketch are searched, and each member of large ones meets the document it meets most
-    often; then everything that these links have not put in one class yet.
+    Level by level: small buckets are searched, members of large ones meet their centre; at first only the centre that
+    each meets most often. Large buckets that then still hold documents of different classes go on to the next level.
     """
-    sets, pairs = buckets(unique)
-    wanted = sets.select(F.explode("docs").alias("doc_id")).unionAll(pairs.select("doc_id")).unionAll(pairs.select("centre")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    texts = durable(texts.join(wanted.hint("merge"), "doc_id"))  # the same plan at any size: a broadcast would grow with the corpus
-    most = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("centre")).alias("other"))).alias("most"))
-    first = exploded(sets.where("depth = 1")).unionAll(chunked(most.select((-F.col("most.other")).alias("centre"), "doc_id")))
-    found = links(first, texts.withColumn("class", F.col("doc_id")))
-    classed = connected_components(found)
-    label = lambda c: classed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
-    rest = pairs.join(label("centre"), "centre", "left").join(label("doc_id"), "doc_id", "left")
-    rest = rest.where(F.coalesce("centre_class", "centre") != F.coalesce("doc_id_class", "doc_id")).select("centre", "doc_id")
-    members = exploded(sets.where("depth > 1")).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
-    mixed_sets = members.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
-    second = durable(chunked(durable(rest)).unionAll(members.join(mixed_sets, "set", "left_semi").select("set", "doc_id")))
-    if second.isEmpty():
-        return found
-    texts = texts.join(label("doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("doc_id_class", "doc_id").alias("class"))
-    return found.unionAll(links(second, texts))
+    members, found, texts, classed, waiting = paths(unique), None, None, None, None
+    for depth in range(1, DEPTH + 1):
+        members = members.withColumnRenamed(f"level{depth}", "bucket")
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        shared = durable(members.join(sizes, "bucket"))
+        small = shared.where(F.col("n") <= BUCKET).groupBy("bucket").agg(F.array_sort(F.collect_set("doc_id")).alias("docs")).select("docs").distinct()
+        hot = shared.where(F.col("n") > BUCKET)
+        more = not hot.isEmpty()
+        pairs = durable(centred(hot)) if more else None
+        if depth == 1:
+            texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+            # the same plan at any size: a broadcast would grow with the corpus
+            texts = durable(texts.join(shared.select("doc_id").distinct().hint("merge"), "doc_id"))
+            sets = exploded(small)
+            if more:
+                most = pairs.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("centre")).alias("other"))).alias("most"))
+                sets = sets.unionAll(chunked(most.select((-F.col("most.other")).alias("centre"), "doc_id")))
+                waiting = pairs.select("centre", "doc_id")
+            found = links(sets, texts.withColumn("class", F.col("doc_id")))
+        else:
+            label = lambda c, classed=classed: classed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+            waiting = waiting.unionAll(pairs.select("centre", "doc_id")).distinct() if more else waiting
+            apart = waiting.join(label("centre"), "centre", "left").join(label("doc_id"), "doc_id", "left")
+            apart = apart.where(F.coalesce("centre_class", "centre") != F.coalesce("doc_id_class", "doc_id")).select("centre", "doc_id")
+            inside = exploded(small).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
+            mixed_sets = inside.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
+            sets = chunked(durable(apart)).unionAll(inside.join(mixed_sets, "set", "left_semi").select("set", "doc_id"))
+            known = texts.join(label("doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("doc_id_class", "doc_id").alias("class"))
+            found, waiting = found.unionAll(links(sets, known)), apart.limit(0)
+        if not more or depth == DEPTH:
+            return found
+        classed = durable(connected_components(found))
+        of = classed.select(F.col("node").alias("doc_id"), "component")
+        hot = hot.join(of, "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id"))
+        mixed_buckets = hot.groupBy("bucket").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("bucket")
+        members = hot.join(mixed_buckets, "bucket", "left_semi").drop("bucket", "n", "component", "class")
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
