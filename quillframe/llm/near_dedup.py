@@ -10,7 +10,9 @@ connected components of links.
 Equal word sequences are one document from the start. A bucket of up to ``BUCKET`` documents is searched inside one
 task, which emits the links of a spanning forest. A larger bucket is split into chunks of that size, each joined by
 the bucket's centre, and its members are bucketed again by this and the next sketch, and so on for
-``DEPTH`` sketches; thus members that do not resemble the centre still meet those that they resemble.
+``DEPTH`` sketches; thus many members that do not resemble the centre still meet those that they resemble. What is left
+then is settled exactly: each member that is not in the largest class of its centre's group is held against all of the
+group, so that no two documents that share a sketch go without a comparison or a class in common.
 Sets of documents that meet in several buckets are searched once, and what earlier links connect is not compared again.
 
 Defined results: a text without words is in a class with rows of equal text only; null and empty texts, and rows
@@ -36,6 +38,7 @@ from quillframe.plans.components import connected_components
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, TAKEN = 24, 3
 BUCKET, DEPTH = 48, 4
+BLOCK = 4 << 20  # bytes of texts on either side of one exact search
 CELLS = 1 << 20
 
 
@@ -191,6 +194,37 @@ def forest(texts: list[Text], classes: list[int]) -> list[tuple[int, int]]:
     return links
 
 
+def crossing(asks: list[Text], members: list[Text], classes: list[int], ask_classes: list[int]) -> list[tuple[int, int]]:
+    """Links (ask, member) between documents of different classes that, with those which made the classes, connect what such pairs connect.
+
+    Common k-mers of an ask and every member are counted by an inverted index, so only pairs with enough of them are aligned.
+    """
+    sizes = np.array([len(t.marks) for t in members])
+    marks = np.concatenate([t.marks for t in members])
+    order = np.argsort(marks, kind="stable")
+    marks, owner = marks[order], np.repeat(np.arange(len(members)), sizes)[order]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    links = []
+    for k, ask in enumerate(asks):
+        low, high = np.searchsorted(marks, ask.marks, "left"), np.searchsorted(marks, ask.marks, "right")
+        met = [owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
+        if not met:
+            continue
+        common = np.bincount(np.concatenate(met), minlength=len(members))
+        for other in np.flatnonzero((common > 0) & (common >= SIMILAR * (sizes + len(ask.marks) - common))).tolist():
+            a, b = find(ask_classes[k]), find(classes[other])
+            if a != b and members[other].like(ask):
+                links.append((k, other))
+                root[max(a, b)] = min(a, b)
+    return links
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, exact (a 128-bit key of its words, null for an empty text) and its sketches."""
     arrow = pa.schema([("doc_id", pa.int64()), ("exact", pa.binary()), ("sketch", pa.list_(pa.int64()))])
@@ -276,11 +310,51 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(texts.join(sets.distinct(), "doc_id").select("set", "doc_id", "text", "class").groupBy("set").applyInArrow(search, "a long, b long"))
 
 
+def labelled(rows: DataFrame, classed: DataFrame) -> DataFrame:
+    """rows with the class of each doc_id: its component, or itself."""
+    return rows.join(classed.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("component", "doc_id")).drop("component")
+
+
+def remainder(pairs: DataFrame, texts: DataFrame, classed: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of each centre's group, by comparing what is not in its largest class with all of it.
+
+    The group of a centre is the union of its large buckets. Both sides of the comparison are cut into blocks of about
+    BLOCK bytes, so no task grows with a group; where all of a group is in one class, as copies mostly are, there is none.
+    """
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    group = pairs.where("depth = 1").select("centre", "doc_id")
+    group = labelled(group.unionAll(group.select("centre", F.col("centre").alias("doc_id")).distinct()), classed)
+    largest = group.groupBy("centre", "class").agg(F.count("*").alias("n")).groupBy("centre")
+    largest = largest.agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    group = durable(group.join(largest.select("centre", "largest"), "centre").withColumn("asks", F.col("class") != F.col("largest")))
+    if group.isEmpty():
+        return texts.sparkSession.createDataFrame([], "a long, b long")
+    group = group.join(texts.select("doc_id", F.length("text").alias("bytes")), "doc_id")
+    blocks = group.groupBy("centre").agg(*(F.ceil((F.sum(v) + 1) / BLOCK).alias(n) for n, v in (("rows", F.col("bytes")), ("columns", F.when(F.col("asks"), F.col("bytes")).otherwise(0)))))
+    group = group.join(blocks, "centre")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sides = group.select("centre", own("rows").alias("row"), upto("columns").alias("column"), "doc_id", "class", F.lit(False).alias("ask"))
+    sides = sides.unionAll(group.where("asks").select("centre", upto("rows").alias("row"), own("columns").alias("column"), "doc_id", "class", F.lit(True).alias("ask")))
+
+    def search(block: pa.Table) -> pa.Table:
+        found, known = [], Words()
+        rows = block.sort_by("doc_id").select(["ask", "doc_id", "class", "text"]).to_pylist()
+        asks, members = ([r for r in rows if r["ask"] == side] for side in (True, False))
+        if asks and members:
+            made = [[Text(r.pop("text"), known) for r in side] for side in (asks, members)]
+            found = crossing(*made, [r["class"] for r in members], [r["class"] for r in asks])
+        ends = [asks[k]["doc_id"] for k, _ in found], [members[k]["doc_id"] for _, k in found]
+        return pa.Table.from_arrays([pa.array(e, pa.int64()) for e in ends], schema=arrow)
+
+    return durable(sides.join(texts.select("doc_id", "text"), "doc_id").groupBy("centre", "row", "column").applyInArrow(search, "a long, b long"))
+
+
 def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links that connect every class of the documents of ``unique`` (doc_id, sketch).
 
     First the small buckets of one sketch are searched, and each member of large ones meets the document it meets most
-    often; then everything that these links have not put in one class yet.
+    often; then everything that these links have not put in one class yet; at last the exact remainder of large ones.
     """
     sets, pairs = buckets(unique)
     wanted = sets.select(F.explode("docs").alias("doc_id")).unionAll(pairs.select("doc_id")).unionAll(pairs.select("centre")).distinct()
@@ -296,10 +370,10 @@ def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_
     members = exploded(sets.where("depth > 1")).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
     mixed_sets = members.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
     second = durable(chunked(durable(rest)).unionAll(members.join(mixed_sets, "set", "left_semi").select("set", "doc_id")))
-    if second.isEmpty():
-        return found
-    texts = texts.join(label("doc_id"), "doc_id", "left").select("doc_id", "text", F.coalesce("doc_id_class", "doc_id").alias("class"))
-    return found.unionAll(links(second, texts))
+    if not second.isEmpty():
+        found = found.unionAll(links(second, labelled(texts, classed)))
+        classed = connected_components(found)
+    return found.unionAll(remainder(pairs, texts, classed))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,6 +98,32 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 100_000])
+def test_copies_of_copies_in_a_large_family(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(5000)]
+    source = rng.choices(words, k=100)
+    texts = []
+    for _ in range(1000):
+        copy = list(source)
+        copy[rng.randrange(100)] = rng.choice(words)
+        second = list(copy)
+        for _ in range(2):
+            second[rng.randrange(100)] = rng.choice(words)
+        texts += [" ".join(copy), " ".join(second)]
+    rng.shuffle(texts)
+    known = near_dedup.Words()
+    links = near_dedup.forest([near_dedup.Text(t.encode(), known) for t in texts], list(range(len(texts))))
+    want, before = list(range(len(texts))), None
+    while want != before:  # each pass lowers both ends of a link to the smaller class
+        before = list(want)
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == dict(enumerate(want))
+
+
 def test_near_duplicates_of_awkward_tables(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(near_dedup.classes(d).collect(), key=str) == [(1, 1), (1, 1), (None, 1), (None, None)] or {r.class_id for r in near_dedup.classes(d.where("doc_id = 1")).collect()} == {1}
