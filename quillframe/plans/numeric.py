@@ -404,6 +404,12 @@ def silhouette(t):
     return metrics.silhouette(d, ["a", "b"], "label", "vec_id", 100).withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query("silhouette_all")  # every embedding; all pairs are too many for SQL
+def silhouette_all(t):
+    d = t.embeddings.select("vec_id", "label", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
+    return metrics.silhouette(d, ["a", "b"], "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
+
+
 # -- preprocessing --------------------------------------------------------------------------------------------------
 
 

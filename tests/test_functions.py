@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import expr, metrics, special, stats
 from quillframe.ml import linalg, linear, models, prep
+from quillframe.plans import catalogue
 from quillframe.sources import files, generated
 
 
@@ -126,6 +127,21 @@ def test_rank_correlation_against_all_pairs(spark):
     assert 0 <= p <= 1
 
 
+def test_registered_silhouette_takes_every_embedding(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    points, labels = rng.normal(size=(400, 2)), rng.integers(0, 4, 400)
+    rows = [(i, int(c), [float(a), float(b)]) for i, (c, (a, b)) in enumerate(zip(labels, points))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for i in range(400):
+        d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+        a = d[labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1)
+        b = min(d[labels == c].mean() for c in range(4) if c != labels[i])
+        want[i] = (b - a) / max(a, b)
+    got = {r.vec_id: r.silhouette for r in catalogue.QUERIES["silhouette_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
 def test_normality(spark):
     d = generated.make_regression(spark, 300, [1.0], 0.0).select("x0", (F.exp("x0")).alias("e"))
     assert stats.shapiro(d, "x0") > 0.98 > stats.shapiro(d, "e")
