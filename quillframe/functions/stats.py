@@ -298,12 +298,19 @@ def kendall(df: DataFrame, x: str, y: str) -> tuple[float, float]:
     wide = by.groupBy("y").pivot(ordering.BUCKET, buckets).agg(F.sum("w")).fillna(0)
     wide = ordering.running(wide, ["y"], {f"c{b}": (F.col(f"`{b}`"), "sum") for b in buckets})
     totals = {r[0]: r.w for r in by.groupBy(ordering.BUCKET).agg(F.sum("w").alias("w")).collect()}
-    same, opposite, before = F.lit(0), F.lit(0), []
-    for b in buckets:
-        for a in before:
-            same = same + F.col(f"`{b}`") * (F.col(f"c{a}") - F.col(f"`{a}`"))
-            opposite = opposite + F.col(f"`{b}`") * (F.lit(totals[a]) - F.col(f"c{a}"))
-        before.append(b)
+    # one pass over the buckets of each y; an expression for each pair of buckets would nest too deeply to be compiled
+    met = F.array(*(F.struct(F.col(f"`{b}`").cast("long").alias("w"), F.col(f"c{b}").cast("long").alias("c"), F.lit(totals[b]).cast("long").alias("t")) for b in buckets))
+    start = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("below", "above", "same", "opposite")))
+
+    def pass_on(before: Column, b: Column) -> Column:
+        own = b["w"]
+        return F.struct(
+            (before["below"] + b["c"] - own).alias("below"), (before["above"] + b["t"] - b["c"]).alias("above"),
+            (before["same"] + own * before["below"]).alias("same"), (before["opposite"] + own * before["above"]).alias("opposite"),
+        )
+
+    crossed = F.aggregate(met, start, pass_on)
+    same, opposite = crossed["same"], crossed["opposite"]
     far = wide.agg(F.sum(same).alias("s"), F.sum(opposite).alias("o")).first()
     ties = lambda *keys: [F.sum(F.col("t") * (F.col("t") - 1)).alias("a"), F.sum(F.col("t") * (F.col("t") - 1) * (F.col("t") - 2)).alias("b"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("c")]
     tx, ty = (rows.groupBy(k).agg(F.sum("w").cast("double").alias("t")).agg(*ties()).first() for k in ("x", "y"))

@@ -289,6 +289,12 @@ def kendall(t):
     return _row(t, stats.kendall(d, "x", "y")[0])
 
 
+@query("kendall_all")  # every part; all pairs are too many for SQL
+def kendall_all(t):
+    d = t.part.select(F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
+    return _row(t, stats.kendall(d, "x", "y")[0])
+
+
 @query("wilcoxon", """WITH d AS (SELECT l_tax - l_discount AS d FROM lineitem WHERE abs(l_tax - l_discount) > 1e-9), r AS (SELECT d, rank() OVER (ORDER BY round(abs(d), 6)) + (count(*) OVER (PARTITION BY round(abs(d), 6)) - 1) / 2.0 AS r FROM d) SELECT round(sum(r) FILTER (d > 0), 2) AS statistic FROM r""")
 def wilcoxon(t):
     d = t.lineitem.select(F.round(F.col("l_tax") - F.col("l_discount"), 6).alias("d"), F.lit(0.0).alias("z"))

@@ -127,6 +127,28 @@ def test_rank_correlation_against_all_pairs(spark):
     assert 0 <= p <= 1
 
 
+def test_registered_kendall_takes_every_part(spark, tmp_path):
+    rows = [(i + 1, i * 7 % 31, float(i * 11 % 130)) for i in range(1300)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/region.parquet")  # results of one row start from it
+    x, y = np.array([r[1] for r in rows]), np.array([r[2] // 10 for r in rows])
+    s, over = [np.sign(v[:, None] - v[None, :]) for v in (x, y)], np.tril_indices(len(rows), -1)
+    want = (s[0] * s[1])[over].sum() / math.sqrt(np.abs(s[0][over]).sum() * np.abs(s[1][over]).sum())
+    got = catalogue.QUERIES["kendall_all"](spark, str(tmp_path)).first().statistic
+    assert got == pytest.approx(want, abs=1e-6)
+    assert got != catalogue.QUERIES["kendall"](spark, str(tmp_path)).first().statistic
+
+
+def test_kendall_over_many_buckets(spark):
+    rows = [(i * 7 % 61, i * 11 % 23) for i in range(300)]
+    few = stats.kendall(spark.createDataFrame(rows, "x int, y int"), "x", "y")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")  # a bucket for each x
+    try:
+        assert stats.kendall(spark.createDataFrame(rows, "x int, y int").coalesce(1), "x", "y") == pytest.approx(few)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_registered_silhouette_takes_every_embedding(spark, tmp_path):
     rng = np.random.default_rng(3)
     points, labels = rng.normal(size=(400, 2)), rng.integers(0, 4, 400)
