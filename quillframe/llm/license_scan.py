@@ -5,7 +5,9 @@ Words are lower-cased runs of letters and digits; shingles are ``SHINGLE`` words
 of windows shares at least the fraction ``SHARED`` of its shingles wherever a template stands in a text. Each window
 has ``bands_for(SHARED, MISS)`` min-hashes, each a band of its own: the chance that such a pair meets in none is below
 MISS, and a notice of several windows has as many chances. A retrieved template counts if the stretch of text around
-the window holds at least ``CONTAINED`` of the template's shingles, exactly.
+the window holds at least ``CONTAINED`` of the template's shingles, exactly, and of what tells it from the template of
+another license that is nearly the same (each run of shingles that the other lacks: a version, "lesser", "affero") one or
+more shingles; else a license would be reported that differs from the text's own by one word.
 
 A window without a shingle of any template cannot meet one in a band, as a min-hash is the hash of a shingle; texts
 that have none at all are not windowed. Column functions only; the texts are read once and not shuffled, only windows
@@ -17,6 +19,7 @@ row; ties between stretches go to the first; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -28,7 +31,8 @@ from quillframe.llm._common import bound
 SHINGLE, WINDOW, STRIDE = 3, 8, 4
 SHARED, MISS, CONTAINED = 0.5, 1e-3, 0.8
 
-# Wordings of public licenses and of common notices that name them.
+# Wordings of public licenses and of common notices that name them. The notices of the GNU licenses differ in what
+# names the license alone, as a word like program or library would count as telling them apart.
 TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MIT", "Released under the MIT License"),
@@ -40,7 +44,14 @@ TEMPLATES = (
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -86,6 +97,18 @@ def library(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return df.where(F.size("own") > 0).select("template", "license", F.array_distinct("own").alias("shingles"), clipped.alias("windows"))
 
 
+def telling(own: list[int], others: list[list[int]]) -> list[list[int]]:
+    """The runs of a template's shingles that templates of other licenses lack which hold CONTAINED of it."""
+    runs = set()
+    for other in map(set, others):
+        if sum(h in other for h in own) < CONTAINED * len(own):
+            continue
+        for lacks, run in itertools.groupby(own, lambda h: h not in other):  # noqa: B023
+            if lacks:
+                runs.add(tuple(run))
+    return [list(run) for run in sorted(runs)]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """A row for each document and license found in it: id, license, containment (the best) and first_word, where its best stretch's window begins."""
     spark = docs.sparkSession
@@ -94,7 +117,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     vocabulary = sorted({h for r in known for h in r.shingles})
     longest = max((len(template_words(text)) for _, text in templates), default=0)
 
-    table = spark.createDataFrame([(r.template, r.license, r.shingles, r.windows) for r in known], "template int, license string, shingles array<bigint>, windows array<array<bigint>>")
+    rows = [(r.template, r.license, r.shingles, telling(r.shingles, [o.shingles for o in known if o.license != r.license]), r.windows) for r in known]
+    table = spark.createDataFrame(rows, "template int, license string, shingles array<bigint>, telling array<array<bigint>>, windows array<array<bigint>>")
     met = table.select("template", F.explode("windows").alias("window")).select("template", F.explode(bands(F.col("window"), n)).alias("band")).distinct()
 
     cut = docs.select(F.col(id_col), shingles(words(F.coalesce(F.col(text_col), F.lit("")))).alias("own"))
@@ -110,7 +134,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     low = F.greatest(F.col("at") - size - SHINGLE - F.col("begin"), F.lit(0))
     near = F.slice("stretch", low + 1, F.col("at") - F.col("begin") - low + size + SHINGLE + width)
     held = F.size(F.array_intersect(near, "shingles")) / size
-    found = found.select(id_col, "license", "at", held.alias("containment")).where(F.col("containment") >= CONTAINED)
+    told = F.forall("telling", lambda run: F.arrays_overlap(near, run))
+    found = found.where(told).select(id_col, "license", "at", held.alias("containment")).where(F.col("containment") >= CONTAINED)
     # of templates that stand at one place, as two versions of a license do, the closest counts
     found = found.withColumn("most", F.max("containment").over(Window.partitionBy(id_col, "at"))).where("containment = most")
     best = found.groupBy(id_col, "license").agg(F.max(F.struct("containment", (-F.col("at")).alias("at"))).alias("best"))

@@ -249,6 +249,29 @@ def test_licenses(spark, awkward):
     assert 1 - (1 - (1 - license_scan.SHARED) ** license_scan.bands_for(license_scan.SHARED, license_scan.MISS)) <= license_scan.MISS
 
 
+def test_licenses_that_differ_by_a_word(spark):
+    notice = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    gpl = "General Public License"
+    kinds = [("GPL-3.0", gpl, "3"), ("GPL-2.0", gpl, "2"), ("LGPL-3.0", f"Lesser {gpl}", "3"), ("LGPL-2.1", f"Lesser {gpl}", "2.1"), ("LGPL-2.0", f"Library {gpl}", "2"), ("AGPL-3.0", f"Affero {gpl}", "3"), (None, gpl, "1")]
+    want, texts = [], []
+    for name, title, version in kinds:
+        for what in ("program", "library"):
+            for pad in range(4):  # the windows lie differently
+                want.append([name] if name else [])
+                texts.append("pad " * pad + notice.format(what, title, version) + " end" * 20)
+        edited = notice.format("program", title, version).replace("modify it", "change it").replace("any later", "a later")
+        want.append([name] if name else [])
+        texts.append(edited)
+    for name, title, version in kinds[1:]:
+        want.append([name] if name and name != "LGPL-2.0" else [])
+        texts.append(f"It is licensed under the GNU {title}, version {version}")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(d).collect():
+        got[r.doc_id].append(r.license)
+    assert [sorted(got[k]) for k in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("module", [license_scan, pii, url_filter])
 def test_native_plans_run_no_python(spark, module):
     d = documents(spark)
