@@ -6,7 +6,8 @@ starting at the rarest term of each benchmark window, and ``proximity_matches``
 close together in any order. Segments are independent: nothing is shuffled, a very common passage or source
 spreads over the segments like any other text, and a lost task is redone from its own input.
 
-The benchmark is sent to the tasks in blocks of bounded size (``block_bytes``), however large it is.
+The benchmark is sent to the tasks in blocks of bounded size (``block_bytes`` of text, some five times that in a
+worker), however large it is.
 
 Defined results: null or wordless texts have no words and no hits; an item without words matches nothing;
 repeated rows each get their own result row; an empty corpus or benchmark gives no rows or no hits; columns
@@ -96,27 +97,44 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Windows:
-    """Benchmark windows of one length each, as rows of term numbers padded with -1."""
+    """Distinct benchmark windows: places in one array of term numbers, so a word costs a few integers, not a row of them."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         number: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], int] = {}
-        owners: list[set[int]] = []
-        self.items = sorted({name for name, _ in items})
+        self.size, self.items = size, sorted({name for name, _ in items})
         at = {name: i for i, name in enumerate(self.items)}
+        terms, starts, lengths, owners = [np.full(0, -1, np.int32)], [], [], []
+        held = 0
         for name, text in items:
-            terms = [number.setdefault(w, len(number)) for w in words_of(text)]
-            for k in range(max(1, len(terms) - size + 1) if terms else 0):
-                row = rows.setdefault(tuple(terms[k : k + size]), len(rows))
-                if row == len(owners):
-                    owners.append(set())
-                owners[row].add(at[name])
+            own = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+            n = max(1, len(own) - size + 1) if len(own) else 0
+            terms.append(own)
+            starts.append(held + np.arange(n, dtype=np.int32))
+            lengths.append(np.full(n, min(size, len(own)), np.int32))
+            owners.append(np.full(n, at[name], np.int32))
+            held += len(own)
         self.vocabulary = number
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.terms = np.full((len(rows), size), -1, np.int64)
-        for row, terms in enumerate(rows):
-            self.terms[row, : len(terms)] = terms
-        self.owners = [sorted(o) for o in owners]
+        # as many pads as a window may reach beyond the last word
+        self.terms = np.concatenate([*terms, np.full(size, -1, np.int32)])
+        self.starts, self.lengths, owner = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (starts, lengths, owners))
+        rows = np.ascontiguousarray(self.rows(np.arange(len(self.starts))))
+        _, first, same = np.unique(rows.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.starts, self.lengths = self.starts[first], self.lengths[first]
+        pairs = np.unique(same.astype(np.int64) * max(1, len(self.items)) + owner)
+        window, self.owner = np.divmod(pairs, max(1, len(self.items)))
+        self.owner = self.owner.astype(np.int32)
+        self.owner_ends = np.cumsum(np.bincount(window, minlength=len(first))).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def rows(self, windows: np.ndarray) -> np.ndarray:
+        """The term numbers of windows, padded with -1."""
+        column = np.arange(self.size)
+        return np.where(column < self.lengths[windows, None], self.terms[self.starts[windows, None] + column], np.int32(-1))
+
+    def owners(self, window: int) -> list[int]:
+        return self.owner[self.owner_ends[window - 1] if window else 0 : self.owner_ends[window]].tolist()
 
 
 class Segment:
@@ -145,61 +163,65 @@ class Segment:
         inside[inside] = self.keys[found[inside]] == key[inside]
         return inside
 
-    def anchors(self, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates (window, position of its rarest term) and the windows' columns from rare to common, in bounded blocks."""
-        used = windows.terms >= 0
-        freq = np.where(used, self.freq[windows.terms], np.iinfo(np.int64).max)
-        order = np.argsort(freq, axis=1, kind="stable")
-        rows = np.flatnonzero(freq.min(axis=1, initial=np.iinfo(np.int64).max) > 0)
-        sizes = self.freq[windows.terms[rows, order[rows, 0]]]
-        cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, sizes.sum(), 1 << 20)) if len(rows) else []
-        for part, n in zip(np.split(rows, cuts), np.split(sizes, cuts), strict=True):
-            if n.sum():
-                window = np.repeat(part, n)
-                term = windows.terms[window, order[window, 0]]
-                inner = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-                yield window, self.positions[self.first[term] + inner], order
+    def anchors(self, windows: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """In bounded blocks: windows, their terms and columns from rare to common, and candidates (row among these, position of its rarest term)."""
+        most = np.iinfo(np.int64).max
+        for low in range(0, len(windows), 1 << 16):
+            ids = np.arange(low, min(low + (1 << 16), len(windows)))
+            terms = windows.rows(ids)
+            freq = np.where(terms >= 0, self.freq[terms], most)
+            there = freq.min(axis=1) > 0
+            ids, terms, freq = ids[there], terms[there], freq[there]
+            order = np.argsort(freq, axis=1, kind="stable")
+            ranked = np.take_along_axis(terms, order, 1).astype(np.int64)
+            sizes = self.freq[ranked[:, 0]]
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, sizes.sum(), 1 << 20))
+            for part, n in zip(np.split(np.arange(len(ids)), cuts), np.split(sizes, cuts), strict=True):
+                if n.sum():
+                    row = np.repeat(part, n)
+                    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    yield ids, ranked, order, row, self.positions[self.first[ranked[row, 0]] + inner]
 
     def phrases(self, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of every exact occurrence inside one document."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for window, position, order in self.anchors(windows):
-            start = position - order[window, 0]
-            for rank in range(1, windows.terms.shape[1]):
-                column = order[window, rank]
-                term = windows.terms[window, column]
+        for ids, ranked, order, row, position in self.anchors(windows):
+            start = position - order[row, 0]
+            for rank in range(1, windows.size):
+                term = ranked[row, rank]
                 keep = term < 0
-                keep[~keep] = self.has(term[~keep], (start + column)[~keep])
-                window, start = window[keep], start[keep]
-            keep = (start >= 0) & (self.doc(start) == self.doc(start + windows.lengths[window] - 1))
-            found.append((window[keep], start[keep]))
+                keep[~keep] = self.has(term[~keep], (start + order[row, rank])[~keep])
+                row, start = row[keep], start[keep]
+            keep = (start >= 0) & (self.doc(start) == self.doc(start + windows.lengths[ids[row]] - 1))
+            found.append((ids[row[keep]], start[keep]))
         return np.concatenate([w for w, _ in found]), np.concatenate([s for _, s in found])
 
     def doc(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, position, side="right")
 
     def near(self, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of every shortest stretch of at most length + slop words that has all terms, in any order."""
-        hits: set[tuple[int, int]] = set()
-        need: dict[int, list[tuple[int, int]]] = {}
-        for window, position, _ in self.anchors(windows):
-            for w, p in zip(window.tolist(), position.tolist(), strict=True):
-                if w not in need:
-                    need[w] = [(int(t), int(c)) for t, c in zip(*np.unique(windows.terms[w][windows.terms[w] >= 0], return_counts=True), strict=True)]
-                span = int(windows.lengths[w]) + slop
-                d = int(np.searchsorted(self.ends, p, side="right"))
-                low, high = max(p - span + 1, int(self.ends[d - 1]) if d else 0), min(p + span, int(self.ends[d]))
-                near = {}
-                for t, c in need[w]:
-                    own = self.positions[self.first[t] : self.first[t] + self.freq[t]]
-                    near[t] = own[np.searchsorted(own, low) : np.searchsorted(own, high)]
-                    if len(near[t]) < c:
-                        break
-                else:
-                    for s in np.unique(np.concatenate(list(near.values()))).tolist():
-                        if s <= p < s + span and all(np.searchsorted(near[t], s + span) - np.searchsorted(near[t], s) >= c for t, c in need[w]):
-                            hits.add((w, s))
-        pairs = np.array(sorted(hits), np.int64).reshape(-1, 2)
+        """(window, start) of every stretch of at most length + slop words that begins with one of the window's terms and has all of them, in any order."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        begins = np.concatenate(([0], self.ends[:-1]))
+        for ids, ranked, _, every, position in self.anchors(windows):
+            times = (ranked[:, :, None] == ranked[:, None, :]).sum(axis=2)
+            for back in range(windows.size + slop):
+                row, start = every, position - back
+                doc = self.doc(position)
+                end = np.minimum(start + windows.lengths[ids[row]] + slop, self.ends[doc])
+                keep = (start >= begins[doc]) & (position < end)
+                row, start, end = row[keep], start[keep], end[keep]
+                first = np.zeros(len(row), bool)  # whether the stretch begins with a term of the window
+                for rank in range(windows.size):
+                    term = ranked[row, rank]
+                    low = term * self.size
+                    at = np.searchsorted(self.keys, low + start)
+                    last = np.minimum(at + times[row, rank] - 1, len(self.keys) - 1)
+                    keep = (term < 0) | (at + times[row, rank] <= len(self.keys)) & (self.keys[last] < low + end) & (self.keys[last] >= low + start)
+                    first |= (term >= 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == low + start)
+                    row, start, end, first = row[keep], start[keep], end[keep], first[keep]
+                found.append((ids[row[first]], start[first]))
+        pairs = np.unique(np.stack([np.concatenate([x[k] for x in found]) for k in (0, 1)], axis=1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
 
@@ -228,7 +250,7 @@ def _search(index: DataFrame, windows: Windows, slop: int | None) -> DataFrame:
                 spans, items = defaultdict(list), defaultdict(set)
                 by_start = np.argsort(start, kind="stable")
                 for d, s, n, w in zip(docs[by_start].tolist(), start[by_start].tolist(), length[by_start].tolist(), window[by_start].tolist(), strict=True):
-                    items[d].update(windows.owners[w])
+                    items[d].update(windows.owners(w))
                     s, e = s - int(begins[d]), min(s - int(begins[d]) + n, int(segment.ends[d] - begins[d]))
                     if spans[d] and spans[d][-1]["end"] >= s:
                         spans[d][-1]["end"] = max(e, spans[d][-1]["end"])
@@ -265,12 +287,12 @@ def _matches(index: DataFrame, items: DataFrame, window: int, slop: int | None,
     return found[0].select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.alias("n_hit"), "spans", "items")
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each indexed document: n_words, n_hit, the merged spans (in words, end exclusive) and the item ids whose windows occur exactly."""
     return _matches(index, items, window, None, id_col, text_col, block_bytes)
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """As phrase_matches, for windows whose terms all lie, in any order, within window + slop words of a document."""
     return _matches(index, items, window, slop, id_col, text_col, block_bytes)
 
@@ -281,9 +303,14 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
-    """The rows of docs that contamination does not mark, with all their columns."""
+def keep_clean(docs: DataFrame, items: DataFrame, share: int | None = None) -> DataFrame:
+    """The rows of docs without a hit, with all their columns, whatever their names; with ``share``, those that contamination does not mark.
+
+    A passage of the benchmark is as harmful in a long document as in a short one, so by default any hit counts.
+    """
     key = F.xxhash64("doc_id", "text")
-    marked = contamination(docs.select(key.alias("doc_id"), "text"), items, share).where("contaminated")
-    marked = durable(marked.select(F.col("doc_id").alias("__key")).distinct())
-    return docs.withColumn("__key", key).join(marked, "__key", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    index = durable(build_index(docs.select(key.alias("doc_id"), "text")))
+    found = phrase_matches(index, items)
+    marked = found.where("n_hit > 0" if share is None else f"n_hit > 0 and {share} * n_hit >= n_words").select("doc_id").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    return rows.join(durable(marked).withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")

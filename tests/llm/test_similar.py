@@ -215,7 +215,7 @@ def test_pipeline(spark):
     left = {i: t for i, t in left.items() if group[i] == i}
     from tests.llm.test_exact import contamination
 
-    dirty = {r[0] for r in contamination(left.items(), spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()) if r[-1]}
+    dirty = {r[0] for r in contamination(left.items(), spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()) if r[2]}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert {i: r.text for i, r in got.items()} == {i: t for i, t in left.items() if i not in dirty}
     assert all(r.round_trip and len(r.ids) == 4 * r.n_tokens for r in got.values())
