@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillframe.plans.scratch import durable, scratch_dir
 
-__all__ = ["bound", "durable", "give_back", "rows_of", "scratch_dir", "text_bytes"]
+__all__ = ["bound", "durable", "give_back", "row_key", "rows_of", "scratch_dir", "text_bytes"]
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -20,6 +20,12 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit key of a row's id and text: few enough collisions for as many rows as there are."""
+    halves = (F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)) for seed in (1, 2))
+    return F.concat(*(F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves))
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once however often use, or a lambda in it, refers to it."""
     return F.get(F.transform(F.array(value), use), 0)

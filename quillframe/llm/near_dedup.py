@@ -15,13 +15,16 @@ then is settled exactly: each member that is not in the largest class of its cen
 group, so that no two documents that share a sketch go without a comparison or a class in common.
 Sets of documents that meet in several buckets are searched once, and what earlier links connect is not compared again.
 
-Defined results: a text without words is in a class with rows of equal text only; null and empty texts, and rows
-without id, are alone (class: own id); a text of fewer than five words has its equals only; rows that repeat an id
-share its class; an empty table gives no rows; other columns are ignored by ``classes`` and kept by ``keep_one``.
+Defined results: a text without words is in a class with rows of equal text only; null and empty texts are alone
+(class: own id); a text of fewer than five words has its equals only; rows without id belong to the class of rows with
+an id and the same words, if there is one, else their class is null. ``keep_one`` keeps one row of each class, with the
+smallest id, and one of several rows that repeat an id and a text; rows without id and words stay. An empty table gives
+no rows; other columns, whatever their names, are ignored by ``classes`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm._common import durable, rows_of, text_bytes
+from quillframe.llm._common import durable, row_key, rows_of, text_bytes
 from quillframe.llm.decontaminate import words_of
 from quillframe.plans.components import connected_components
 
@@ -40,6 +43,7 @@ SKETCHES, TAKEN = 24, 3
 BUCKET, DEPTH = 48, 4
 BLOCK = 4 << 20  # bytes of texts on either side of one exact search
 CELLS = 1 << 20
+FREQUENT, SHORT = 256, 2_048  # occurrences from which a word, and words up to which every word, has an integer of its places
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -106,6 +110,16 @@ def sketches(marks: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sum_of_bits(places: list[int]) -> int:
+    """The integer that has these bits."""
+    if len(places) < 3:
+        return sum(1 << k for k in places)
+    out = bytearray((max(places) >> 3) + 1)
+    for k in places:
+        out[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(out, "little")
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """The edit distance of two sequences if it is at most ``most``, else most + 1.
 
@@ -119,13 +133,24 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         return most + 1
     width = 2 * most + 1
     mask = (1 << width) - 1
-    where: dict[int, int] = {}
+    places: dict[int, list[int]] = defaultdict(list)
     for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i + most  # shifted: bit 0 of row 0's band is most cells above its diagonal
+        places[x].append(i)
+    # A frequent word has one integer of all its places; a rare one's are put into the band when it comes up, as an
+    # integer of n bits for each of n words would take quadratic memory.
+    often = {x: sum_of_bits(at) << most for x, at in places.items() if len(at) > FREQUENT or n <= SHORT}
+
+    def band(x: int, j: int) -> int:
+        """The places of a word in row j's band: bit k is place j - most + k."""
+        if x in often:
+            return often[x] >> j & mask
+        at = places.get(x, ())
+        return sum_of_bits([i - j + most for i in at[bisect_left(at, j - most) : bisect_right(at, j + most)]])
+
     # Bit k of row j's band is a's cell j - most + k; plus: it is one above its upper neighbour, minus: one below.
     plus, minus, distance = mask >> most << most, 0, 0
     for j in range(m):
-        eq = where.get(b[j], 0) >> j & mask
+        eq = band(b[j], j)
         d0 = (((eq & plus) + plus) ^ plus | eq | minus) & mask
         hp = (minus | ~(d0 | plus)) & mask
         hn = d0 & plus
@@ -226,8 +251,8 @@ def crossing(asks: list[Text], members: list[Text], classes: list[int], ask_clas
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, exact (a 128-bit key of its words, null for an empty text) and its sketches."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("exact", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    """A row for each document: doc_id, key (of id and text), exact (a 128-bit key of its words, null for an empty text) and its sketches."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("exact", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = Words(), []
@@ -235,18 +260,18 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-        for doc, text in rows_of(batches, "id", "text"):
+        for doc, key, text in rows_of(batches, "id", "key", "text"):
             words = words_of(text)
             exact = xxhash.xxh3_128_digest(b" ".join(words) if words else b"\0" + text) if text else None
-            out.append((doc, exact, sketches(kmers(word_hashes(words, known)))))
+            out.append((doc, key, exact, sketches(kmers(word_hashes(words, known)))))
             if len(out) == 5_000:
                 yield batch()
                 out.clear()
         if out:
             yield batch()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, exact binary, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key binary, exact binary, sketch array<long>")
 
 
 def buckets(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,18 +401,35 @@ def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_
     return found.unionAll(remainder(pairs, texts, classed))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: its id and class_id, the smallest id of its class."""
+def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, key, exact and class_id, the smallest id of its class."""
     every = durable(sketched(docs, id_col, text_col))
     whole = every.where(F.col("doc_id").isNotNull() & F.col("exact").isNotNull())
     equal = durable(whole.groupBy("exact").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id")))
     near = connected_components(near_links(docs, equal.select("doc_id", "sketch"), id_col, text_col))
     merged = equal.select("exact", F.col("doc_id").alias("node")).join(near, "node", "left").select("exact", F.coalesce("component", "node").alias("class_id"))
-    own = every.join(merged, "exact", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return own.withColumnRenamed("doc_id", id_col)
+    return every.drop("sketch").join(merged, "exact", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all columns; rows without id stay."""
-    gone = durable(classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: its id and class_id, the smallest id of its class."""
+    return classed_rows(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "class_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with the smallest id and all its columns."""
+    rows = durable(classed_rows(docs, id_col, text_col).where("doc_id is not null or exact is not null").drop("sketch"))
+    # a class is told by its id, or by the words of rows that have none
+    group = F.struct("class_id", F.when(F.col("class_id").isNull(), F.col("exact")).when(F.col("exact").isNull(), F.lit(b"")).alias("exact"))
+    keyed = rows.groupBy(group.alias("group"), "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = keyed.groupBy("group").agg(F.min(place).alias("first"))
+    judged = keyed.join(first, "group")
+    gone = durable(judged.where((F.col("key") != F.col("first.key")) | (F.col("n") > 1)).select("key", (F.col("key") == F.col("first.key")).alias("again")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(id_col, text_col).alias("key"))
+    out = packed.join(gone, "key", "left_anti").select("row.*")
+    again = gone.where("again").select("key")
+    if again.isEmpty():
+        return out
+    once = packed.join(again, "key").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.unionByName(once.select("row.*"))
