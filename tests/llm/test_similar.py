@@ -139,11 +139,11 @@ def test_alignment_of_very_long_texts_takes_memory_by_the_band():
     import tracemalloc
 
     rng = random.Random(3)
-    a = list(range(400_000))
+    a = list(range(100_000))
     b = edited(a, range(10**6, 10**6 + 9), 60, rng)
     tracemalloc.start()
-    assert near_dedup.edit_distance(a, b, 80_000) <= 60
-    assert tracemalloc.get_traced_memory()[1] < 500e6
+    assert near_dedup.edit_distance(a, b, 20_000) <= 60
+    assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
     a = rng.choices(range(40), k=6000)
     b = edited(a, range(40), 300, rng)
