@@ -153,24 +153,36 @@ def test_alignment_of_very_long_texts_takes_memory_by_the_band():
     near_dedup.SHORT = kept
 
 
-def line_verdicts(texts, exact_words=5, near_words=10):
+def line_verdicts(texts, edits=1, an_edit=10):
     seen, out = {}, {}
     for i, t in texts:
         exact, near = [], []
         for k, line in enumerate((t or "").split("\n")):
             words = tuple(line.encode().lower().split())
-            if len(words) < exact_words:
+            if not words:
                 continue
             if words in seen:
                 exact.append(k)
             else:
-                if len(words) >= near_words and any(len(w) >= near_words and distance(w, words) <= 1 for w in seen if abs(len(w) - len(words)) < 2):
+                bounds = ((w, min(edits, min(len(w), len(words)) // an_edit)) for w in seen)
+                if any(n and abs(len(w) - len(words)) <= n and distance(w, words) <= n for w, n in bounds):
                     near.append(k)
                 seen[words] = i
         out[i] = ((t or "").count("\n") + 1, exact, near)
     return out
 
 
+@pytest.mark.parametrize(("edits", "an_edit"), [(2, 4), (3, 3)])
+def test_lines_within_several_edits(spark, edits, an_edit):
+    rng = random.Random(6)
+    bases = [rng.choices("abcde", k=rng.randrange(2, 14)) for _ in range(12)]
+    texts = [(i, "\n".join(" ".join(edited(rng.choice(bases), "abcde", rng.randrange(5), rng)) for _ in range(rng.randrange(5)))) for i in range(40)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_lines, r.exact, r.near) for r in line_dedup.line_report(d, edits=edits, an_edit=an_edit).collect()}
+    want = line_verdicts(texts, edits, an_edit)
+    assert got == want and sum(len(v[2]) for v in want.values()) > 10
+
+
 def test_lines(spark):
     rng = random.Random(4)
     words = ["a", "b", "c", "d", "e"]
