@@ -1,13 +1,18 @@
 """URL filtering: host and path rules first, then gradient-boosted trees on lexical features.
 
 Rules are (verdict, host, path): a rule fits its host and all subdomains if the path starts with its own; the longest
-fitting rule decides. URLs that a rule decides are the labelled URLs: a bounded sample of them (``SAMPLE`` rows, in the
-order of a hash, so it is the same at any partitioning) trains the trees on the driver. Trees are then nested
-conditions over feature columns: scoring runs in generated code, without Python, in one pass and without a shuffle.
+fitting rule decides. URLs that a rule decides are the labelled URLs. About ``SAMPLE`` different ones of them, those
+whose hashes lie below a bound, go to the driver as numbers, each with how often it occurs; one in ``HELD_OUT`` is kept
+from the training and sets the threshold. Trees are then nested conditions over feature columns: scoring runs in
+generated code, without Python, in one pass and without a shuffle.
+
+Statistics of suffixes are the smoothed shares of blocked URLs by last label and last two labels of the host, by
+first segment and end of the path, and by last label and first segment, in tables of ``SLOTS`` entries that texts reach
+by a hash: any number of suffixes has a place, and those that share one share its statistics.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and the features of an empty text;
 repeated rows each get their own row; an empty table gives no rows; without labelled URLs of both kinds every score is
-the prior; other columns are ignored.
+the prior; columns named as the ones added are replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,12 +27,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SAMPLE = 20_000
-SUFFIXES = 200
+SLOTS = 4_096
 HELD_OUT = 5
-FEATURES = (
-    "length", "host_length", "path_length", "depth", "digit_ratio", "path_digits", "entropy", "params", "query_length",
-    "host_hyphens", "host_labels", "first_segment", "host_rate", "path_rate",
-)
+SMOOTH = 10  # rows at the overall share that each statistic counts beside its own
+LEXICAL = ("length", "host_length", "path_length", "depth", "digit_ratio", "path_digits", "entropy", "params", "query_length", "host_hyphens", "host_labels", "first_segment", "path_number")
+SUFFIXES = ("last_label", "last_labels", "first_segment", "path_end", "label_and_segment")
 
 
 def parsed(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -61,35 +65,31 @@ def entropy(value: Column) -> Column:
     return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
 
-def suffix_columns() -> dict[str, Column]:
-    """The last label of the host, and the end of the path: its extension, or a slash, or neither."""
+def suffix_slots() -> dict[str, Column]:
+    """name -> the place of a URL's suffix in the table of that statistic, from host and path."""
     last = F.element_at(F.split("path", "/"), -1)
     end = F.when(F.endswith(F.col("path"), F.lit("/")), "/").when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1)).otherwise("")
-    return {"host_suffix": F.substring_index("host", ".", -1), "path_suffix": end}
+    label, segment = F.substring_index("host", ".", -1), F.coalesce(F.get(F.split("path", "/"), 1), F.lit(""))
+    texts = (label, F.substring_index("host", ".", -2), segment, end, F.concat_ws("/", label, segment))
+    return {n: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int") for n, t in zip(SUFFIXES, texts, strict=True)}
 
 
-def features(rates: dict[str, dict[str, float]], prior: float, url_col: str = "url") -> dict[str, Column]:
-    url, host, path = F.coalesce(F.col(url_col), F.lit("")), F.col("host"), F.col("path")
+def lexical(url: Column) -> dict[str, Column]:
+    """name -> value, from a URL without nulls and the columns host and path."""
+    host, path = F.col("host"), F.col("path")
     digits = lambda c: F.length(c) - F.length(F.translate(c, "0123456789", ""))
     query = F.when(F.contains(url, F.lit("?")), F.substring(url, F.locate("?", url) + 1, F.length(url))).otherwise("")
-    suffix = suffix_columns()
-
-    def rate(name: str) -> Column:
-        out = F.lit(prior)
-        for text, value in rates[name].items():
-            out = F.when(suffix[name] == text, value).otherwise(out)
-        return out
-
+    number = F.try_to_number(F.substring(F.regexp_extract(path, "[0-9]+", 0), 1, 1), F.lit("9"))
     made = (
         F.length(url), F.length(host), F.length(path), count_of(path, "/"), digits(url) / F.greatest(F.length(url), F.lit(1)), digits(path), entropy(host), count_of(query, "="), F.length(query),
-        count_of(host, "-"), count_of(host, "."), F.length(F.get(F.split(path, "/"), 1)), rate("host_suffix"), rate("path_suffix"),
+        count_of(host, "-"), count_of(host, "."), F.length(F.get(F.split(path, "/"), 1)), number,
     )
-    return {f"f_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in zip(FEATURES, made, strict=True)}
+    return {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in zip(LEXICAL, made, strict=True)}
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 10) -> tuple[float, list]:
-    """Log-odds prior and trees of nested (feature, threshold, below, from there on), by Newton boosting on histograms."""
-    prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+def fit_trees(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 10) -> tuple[float, list]:
+    """Log-odds prior and trees of nested (feature, threshold, below, from there on), by Newton boosting on histograms; w: how often each row counts."""
+    prior = float(np.log(((w * y).sum() + 1) / ((w * (1 - y)).sum() + 1)))
     if len(y) == 0 or y.min() == y.max():
         return prior, []
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1], method="higher")) for f in range(x.shape[1])]
@@ -116,7 +116,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
     grown = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        grown.append(grow(np.arange(len(y)), y - p, p * (1 - p), depth))
+        grown.append(grow(np.arange(len(y)), w * (y - p), w * p * (1 - p), depth))
     return prior, grown
 
 
@@ -127,47 +127,110 @@ def tree_column(tree, names: Sequence[str]) -> Column:
     return F.when(F.col(names[f]) < threshold, tree_column(below, names)).otherwise(tree_column(above, names))
 
 
+def tree_sums(trees: list, intercept: float, x: np.ndarray) -> np.ndarray:
+    """The trees' sums over the rows of x, on the driver."""
+
+    def add(tree, rows: np.ndarray) -> None:
+        if isinstance(tree, float):
+            out[rows] += tree
+        else:
+            f, threshold, below, above = tree
+            low = x[rows, f] < threshold
+            add(below, rows[low])
+            add(above, rows[~low])
+
+    out = np.full(len(x), intercept)
+    for tree in trees:
+        add(tree, np.arange(len(x)))
+    return out
+
+
+def auc(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The area under the ROC curve of weighted rows; 0.5 without rows of both kinds."""
+    values, at = np.unique(score, return_inverse=True)
+    yes, no = np.bincount(at, w * y, len(values)), np.bincount(at, w * (1 - y), len(values))
+    return float((yes * (np.cumsum(no) - no / 2)).sum() / (yes.sum() * no.sum())) if yes.sum() and no.sum() else 0.5
+
+
+def best_threshold(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The score from which blocking makes the fewest errors; of several the one nearest to 0.5."""
+    values, at = np.unique(np.concatenate([score, [0.5, np.inf]]), return_inverse=True)
+    yes, no = (np.bincount(at[: len(score)], w * v, len(values)) for v in (y, 1 - y))
+    errors = np.cumsum(yes) - yes + no[::-1].cumsum()[::-1]
+    least = np.flatnonzero(errors <= errors.min() + 1e-9)
+    return float(values[min(least, key=lambda k: abs(values[k] - 0.5))])
+
+
 class UrlFilter:
-    """A fitted model; ``score`` adds block_score, the probability that a URL is one to block."""
+    """A fitted model; ``score`` adds block_score, the probability that a URL is one to block.
+
+    ``auc`` and ``threshold`` are of the held-out rows.
+    """
 
-    def __init__(self, rates: dict, prior: float, intercept: float, trees: list):
-        self.rates, self.prior, self.intercept, self.trees = rates, prior, intercept, trees
+    def __init__(self, rates: dict[str, list[float]], intercept: float, trees: list, threshold: float = 0.5, auc: float = 0.5):
+        self.rates, self.intercept, self.trees, self.threshold, self.auc = rates, intercept, trees, threshold, auc
 
     def score(self, pages: DataFrame, url_col: str = "url") -> DataFrame:
-        made = features(self.rates, self.prior, url_col)
+        """pages (with host and path) and block_score."""
+        rate = lambda n, slot: F.get(F.lit(np.array(self.rates[n])), slot)
+        made = [*lexical(F.coalesce(F.col(url_col), F.lit(""))).values(), *(rate(n, slot) for n, slot in suffix_slots().items())]
+        names = [f"__f{k}" for k in range(len(made))]
         total = F.lit(self.intercept)
         for tree in self.trees:
-            total = total + tree_column(tree, list(made))
-        return pages.withColumns(made).withColumn("block_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop(*made)
+            total = total + tree_column(tree, names)
+        return pages.withColumns(dict(zip(names, made, strict=True))).withColumn("block_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).drop(*names)
+
+
+def sampled(labelled: DataFrame, sample: int) -> DataFrame:
+    """(url, label, n): about ``sample`` different URLs, those whose hashes are smallest, and how often each occurs; all URLs if there are no more."""
+    urls = labelled.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+    share = sample / max(urls, 1)
+    if share < 1:
+        labelled = labelled.where(F.xxhash64("url", F.lit("sample")) < F.lit(int((2 * share - 1) * 2**63)))
+    return labelled.groupBy("url", "label").agg(F.count("*").alias("n"))
 
 
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = SAMPLE) -> UrlFilter:
-    """Fit on at most ``sample`` rows of labelled (url, 1 to block or 0), those with the smallest hashes."""
-    rows = parsed(labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))).where("label is not null")
-    rows = rows.withColumns(suffix_columns()).orderBy(F.xxhash64("url"), "url", "label").limit(sample)
-    first = rows.select("host_suffix", "path_suffix", "label").collect()
-    prior = (sum(r.label for r in first) + 1) / (len(first) + 2)
-    rates: dict[str, dict[str, float]] = {}
-    for name in ("host_suffix", "path_suffix"):
-        seen: dict[str, list[float]] = {}
-        for r in first:
-            seen.setdefault(r[name], []).append(r.label)
-        common = sorted(seen, key=lambda k: (-len(seen[k]), k))[:SUFFIXES]
-        rates[name] = {k: (sum(seen[k]) + 10 * prior) / (len(seen[k]) + 10) for k in common}
-    made = features(rates, prior)
-    data = np.array([tuple(r) for r in rows.select(*(c.alias(n) for n, c in made.items()), "label").collect()], float).reshape(-1, len(FEATURES) + 1)
-    intercept, trees = fit_trees(data[:, :-1], data[:, -1])
-    return UrlFilter(rates, prior, intercept, trees)
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
-    """pages with host, path, rule, block_score and verdict: the rule's, else block from the threshold on.
-
-    Every ``HELD_OUT``-th URL by hash stays out of the training, for measurements.
-    """
+    """Fit on about ``sample`` different labelled URLs (1 to block, or 0); one in HELD_OUT, by hash, gives the threshold instead."""
+    rows = labelled.select(F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(label_col).cast("double").alias("label")).where("label is not null")
+    rows = parsed(sampled(rows, sample))
+    out = (F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(HELD_OUT)) == 0).cast("double")
+    columns = {**lexical(F.col("url")), **{f"slot_{n}": c for n, c in suffix_slots().items()}, "label": F.col("label"), "n": F.col("n"), "out": out}
+    data = np.array([tuple(r) for r in rows.select(*(c.cast("double").alias(n) for n, c in columns.items())).collect()], float).reshape(-1, len(columns))
+    data = data[np.lexsort(data.T)]  # the order of rows depends on partitions
+    x, slots, (y, w, out) = data[:, : len(LEXICAL)], data[:, len(LEXICAL) : -3].astype(int), data[:, -3:].T
+    train = out == 0
+    share = ((w * y)[train].sum() + 1) / (w[train].sum() + 2)
+    rates, seen = {}, []
+    for k, name in enumerate(SUFFIXES):
+        yes, all_ = (np.bincount(slots[train, k], v[train], SLOTS) for v in (w * y, w))
+        table = (yes + SMOOTH * share) / (all_ + SMOOTH)
+        rates[name] = table.tolist()
+        seen.append(table[slots[:, k]])
+    x = np.column_stack([x, *seen])
+    intercept, trees = fit_trees(x[train], y[train], w[train])
+    score = 1 / (1 + np.exp(-tree_sums(trees, intercept, x[~train])))
+    return UrlFilter(rates, intercept, trees, best_threshold(score, y[~train], w[~train]), auc(score, y[~train], w[~train]))
+
+
+def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
+    """row (pages' own columns), url, host, path, rule and rule_verdict."""
     rule, verdict = rule_columns(rules)
-    ruled = parsed(pages, url_col).withColumns({"rule": rule, "rule_verdict": verdict})
-    train = ruled.where("rule is not null").where(F.pmod(F.xxhash64(url_col, F.lit(1)), F.lit(HELD_OUT)) != 0)
-    model = fit(train.select(F.col(url_col).alias("url"), (F.col("rule_verdict") == "block").cast("int").alias("label")), sample=sample)
-    scored = model.score(ruled, url_col)
-    return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))).drop("rule_verdict")
+    packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(url_col).alias("url"))
+    return parsed(packed).withColumns({"rule": rule, "rule_verdict": verdict})
+
+
+def fit_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", sample: int = SAMPLE) -> UrlFilter:
+    """The model of the URLs that rules decide."""
+    train = ruled(pages, rules, url_col).where("rule is not null")
+    return fit(train.select("url", (F.col("rule_verdict") == "block").cast("int").alias("label")), sample=sample)
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float | None = None, url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
+    """pages with host, path, rule, block_score and verdict: the rule's, else block from the threshold on, by default that of the held-out URLs."""
+    model = fit_rules(pages, rules, url_col, sample)
+    scored = model.score(ruled(pages, rules, url_col))
+    own = F.when(F.col("block_score") >= (model.threshold if threshold is None else threshold), "block").otherwise("allow")
+    scored = scored.withColumn("verdict", F.coalesce("rule_verdict", own))
+    added = ("host", "path", "rule", "block_score", "verdict")
+    return scored.select(*(F.col(f"row.`{c}`") for c in pages.columns if c not in added), *added)
