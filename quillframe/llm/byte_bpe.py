@@ -9,7 +9,8 @@ encoded separately, and decoding maps the ids' pieces back to bytes.
 Texts stay in their partitions: no shuffle. Each task holds one model and a bounded cache of pre-tokens.
 
 Defined results: null and empty texts have no tokens and decode to empty; invalid ids raise; repeated rows each get
-their own row; an empty table gives no rows; other columns are ignored by ``encode`` and kept by ``with_tokens``.
+their own row; an empty table gives no rows; other columns are ignored by ``encode`` and kept by ``with_tokens``,
+which replaces columns named n_tokens, ids and round_trip.
 """
 
 from __future__ import annotations
@@ -41,9 +42,14 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+def rank_file(path: str) -> bytes:
+    """The rank file's bytes, read on the driver: they travel with the tasks, so executors need no copy of the file."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, data.splitlines()))}
 
 
 def _varint(n: int) -> bytes:
@@ -127,24 +133,25 @@ class Codec:
         return b"".join(map(self.inverse.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """One codec in a process for all its tasks."""
+def codec(data: bytes, pattern: str) -> Codec:
+    """One codec in a process for all its tasks, from a rank file's bytes."""
     own = vars(sys).setdefault("_quillframe_codecs", {})
-    if (path, pattern) not in own:
+    if (data, pattern) not in own:
         own.clear()
-        own[path, pattern] = Codec(read_ranks(path), pattern)
-    return own[path, pattern]
+        own[data, pattern] = Codec(read_ranks(data), pattern)
+    return own[data, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (binary: little-endian unsigned 32-bit), and ids_sha256 and decoded_sha256 of the ids decoded again.
 
-    ``path`` is the rank file's path on every executor, ``pattern`` splits texts into pre-tokens.
+    ``path`` is the rank file's path on the driver, ``pattern`` splits texts into pre-tokens.
     """
+    data = rank_file(path)
     arrow = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(data, pattern)
         out, held = [], 0
         for doc, text in rows_of(batches, "id", "text"):
             ids = own.encode(text or "")
@@ -167,10 +174,11 @@ def _packed(df: DataFrame, without: Iterable[str]) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
     """encoded with a string column ``into``: the text of its ids."""
+    data = rank_file(path)
     packed = _packed(encoded, [into]).select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(data, pattern)
         for batch in batches:
             row = batch.column("row")
             texts = [own.decode(ids or b"").decode("utf-8", "replace") for ids in pc.struct_field(row, ids_col).to_pylist()]
@@ -181,11 +189,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", in
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with all their columns, and n_tokens, ids and round_trip (whether the ids decode to the text)."""
+    data = rank_file(path)
     added = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("round_trip", T.BooleanType())]
     packed = _packed(docs, dict(added)).select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(data, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 row = batch.column("row").slice(at, 512)

@@ -5,7 +5,8 @@ sums up to one lookup table a feature; then the pairs that reduce the rest of th
 the same way. A score is the sigmoid of the sum of a row's table entries: additions of gathered bins, a batch at a time.
 
 Features are counts of the whole text (``textstats``); labels, languages, sources and ids are no features. The model
-is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hashes, on the driver; counts cover all texts.
+is fitted on the driver on the rows of about ``SAMPLE`` labelled documents, those whose hashes lie below a bound (all, if
+there are no more), equal rows as one with its number; counts cover all texts.
 
 Defined results: null and empty texts are scored by their zero counts; labels other than 0 and 1 are ignored, repeated
 ones count as often as they occur; without labels of both kinds all scores are the prior; repeated rows each get their
@@ -76,9 +77,11 @@ class Gam:
     def __init__(self, bins: int = 48, pair_bins: int = 8, rounds: int = 150, pair_rounds: int = 40, pairs: int = 6, rate: float = 0.15):
         self.bins, self.pair_bins, self.rounds, self.pair_rounds, self.n_pairs, self.rate = bins, pair_bins, rounds, pair_rounds, pairs, rate
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
+    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Gam:
+        """w: how often each row counts."""
         n, n_features = x.shape
-        self.intercept = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+        w = np.ones(n) if w is None else w
+        self.intercept = float(np.log(((w * y).sum() + 1) / ((w * (1 - y)).sum() + 1)))
         self.edges = [cut(x[:, f], self.bins) for f in range(n_features)]
         self.coarse = [cut(x[:, f], self.pair_bins) for f in range(n_features)]
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
@@ -93,7 +96,7 @@ class Gam:
             for f in range(n_features):
                 p = 1 / (1 + np.exp(-score))
                 size = len(self.tables[f])
-                step = self.rate * shallow(np.bincount(at[f], y - p, size), np.bincount(at[f], p * (1 - p), size), 2)
+                step = self.rate * shallow(np.bincount(at[f], w * (y - p), size), np.bincount(at[f], w * p * (1 - p), size), 2)
                 self.tables[f] += step
                 score += step[at[f]]
 
@@ -101,7 +104,7 @@ class Gam:
             p = 1 / (1 + np.exp(-score))
             shape = (len(self.coarse[i]) + 1, len(self.coarse[j]) + 1)
             cell = wide[i] * shape[1] + wide[j]
-            return cell, np.bincount(cell, y - p, shape[0] * shape[1]).reshape(shape), np.bincount(cell, p * (1 - p), shape[0] * shape[1]).reshape(shape)
+            return cell, np.bincount(cell, w * (y - p), shape[0] * shape[1]).reshape(shape), np.bincount(cell, w * p * (1 - p), shape[0] * shape[1]).reshape(shape)
 
         gains = {(i, j): shallow_pair(*grid(i, j)[1:])[1] for i, j in combinations(range(n_features), 2)}
         self.pairs = sorted(gains, key=lambda k: (-gains[k], k))[: self.n_pairs]
@@ -131,10 +134,14 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def fit(counted: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Gam:
     """A model of the rows of counted (id and features) that have labels and are not held out."""
     names = list(features())
-    known = labels.select("doc_id", F.col(label_col).alias("label")).where("label in (0, 1)")
-    rows = counted.where(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *names, "label").limit(sample)
-    data = np.array([tuple(r) for r in rows.select(*names, "label").collect()], float).reshape(-1, len(names) + 1)
-    return Gam().fit(data[:, :-1], data[:, -1])
+    known = labels.select("doc_id", F.col(label_col).alias("label")).where("label in (0, 1)").where(~held_out())
+    share = sample / max(known.count(), 1)
+    if share < 1:
+        known = known.where(F.xxhash64("doc_id", F.lit("sample")) < F.lit(int((2 * share - 1) * 2**63)))
+    rows = counted.where(~held_out()).join(known, "doc_id").groupBy(*names, "label").agg(F.count("*").cast("double").alias("n"))
+    data = np.array([tuple(r) for r in rows.collect()], float).reshape(-1, len(names) + 2)
+    data = data[np.lexsort(data.T)]  # the order of rows depends on partitions
+    return Gam().fit(data[:, :-2], data[:, -2], data[:, -1])
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

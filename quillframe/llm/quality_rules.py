@@ -27,10 +27,9 @@ def _ratio(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-def _vote(value: Column, bad: float, good: float | None = None) -> Column:
-    """Bad from one bound up, good (if there is such a bound) up to another, else abstain."""
-    vote = F.when(value >= bad, -1)
-    return (vote if good is None else vote.when(value <= good, 1)).otherwise(0)
+def _vote(value: Column, bad: float) -> Column:
+    """Bad from a bound up, else abstain."""
+    return F.when(value >= bad, -1).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
@@ -104,10 +103,11 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs that judge would keep, with all their columns, each judged by its own text.
 
-    The texts are read twice, once for the votes and once to filter, and never shuffled or copied to disk.
+    The texts are counted once: the rows stand in the scratch folder with their votes until the rules are fitted.
     """
     votes = {f"vote_{k}": v for k, v in rules().items()}
-    prior, accuracy = _fit(text_counts(docs).select(*(v.alias(k) for k, v in votes.items())), list(votes))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     counted = counted_rows(docs.select(row.alias("row"))).withColumns(votes)
-    return counted.where(~base_failed() & (posterior(list(votes), prior, accuracy) >= least)).select("row.*")
+    voted = durable(counted.select("row", base_failed().alias("base_failed"), *votes))
+    prior, accuracy = _fit(voted, list(votes))
+    return voted.where(~F.col("base_failed") & (posterior(list(votes), prior, accuracy) >= least)).select("row.*")

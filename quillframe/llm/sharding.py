@@ -103,8 +103,7 @@ def shards_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002,
     most = max(1, int(total / shards * tolerance))
     large = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where(F.col("size") > most).collect()
     placed, room = place_large([(r.group, r.size) for r in large], shards, total)
-    named = F.array(*map(F.lit, sorted(placed))) if placed else F.array().cast("array<bigint>")
-    light = rows.where(~F.array_contains(named, F.col("group"))) if placed else rows
+    light = rows.where(~F.col("group").isin(sorted(placed))) if placed else rows  # a hash set, at most shards / tolerance groups
     cuts = np.sort(splitters(light, np.cumsum(room)[:-1].tolist(), most))
     # candidate ranges of keys: even cuts through the whole, and through each large group
     step = 1 << LOW_BITS

@@ -6,6 +6,7 @@ Null and empty texts have zero everywhere.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -23,8 +24,13 @@ UPPER = bytes(range(65, 91))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 DIGITS = bytes(range(48, 58))
 SENTENCE_ENDS = b".!?"
+# Full stops, question and exclamation marks of scripts other than Latin (CJK, Devanagari, Arabic, Armenian, Ethiopic, Khmer, Myanmar, Tibetan).
+WIDE_ENDS = tuple(c.encode() for c in "。．！？｡।॥؟۔։።៕။།…")
 CONTINUATION = bytes(range(0x80, 0xC0))
 
+#: how some of WIDE_ENDS begins: texts without these bytes are not searched for them
+WIDE_LEAD = re.compile(b"[" + bytes(sorted({c[0] for c in WIDE_ENDS})) + b"]")
+
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_short_lines", "n_bare_lines", "n_upper",
     "n_letters", "n_digits", "n_sentence_ends", "n_pipes", "n_exclaims", "n_distinct_words", "n_runs", "n_marked_words", "n_long_words", "n_quotes", "n_upper_words",
@@ -69,11 +75,16 @@ def counts_of(text: bytes, number: dict[bytes, int]) -> tuple[int, ...]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     points = len(text) - among(text, CONTINUATION)
     short = sum(1 for x in lines if len(x) < 30)
-    bare = sum(1 for x in lines if x.rstrip()[-1] not in SENTENCE_ENDS)
+    ends = among(text, SENTENCE_ENDS)
+    if text.isascii():
+        bare = sum(1 for x in lines if x.rstrip()[-1] not in SENTENCE_ENDS)
+    else:
+        bare = sum(1 for x in map(bytes.rstrip, lines) if x[-1] not in SENTENCE_ENDS and not x.endswith(WIDE_ENDS))
+        ends += sum(map(text.count, WIDE_ENDS)) if WIDE_LEAD.search(text) else 0
     marked = sum(1 for w in words if w[-1] in b"#*$%&|!<>")
     return (
         n, points - among(text, SPACES), among(text, SYMBOLS), len(lines) - len(set(lines)), repeated_words(ids), points, len(lines), short, bare, among(text, UPPER),
-        among(text, LETTERS) - among(text, CONTINUATION), among(text, DIGITS), among(text, SENTENCE_ENDS), text.count(b"|"), text.count(b"!"), len(set(words)),
+        among(text, LETTERS) - among(text, CONTINUATION), among(text, DIGITS), ends, text.count(b"|"), text.count(b"!"), len(set(words)),
         int((ids[1:] == ids[:-1]).sum()), marked, sum(1 for w in words if len(w) > 20), text.count(b'"'), sum(map(bytes.isupper, words)),
     )
 

@@ -73,8 +73,11 @@ def test_contamination_of_awkward_rows_in_segments_and_blocks(spark, awkward):
     rows = lambda df: sorted([(r.doc_id, r.n_words, r.n_hit, [tuple(s) for s in r.spans], r["items"]) for r in df.collect()], key=str)
     assert rows(one) == rows(many)
     want = contamination([(r.doc_id, r.text) for r in awkward.collect()], [(r.item_id, r.text) for r in items.collect()])
-    assert [(r[0], r[1], r[2], len(r[4])) for r in rows(one)] == [w[:4] for w in sorted(want, key=lambda w: str((w[0], w[1], w[2])))] or sorted((str(r[0]), r[1], r[2], len(r[4])) for r in rows(one)) == sorted((str(w[0]), *w[1:4]) for w in want)
-    assert decontaminate.keep_clean(awkward, items).columns == awkward.columns
+    assert sorted((str(r[0]), r[1], r[2], len(r[4])) for r in rows(one)) == sorted((str(w[0]), *w[1:4]) for w in want)
+    clean = decontaminate.keep_clean(awkward.withColumn("key", F.lit(1)), items)
+    assert clean.columns == [*awkward.columns, "key"]
+    hit = [w for w in want if w[2]]
+    assert clean.count() == len(want) - len(hit) and decontaminate.keep_clean(awkward, items, share=20).count() == len(want) - sum(w[5] for w in want)
     nothing = items.limit(0)
     assert decontaminate.keep_clean(awkward, nothing).count() == awkward.count()
     assert decontaminate.contamination(awkward.limit(0), items).count() == 0
@@ -109,6 +112,35 @@ def test_text_counts(spark, awkward):
         assert got == sorted((str(r.doc_id), *counts(r.text)) for r in docs.select("doc_id", "text").collect())
 
 
+def test_sentence_ends_of_other_scripts():
+    number = collections.defaultdict(lambda: 1)
+    at = {n: k for k, n in enumerate(textstats.COUNTS)}
+    for text, ends, bare in [("これは文です。\nもう一つ！", 2, 0), ("यह है।\nनहीं", 1, 1), ("ما هذا؟", 1, 0), ("A. B!\nno end é", 2, 1), ("", 0, 0)]:
+        got = textstats.counts_of(text.encode(), number)
+        assert (got[at["n_sentence_ends"]], got[at["n_bare_lines"]]) == (ends, bare)
+
+
+def test_posterior_by_expectation_maximisation_one_document_at_a_time(spark):
+    """The same estimates from documents instead of counts of patterns, in plain Python."""
+    judged = queries.op2_quality_rules(spark, FOLDER).select("doc_id", "p_good")
+    names = list(quality_rules.rules())
+    rows = textstats.text_counts(documents(spark)).select("doc_id", *(v.alias(k) for k, v in quality_rules.rules().items())).collect()
+    prior, accuracy = 0.8, [0.9] * len(names)
+    for _ in range(500):
+        good = {}
+        for r in rows:
+            odds = math.log(prior / (1 - prior)) + sum(r[n] * math.log(a / (1 - a)) for n, a in zip(names, accuracy, strict=True))
+            good[r.doc_id] = 1 / (1 + math.exp(-odds))
+        before = prior, accuracy
+        right = [sum(good[r.doc_id] if r[n] > 0 else 1 - good[r.doc_id] for r in rows if r[n]) for n in names]
+        accuracy = [min(max((x + 45) / (sum(r[n] != 0 for r in rows) + 50), 0.55), 0.99) for x, n in zip(right, names, strict=True)]
+        prior = min(max((sum(good.values()) + 8) / (len(rows) + 10), 0.01), 0.99)
+        if max(abs(a - b) for a, b in zip([prior, *accuracy], [before[0], *before[1]], strict=True)) < 1e-10:
+            break
+    got = {r.doc_id: r.p_good for r in judged.collect()}
+    assert got == pytest.approx({r.doc_id: 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(r[n] * math.log(a / (1 - a)) for n, a in zip(names, accuracy, strict=True))))) for r in rows}, abs=2e-6)
+
+
 def test_quality_rules_agree_with_labels_and_filter(spark, awkward):
     judged = queries.op2_quality_rules(spark, FOLDER)
     rows = judged.join(documents(spark, "labels"), "doc_id").where("not base_failed").collect()
@@ -147,7 +179,7 @@ def test_bpe(spark, awkward):
     own = byte_bpe.with_tokens(awkward, BPE, public_tokenizers.PATTERN)
     assert own.where("round_trip").count() == awkward.count()
     assert byte_bpe.decode(own.drop("text"), BPE, public_tokenizers.PATTERN).count() == awkward.count()
-    codec, random_text = byte_bpe.codec(BPE, public_tokenizers.PATTERN), random.Random(1)
+    codec, random_text = byte_bpe.codec(byte_bpe.rank_file(BPE), public_tokenizers.PATTERN), random.Random(1)
     alphabet = [chr(c) for c in [*range(0x180), 0x85, 0xA0, 0x2028, 0x3000, 0x200B, 0x1F600, 0x4E2D, 0x661, 0xFEFF, 0x2581, 0x10FFFF]]
     for _ in range(3000):
         text = "".join(random_text.choices(alphabet, k=random_text.randrange(30)))

@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillframe.llm import line_dedup, near_dedup, quality_gam, queries
@@ -234,6 +235,34 @@ def test_gam_learns_interactions():
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
 
 
+def test_gam_scores_are_sums_of_table_entries(spark):
+    """Against bins found one by one, and counts of texts with repeated rows, empty ones and one of 400,000 words."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4)).round(2)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality_gam.Gam(bins=9, pair_bins=4, rounds=20, pair_rounds=10, pairs=2).fit(x, y)
+    twice = quality_gam.Gam(bins=9, pair_bins=4, rounds=20, pair_rounds=10, pairs=2).fit(x, y, np.ones(600))
+    assert np.allclose(model.score(x), twice.score(x))
+    for row, got in zip(x, model.score(x), strict=True):
+        at = lambda edges, v: sum(e <= v for e in edges)
+        total = model.intercept + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, row, strict=True))
+        total += sum(t[at(model.coarse[i], row[i]), at(model.coarse[j], row[j])] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-12
+    texts = [(i, f"plain words number {i} and some more of them." * (1 + i % 5), i % 2) for i in range(200)]
+    d = spark.createDataFrame([*texts, texts[0], (500, "word " * 400_000, 1), (501, None, 0), (502, "", 0)], "doc_id long, text string, quality int")
+    labels = d.select("doc_id", "quality").unionAll(d.select("doc_id", F.lit(7).alias("quality")))
+    got = quality_gam.scores(d.withColumn("score", F.lit("clash")), labels)
+    rows = got.collect()
+    assert len(rows) == 204 and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 0}) == 1
+    few = quality_gam.scores(d, labels, sample=50).collect()
+    assert len(few) == 204
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = {r.doc_id for r in queries.op2_quality_rules(spark, FOLDER).where("kept").collect()}
