@@ -372,6 +372,60 @@ def test_licenses_that_differ_by_a_word(spark):
     assert [sorted(got[k]) for k in range(len(texts))] == want
 
 
+def scanned(texts, templates=license_scan.TEMPLATES):
+    """Every window against every template, without bands, in plain Python."""
+    gram = lambda w: list(zip(*(w[k:] for k in range(license_scan.SHINGLE))))
+    known = [(k, name, [*dict.fromkeys(gram(license_scan.template_words(t)))]) for k, (name, t) in enumerate(templates)]
+    part = lambda own, other: len({*own} & {*other}) >= license_scan.CONTAINED * len(own)
+    longer = {k: {j for j, m, o in known if m != name and len(o) > len(own) and part(own, o)} for k, name, own in known}
+    telling = {k: license_scan.telling(own, [o for j, m, o in known if m != name and j not in longer[k]]) for k, name, own in known}
+    width, out = license_scan.WINDOW - license_scan.SHINGLE + 1, []
+    for text in texts:
+        own, best = gram(license_scan.template_words(text or "")), {}
+        for at in range(0, len(own), license_scan.STRIDE):
+            here = []
+            for k, name, shingles in known:
+                size = len(shingles)
+                if not {*own[at : at + width]} & {*shingles}:
+                    continue
+                near = {*own[max(at - size - license_scan.SHINGLE, 0) : at + size + license_scan.SHINGLE + width]}
+                if all(near & {*run} for run in telling[k]) and (held := len(near & {*shingles}) / size) >= license_scan.CONTAINED:
+                    here.append((k, name, held))
+            here = [x for x in here if not longer[x[0]] & {k for k, _, _ in here}]
+            for _, name, held in here:
+                if held == max(x[2] for x in here):
+                    best[name] = max(best.get(name, (0, 0)), (held, -at))
+        out.append({name: (round(held, 9), -at) for name, (held, at) in best.items()})
+    return out
+
+
+def test_licenses_against_every_window(spark):
+    """All templates, whole and edited down to the bound of containment, in long and repeated rows."""
+    random.seed(9)
+    filler = "lorem ipsum dolor sit amet the software is provided of this license to any person under terms".split()
+    pad = lambda n: " ".join(random.choices(filler, k=n))
+    texts, own = [], []
+    for name, t in license_scan.TEMPLATES:
+        for share in (0, 0, 0.04, 0.08):
+            w = t.split()
+            for k in random.sample(range(len(w)), int(share * len(w))):
+                w[k] = "edited"
+            texts.append(f"{pad(random.randrange(20))} {' '.join(w)} {pad(9)}")
+            own.append(name)
+    texts += [None, "", "a b", pad(5000) + " " + license_scan.TEMPLATES[0][1] + " " + pad(5000)]
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id int, text string, row int")
+    got = [{} for _ in texts]
+    for r in license_scan.scan(d.unionAll(d)).collect():
+        got[r.doc_id][r.license] = round(r.containment, 9), r.first_word
+    want = scanned(texts)
+    found = sum(len({*g} & {*w}) for g, w in zip(got, want, strict=True))
+    assert [g for g, w in zip(got, want, strict=True) if not {*g} <= {*w}] == []
+    assert found >= 0.99 * sum(map(len, want))
+    assert [(name, got[k], want[k]) for k, name in enumerate(own) if k % 4 < 2 and (got[k].keys() != want[k].keys() or name not in got[k])] == []
+    mixed = spark.createDataFrame([(1, license_scan.TEMPLATES[0][1]), (1, "Distributed under the Boost Software License, Version 1.0. x"), (None, license_scan.TEMPLATES[0][1])], "doc_id int, text string")
+    assert sorted((str(r.doc_id), r.license) for r in license_scan.scan(mixed).collect()) == [("1", "BSL-1.0"), ("1", "MIT"), ("None", "MIT")]
+
+
 @pytest.mark.parametrize("module", [license_scan, pii, url_filter])
 def test_native_plans_run_no_python(spark, module):
     d = documents(spark)
