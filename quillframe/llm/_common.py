@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.plans.scratch import durable, scratch_dir
+from quillframe.plans.scratch import durable, scratch_dir, settled
 
-__all__ = ["bound", "durable", "give_back", "row_key", "rows_of", "scratch_dir", "text_bytes"]
+__all__ = ["bound", "durable", "give_back", "row_key", "rows_of", "scratch_dir", "settled", "text_bytes"]
 
 
 def text_bytes(name: str = "text") -> Column:

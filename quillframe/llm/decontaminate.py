@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm._common import durable, rows_of, text_bytes
+from quillframe.llm._common import durable, rows_of, settled, text_bytes
 
 #: Lower-cases A-Z and turns every byte outside words (digits, letters, bytes beyond ASCII) into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -309,8 +309,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, share: int | None = None) -> D
     A passage of the benchmark is as harmful in a long document as in a short one, so by default any hit counts.
     """
     key = F.xxhash64("doc_id", "text")
-    index = durable(build_index(docs.select(key.alias("doc_id"), "text")))
-    found = phrase_matches(index, items)
-    marked = found.where("n_hit > 0" if share is None else f"n_hit > 0 and {share} * n_hit >= n_words").select("doc_id").distinct()
+    hit = "n_hit > 0" if share is None else f"n_hit > 0 and {share} * n_hit >= n_words"
+    found = lambda: phrase_matches(durable(build_index(docs.select(key.alias("doc_id"), "text"))), items)
+    marked = settled(lambda: found().where(hit).select(F.col("doc_id").alias("key")).distinct())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
-    return rows.join(durable(marked).withColumnRenamed("doc_id", "key"), "key", "left_anti").select("row.*")
+    return rows.join(marked, "key", "left_anti").select("row.*")

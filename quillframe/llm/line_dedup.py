@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm._common import durable, row_key, rows_of, text_bytes
+from quillframe.llm._common import durable, row_key, rows_of, settled, text_bytes
 from quillframe.llm.near_dedup import edit_distance
 
 MOST_EDITS = 64  # numbers for words of one gap
@@ -178,7 +178,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = durable(
         lines.groupBy("key").agg(F.min(F.struct("doc_id", "doc_key", "line")).alias("place"), F.max("halves").alias("halves"), F.count("*").alias("n"))
     )
-    near = durable(_near_lines(docs, distinct, id_col, text_col, edits, an_edit))
+    near = settled(lambda: _near_lines(docs, distinct, id_col, text_col, edits, an_edit))
     first = distinct.where("n > 1").select("key", "place")
     repeats = lines.select("key", "doc_key", "line").join(first, "key").where("doc_key != place.doc_key or line != place.line")
     verdicts = repeats.select("doc_key", "line", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
@@ -188,7 +188,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, an_edit: int = 10) -> DataFrame:
     """A row for each document: n_lines, and its lines that are exact and near copies of earlier lines."""
-    lost = durable(dropped_lines(docs, id_col, text_col, edits, an_edit))
+    lost = settled(lambda: dropped_lines(docs, id_col, text_col, edits, an_edit))
     own = docs.select(F.col(id_col), row_key(id_col, text_col).alias("doc_key"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit("\n")).alias("n_lines") + 1)
     none = F.array().cast("array<int>")
     return own.toDF(id_col, "doc_key", "n_lines").join(lost.hint("merge"), "doc_key", "left").select(
@@ -198,7 +198,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, an_edit: int = 10) -> DataFrame:
     """docs with all their columns and without the dropped lines; a document goes if that leaves no words of those it had."""
-    lost = durable(dropped_lines(docs, id_col, text_col, edits, an_edit))
+    lost = settled(lambda: dropped_lines(docs, id_col, text_col, edits, an_edit))
     lost = lost.select("doc_key", F.array_union("exact", "near").alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(id_col, text_col).alias("doc_key")).join(lost.hint("merge"), "doc_key", "left")
     text = F.col(f"row.{text_col}")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm._common import durable, row_key, rows_of, text_bytes
+from quillframe.llm._common import durable, row_key, rows_of, settled, text_bytes
 from quillframe.llm.decontaminate import words_of
 from quillframe.plans.components import connected_components
 
@@ -406,7 +406,7 @@ def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = durable(sketched(docs, id_col, text_col))
     whole = every.where(F.col("doc_id").isNotNull() & F.col("exact").isNotNull())
     equal = durable(whole.groupBy("exact").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("doc_id")))
-    near = connected_components(near_links(docs, equal.select("doc_id", "sketch"), id_col, text_col))
+    near = settled(lambda: connected_components(near_links(docs, equal.select("doc_id", "sketch"), id_col, text_col)))
     merged = equal.select("exact", F.col("doc_id").alias("node")).join(near, "node", "left").select("exact", F.coalesce("component", "node").alias("class_id"))
     return every.drop("sketch").join(merged, "exact", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
@@ -418,7 +418,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with the smallest id and all its columns."""
-    rows = durable(classed_rows(docs, id_col, text_col).where("doc_id is not null or exact is not null").drop("sketch"))
+    rows = settled(lambda: classed_rows(docs, id_col, text_col).where("doc_id is not null or exact is not null"))
     # a class is told by its id, or by the words of rows that have none
     group = F.struct("class_id", F.when(F.col("class_id").isNull(), F.col("exact")).when(F.col("exact").isNull(), F.lit(b"")).alias("exact"))
     keyed = rows.groupBy(group.alias("group"), "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))

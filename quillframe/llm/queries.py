@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import byte_bpe, decontaminate, license_scan, line_dedup, near_dedup, pii, quality_gam, quality_rules, sharding, url_filter
@@ -22,6 +22,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def proximity_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which the words of a benchmark window lie close together in any order."""
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.proximity_matches(index, table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit > 0").select("doc_id", "n_words", "n_hit", F.array_join(F.array_sort("items"), ",").alias("items"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -58,8 +65,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.array_remove(F.transform("base_spans", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]  # noqa: B023
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, ("email", "ip", "card", "phone"))
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
@@ -78,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_pii": op9_pii,
     "op10_quality_gam": op10_quality_gam,
+    "proximity_passages": proximity_passages,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -98,6 +98,31 @@ def test_proximity(spark):
             assert (str(item) in r["items"]) == hit
 
 
+def test_proximity_query(spark):
+    """Every stretch of every document against every window, in plain Python."""
+    windows = collections.defaultdict(set)
+    for r in documents(spark, "benchmark").collect():
+        w = WORD.findall(lower(r.text or ""))
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(sorted(w[k : k + 13]))].add(str(r.item_id))
+    needs = collections.defaultdict(set)  # a window is met only where its rarest term is
+    seen = collections.Counter(x for k in windows for x in set(k))
+    for k in windows:
+        needs[min(k, key=lambda x: (seen[x], x))].add(k)
+    want = {}
+    for r in documents(spark).select("doc_id", "text").collect():
+        w, found = WORD.findall(lower(r.text or "")), set()
+        for p, x in enumerate(w):
+            for k in needs.get(x, ()):
+                n, need = len(k) + 3, collections.Counter(k)
+                if any(not need - collections.Counter(w[s : s + n]) for s in range(max(0, p - n + 1), p + 1)):
+                    found |= windows[k]
+        if found:
+            want[r.doc_id] = ",".join(sorted(found))
+    got = queries.proximity_passages(spark, FOLDER).collect()
+    assert {r.doc_id: r["items"] for r in got} == want and want
+
+
 def counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     three = collections.Counter(zip(w, w[1:], w[2:]))
