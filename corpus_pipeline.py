@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillframe.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules
-from quillframe.llm._common import durable
+from quillframe.llm._common import settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +43,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        docs = settled(lambda: stage(spark, docs, sf_dir))  # noqa: B023  (called at once)
     return STAGES[-1][1](spark, docs, sf_dir)
