@@ -233,7 +233,7 @@ def normaltest(df: DataFrame, name: str) -> tuple[float, float]:
 
 def kstest_normal(df: DataFrame, name: str) -> tuple[float, float]:
     """One sample against the standard normal, by the closed form of its distribution function as a column."""
-    at = ordering.numbered(df.select(_c(name).alias("v")).where("v is not null"), ["v"], "i")
+    at = ordering.numbered(df.select(_c(name).alias("v")).where("v is not null"), ["v"], "i", unique=False)
     n = at.count()
     z = F.col("v") / math.sqrt(2)
     erf = F.sqrt(1 - F.exp(-z * z * (F.lit(4 / math.pi) + z * z * special.NORMAL_A) / (z * z * special.NORMAL_A + 1)))
@@ -264,7 +264,7 @@ def kendall(df: DataFrame, x: str, y: str) -> tuple[float, float]:
     import pandas as pd
 
     rows = df.select(_c(x).alias("x"), _c(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("w"))
-    cut = ordering.bucketed(rows, ["x"])
+    cut = ordering.bucketed(rows, ["x"], sample_by=["x", "y"])
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         """Pairs of one bucket with x and y in the same and in opposite order, by a Fenwick tree over y."""
@@ -333,7 +333,7 @@ def anderson_normal(df: DataFrame, name: str) -> float:
     z = (F.col("v") - s.m) / s.s / math.sqrt(2)
     erf = F.signum(z) * F.sqrt(1 - F.exp(-z * z * (F.lit(4 / math.pi) + z * z * special.NORMAL_A) / (z * z * special.NORMAL_A + 1)))
     low, high = F.greatest((erf + 1) / 2, F.lit(1e-300)), F.greatest((1 - erf) / 2, F.lit(1e-300))
-    at = ordering.numbered(v, ["v"], "i").select("i", F.ln(low).alias("a"), F.ln(high).alias("b"))
+    at = ordering.numbered(v, ["v"], "i", unique=False).select("i", F.ln(low).alias("a"), F.ln(high).alias("b"))
     total = at.agg(F.sum((2 * F.col("i") + 1) * F.col("a") + (2 * (s.n - F.col("i")) - 1) * F.col("b"))).first()[0]
     return -s.n - total / s.n
 

@@ -70,7 +70,7 @@ class Frame:
         """The row at a position; none beyond the end."""
         if position < 0:
             raise PositionError(f"position {position} is negative")
-        return self._with(self.ordered().offset(position).limit(1))
+        return self._with(ordering.numbered(self.df, self.order).where(F.col(ordering.ORD) == position).drop(ordering.ORD))
 
     def head(self, n: int = 5) -> Frame:
         if n < 0:

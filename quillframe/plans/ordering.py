@@ -1,40 +1,66 @@
 """Positional order on an engine without one, without gathering a table in one task.
 
-A total order is a list of columns. ``bucketed`` cuts a table at bounds of its first order column, taken from a
-bounded sample; running totals are then windows inside buckets plus the totals of the buckets before, a table of as
+A total order is a list of columns. ``bucketed`` cuts a table at bounds of whole order tuples, so that a value which
+repeats in the first column is cut as well; the bounds come from a sample by a hash of the tuple, and their number grows
+with the rows. Running totals are then windows inside buckets plus the totals of the buckets before, a table of as
 many rows as buckets. With the row number so found, windows of a few rows back or ahead run in chunks of
 ``CHUNK`` rows, to which the rows that reach over an edge are copied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BOUNDS_SAMPLE = 4_000
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1 << 14  # the rows of a bucket grow only beyond their product
+SAMPLE = 32  # sampled rows for each bucket
 CHUNK = 100_000
-BUCKET, ORD, TAKEN = "__bucket", "__ord", "__chunk"
-
-
-def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
-    """df with a bucket number that ascends with order[0]; equal values share a bucket, nulls are in the first."""
-    spark = df.sparkSession
-    n = min(256, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col(order[0])
-    found = df.where(key.isNotNull()).select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(BOUNDS_SAMPLE).collect() if n > 1 else []
-    values = sorted(r.k for r in found)
-    bounds = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
-
-    def tree(low: int, high: int) -> Column:
-        """The number of bounds at or below the key, by bisection."""
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
-
-    return df.withColumn(BUCKET, F.when(key.isNull(), 0).otherwise(tree(0, len(bounds))))
+BUCKET, ORD, TAKEN, TIE = "__bucket", "__ord", "__chunk", "__tie"
+
+
+def bounds_of(df: DataFrame, order: Sequence[str], buckets: int | None = None, sample_by: Sequence[str] | None = None) -> list[tuple]:
+    """Order tuples that cut df into buckets of about even size, ascending; none for a table of one bucket."""
+    rows = df.select(*dict.fromkeys([*order, *(sample_by or ())]))
+    count = rows.count()
+    n = buckets or min(MOST_BUCKETS, math.ceil(count / BUCKET_ROWS))
+    if n < 2 or count < 2:
+        return []
+    share = SAMPLE * n / count
+    if share < 1:  # by a tuple that is one row's own, so no value is sampled more often than it occurs
+        rows = rows.where(F.xxhash64(*(sample_by or order), F.lit("bounds")) < F.lit(int((2 * share - 1) * 2**63)))
+    found = rows.groupBy(*order).agg(F.count("*").alias("__n")).orderBy(*ascending(order)).collect()
+    total, bounds, seen = sum(r["__n"] for r in found), [], 0
+    for before, r in zip([None, *found], found, strict=False):
+        if before is not None and seen * n // total > (seen - before["__n"]) * n // total:
+            bounds.append(tuple(r)[:-1])
+        seen += r["__n"]
+    return bounds
+
+
+def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None, unique: bool = False, sample_by: Sequence[str] | None = None) -> DataFrame:
+    """df with a bucket number that ascends with the order tuple, nulls first.
+
+    Unless order tuples are known to be unique, rows of one tuple are told apart by a hash of all their columns, so
+    that a very frequent tuple fills more than one bucket; with ``sample_by``, columns that tell rows apart for the
+    sample of bounds, rows of one tuple share a bucket.
+    """
+    if not unique and not sample_by:
+        tie = F.xxhash64(*(f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+        return bucketed(df.withColumn(TIE, tie), [*order, TIE], buckets, unique=True).drop(TIE)
+    bounds = bounds_of(df, order, buckets, sample_by)
+    if not bounds:
+        return df.withColumn(BUCKET, F.lit(0))
+    kinds = [df.schema[c].dataType for c in order]
+    places = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(t, kinds, order, strict=True))) for t in bounds))
+    key = F.struct(*order)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    # the number of bounds at or below the key, by bisection: beyond the last bound there is none to compare with
+    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(places, low + step - 1) <= key, low + step).otherwise(low))
+    return df.withColumn(BUCKET, at)
 
 
 def ascending(order: Sequence[str]) -> list[Column]:
@@ -52,15 +78,15 @@ COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 AGGREGATE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "product": F.product, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None, unique: bool = True) -> DataFrame:
     """df with running aggregates, from the first row in order to each: name -> (value, one of AGGREGATE)."""
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: AGGREGATE[how](value).over(w) for name, (value, how) in outputs.items()})
-    cut = bucketed(df, order, buckets)
+    cut = bucketed(df, order, buckets, unique)
     w = Window.partitionBy(BUCKET).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(BUCKET).agg(*(AGGREGATE[how](value).alias(f"__t_{name}") for name, (value, how) in outputs.items()))
-    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BUCKETS rows
     totals = totals.select(BUCKET, *(AGGREGATE["sum" if how == "count" else how](f"__t_{name}").over(before).alias(f"__b_{name}") for name, (_, how) in outputs.items()))
     here = cut.withColumns({name: AGGREGATE[how](value).over(w) for name, (value, how) in outputs.items()})
     joined = here.join(F.broadcast(totals), BUCKET)
@@ -68,9 +94,9 @@ def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column
     return joined.withColumns(out).drop(BUCKET, *(f"__b_{name}" for name in outputs))
 
 
-def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int | None = None, unique: bool = True) -> DataFrame:
     """df with the position of each row, from 0."""
-    return running(df, order, {into: (F.lit(1), "count")}, buckets=buckets).withColumn(into, F.col(into) - 1)
+    return running(df, order, {into: (F.lit(1), "count")}, buckets=buckets, unique=unique).withColumn(into, F.col(into) - 1)
 
 
 def around(df: DataFrame, order: Sequence[str], back: int, ahead: int, columns: Callable[[Window], dict[str, Column]], partition_by: Sequence[str] = ()) -> DataFrame:
