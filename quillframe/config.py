@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from quillframe.errors import InvalidParameterError
+from quillframe.errors import BroadcastError, DataValidationError, DeviceError, DTypeError, InvalidParameterError, ShapeError
 
 DTYPES = {"float32": "float", "float64": "double", "int32": "int", "int64": "bigint", "uint8": "smallint", "bool": "boolean", "string": "string"}
+DEVICES = ("spark", "driver")
 DEFAULTS = {"default_dtype": "float64", "device": "spark", "seed": None}
 _settings = dict(DEFAULTS)
 
@@ -29,6 +30,56 @@ def reset_config() -> None:
     _settings.update(DEFAULTS)
 
 
+def set_seed(seed: int | None) -> None:
+    set_config(seed=None if seed is None else integer(seed, "seed"))
+
+
+def get_seed() -> int | None:
+    return _settings["seed"]
+
+
+def clear_seed() -> None:
+    set_seed(None)
+
+
+def set_device(device: str) -> None:
+    set_config(device=valid_device(device))
+
+
+def get_device() -> str:
+    return _settings["device"]
+
+
+def set_dtype(dtype: str) -> None:
+    set_config(default_dtype=valid_dtype(dtype))
+
+
+def get_dtype() -> str:
+    return _settings["default_dtype"]
+
+
+def is_device(value: object) -> bool:
+    return isinstance(value, str) and value in DEVICES
+
+
+def valid_device(value: object) -> str:
+    if not is_device(value):
+        raise DeviceError(f"no device {value!r}")
+    return value
+
+
+def valid_dtype(value: object) -> str:
+    if not is_dtype(value):
+        raise DTypeError(f"no type {value!r}")
+    return value
+
+
+def numeric_dtype(value: object) -> str:
+    if valid_dtype(value) == "string":
+        raise DTypeError("a type of numbers is needed")
+    return value
+
+
 def is_dtype(value: object) -> bool:
     return isinstance(value, str) and value in DTYPES
 
@@ -81,3 +132,28 @@ def shape(value: Sequence[int]) -> tuple[int, ...]:
 
 def size(of: Sequence[int]) -> int:
     return math.prod(shape(of))
+
+
+def array(value: object, name: str, least: int = 0) -> list:
+    """A list or tuple of at least so many entries."""
+    if not isinstance(value, (list, tuple)):
+        raise DataValidationError(f"{name} must be a list")
+    if len(value) < least:
+        raise DataValidationError(f"{name} has fewer than {least} entries")
+    return list(value)
+
+
+def dimension(of: Sequence[int], axis: int) -> int:
+    """The length of an axis of a shape."""
+    if not -len(of) <= axis < len(of):
+        raise ShapeError(f"no axis {axis} of {len(of)}")
+    return of[axis]
+
+
+def broadcast_shape(a: Sequence[int], b: Sequence[int]) -> tuple[int, ...]:
+    """The shape to which two shapes stretch: axes agree from the last on, or one of them is 1."""
+    n = max(len(a), len(b))
+    wide = [(1,) * (n - len(s)) + tuple(s) for s in (a, b)]
+    if any(x != y and 1 not in (x, y) for x, y in zip(*wide, strict=True)):
+        raise BroadcastError(f"{tuple(a)} and {tuple(b)} do not broadcast")
+    return tuple(y if x == 1 else x for x, y in zip(*wide, strict=True))

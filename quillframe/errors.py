@@ -31,3 +31,23 @@ class PositionError(EngineError, IndexError):
 
 class ConvergenceError(EngineError):
     pass
+
+
+class DTypeError(EngineError, TypeError):
+    """A type that an operation does not take."""
+
+
+class BroadcastError(ShapeError):
+    """Shapes that do not broadcast to one."""
+
+
+class CapacityError(EngineError):
+    """More than fits where it has to."""
+
+
+class DeviceError(EngineError):
+    """A device that does not exist."""
+
+
+class UnsupportedError(EngineError, NotImplementedError):
+    """A feature that this engine does not have."""

@@ -146,6 +146,64 @@ def gather(a, positions) -> Column:
     return F.transform(positions, lambda i: F.get(a, i))
 
 
+# -- shapes ---------------------------------------------------------------------------------------------------------
+
+
+def concatenate(*parts) -> Column:
+    return F.concat(*map(_a, parts))
+
+
+def stack(*parts) -> Column:
+    """An array of arrays, of one length each."""
+    first = F.size(_a(parts[0]))
+    even = [F.when(F.size(_a(p)) == first, _a(p)).otherwise(F.raise_error(F.lit("the arrays differ in length")).cast(A)) for p in parts]
+    return F.array(*even)
+
+
+def reshape(a, rows: int, columns: int) -> Column:
+    """A flat array as ``rows`` arrays of ``columns``; an error where the numbers do not fit."""
+    fits = F.when(F.size(_a(a)) == rows * columns, _a(a)).otherwise(F.raise_error(F.lit("the shape does not fit")).cast(A))
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda k: F.slice(fits, k * columns + 1, F.lit(columns)))
+
+
+def flatten(m) -> Column:
+    return F.flatten(F.col(m) if isinstance(m, str) else m)
+
+
+def transpose(m, columns: int) -> Column:
+    """An array of arrays with rows and columns exchanged."""
+    own = F.col(m) if isinstance(m, str) else m
+    return F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda k: F.transform(own, lambda row: F.get(row, k)))
+
+
+def unsqueeze(a) -> Column:
+    """A leading axis of length 1."""
+    return F.array(F.col(a) if isinstance(a, str) else a)
+
+
+def squeeze(m) -> Column:
+    """Without a leading axis of length 1; an error where it is longer."""
+    own = F.col(m) if isinstance(m, str) else m
+    return F.when(F.size(own) == 1, F.get(own, 0)).otherwise(F.raise_error(F.lit("the axis is longer than 1")).cast(A))
+
+
+def at(a, position: int) -> Column:
+    """The value at a position, from the end if negative; an error outside."""
+    return F.element_at(_a(a), position + 1 if position >= 0 else position)
+
+
+def to_text(a, digits: int = 4) -> Column:
+    """[1.0, 2.5]: numbers rounded, for people."""
+    return F.concat(F.lit("["), F.array_join(F.transform(_a(a), lambda x: F.round(x, digits).cast("string")), ", "), F.lit("]"))
+
+
+def from_text(value) -> Column:
+    """An array of the numbers of a text such as [1.0, 2.5]; what is none is null."""
+    own = F.col(value) if isinstance(value, str) else value
+    parts = F.split(F.regexp_replace(own, r"^\s*\[|\]\s*$", ""), ",")
+    return F.when(F.trim(F.regexp_replace(own, r"[\[\]]", "")) == "", F.array().cast(A)).otherwise(F.transform(parts, lambda x: F.trim(x).try_cast("double")))
+
+
 # -- makers ---------------------------------------------------------------------------------------------------------
 
 
@@ -171,6 +229,30 @@ def full(value: float, n: int) -> Column:
     return F.array_repeat(F.lit(float(value)), n)
 
 
+def zeros(n: int) -> Column:
+    return full(0.0, n)
+
+
+def ones(n: int) -> Column:
+    return full(1.0, n)
+
+
+def empty(n: int) -> Column:
+    """As zeros: there is no memory to leave unwritten."""
+    return zeros(n)
+
+
+def arange(start: float, stop: float | None = None, step: float = 1.0) -> Column:
+    """start, start + step, ... before stop; from 0 where one bound is given."""
+    import math
+
+    low, high = (0.0, start) if stop is None else (start, stop)
+    if step == 0:
+        raise ValueError("the step must not be zero")
+    n = max(0, math.ceil((high - low) / step))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(float(low)) + k * float(step)) if n else F.array().cast(A)
+
+
 # -- matrices as (i, j, v) ------------------------------------------------------------------------------------------
 
 
@@ -202,6 +284,79 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
+class Sparse:
+    """A matrix of rows (i, j, v) and its shape: as large as a table may be, and one row an entry."""
+
+    def __init__(self, df: DataFrame, shape: tuple[int, int]):
+        self.df, self.shape = df.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")), tuple(shape)
+
+    @classmethod
+    def from_coo(cls, df: DataFrame, shape: tuple[int, int]) -> Sparse:
+        """Entries of one place are summed, zeros dropped; a place outside the shape is an error when read."""
+        inside = (F.col("i") >= 0) & (F.col("i") < shape[0]) & (F.col("j") >= 0) & (F.col("j") < shape[1])
+        v = F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit("an entry lies outside the matrix")).cast("double"))
+        return cls(canonical(df.select("i", "j", v.alias("v"))), shape)
+
+    @property
+    def rows(self) -> int:
+        return self.shape[0]
+
+    @property
+    def cols(self) -> int:
+        return self.shape[1]
+
+    def nnz(self) -> int:
+        return self.df.count()
+
+    def get(self, i: int, j: int) -> float:
+        """The entry at a place, 0 where there is none."""
+        if not (0 <= i < self.rows and 0 <= j < self.cols):
+            raise IndexError(f"({i}, {j}) lies outside {self.shape}")
+        found = self.df.where((F.col("i") == i) & (F.col("j") == j)).first()
+        return found.v if found else 0.0
+
+    def copy(self) -> Sparse:
+        return Sparse(self.df, self.shape)
+
+    def to_dense(self) -> DataFrame:
+        """(i, row): an array of doubles for each row, rows without entries too."""
+        own = self.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
+        every = self.df.sparkSession.range(self.rows).select(F.col("id").alias("i"))
+        entries = F.coalesce("m", F.create_map().cast("map<bigint,double>"))
+        row = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.cols - 1).cast("long")), lambda j: F.coalesce(F.try_element_at(entries, j), F.lit(0.0)))
+        return every.join(own, "i", "left").select("i", row.alias("row"))
+
+    def _same(self, other: Sparse) -> None:
+        if self.shape != other.shape:
+            raise ValueError(f"the shapes {self.shape} and {other.shape} differ")
+
+    def add(self, other: Sparse) -> Sparse:
+        self._same(other)
+        return Sparse(matrix_add(self.df, other.df), self.shape)
+
+    def sub(self, other: Sparse) -> Sparse:
+        self._same(other)
+        return Sparse(matrix_add(self.df, other.df, -1.0), self.shape)
+
+    def scale(self, by: float) -> Sparse:
+        return Sparse(matrix_scale(self.df, by), self.shape)
+
+    def multiply(self, other: Sparse) -> Sparse:
+        self._same(other)
+        return Sparse(matrix_hadamard(self.df, other.df), self.shape)
+
+    def matmul(self, other: Sparse) -> Sparse:
+        if self.cols != other.rows:
+            raise ValueError(f"the shapes {self.shape} and {other.shape} do not match")
+        return Sparse(matmul(self.df, other.df), (self.rows, other.cols))
+
+    def matvec(self, x: DataFrame) -> DataFrame:
+        return matvec(self.df, x)
+
+    def transpose(self) -> Sparse:
+        return Sparse(matrix_transpose(self.df), (self.cols, self.rows))
+
+
 def matrix_transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 

@@ -28,6 +28,30 @@ def is_finite(value) -> Column:
     return ~is_nan(value) & (F.abs(_d(value)) < INF)
 
 
+def add(a, b) -> Column:
+    return col(a) + col(b)
+
+
+def sub(a, b) -> Column:
+    return col(a) - col(b)
+
+
+def mul(a, b) -> Column:
+    return col(a) * col(b)
+
+
+def add_scalar(value, scalar: float) -> Column:
+    return col(value) + F.lit(scalar)
+
+
+def mul_scalar(value, scalar: float) -> Column:
+    return col(value) * F.lit(scalar)
+
+
+def absolute(value) -> Column:
+    return F.abs(col(value))
+
+
 def div(a, b) -> Column:
     a, b = _d(a), _d(b)
     by_zero = F.when(F.isnan(a) | (a == 0), NAN).when(a > 0, INF).otherwise(-INF)
@@ -129,6 +153,14 @@ def cbrt(value) -> Column:
     return F.cbrt(_d(value))
 
 
+def exp(value) -> Column:
+    return F.exp(_d(value))
+
+
+def expm1(value) -> Column:
+    return F.expm1(_d(value))
+
+
 def exp2(value) -> Column:
     return F.pow(F.lit(2.0), _d(value))
 
@@ -137,6 +169,64 @@ def power(a, b) -> Column:
     return F.pow(_d(a), _d(b))
 
 
+# -- trigonometry ----------------------------------------------------------------------------------------------------
+
+
+def sin(value) -> Column:
+    return F.sin(_d(value))
+
+
+def cos(value) -> Column:
+    return F.cos(_d(value))
+
+
+def tan(value) -> Column:
+    return F.tan(_d(value))
+
+
+def asin(value) -> Column:
+    """NaN outside -1 to 1, as the other functions with a limited domain."""
+    return F.asin(_d(value))
+
+
+def acos(value) -> Column:
+    return F.acos(_d(value))
+
+
+def atan(value) -> Column:
+    return F.atan(_d(value))
+
+
+def atan2(y, x) -> Column:
+    return F.atan2(_d(y), _d(x))
+
+
+def sinh(value) -> Column:
+    return F.sinh(_d(value))
+
+
+def cosh(value) -> Column:
+    return F.cosh(_d(value))
+
+
+def tanh(value) -> Column:
+    return F.tanh(_d(value))
+
+
+def asinh(value) -> Column:
+    """Odd by its sign, as the logarithm loses the digits of large negative values."""
+    v = _d(value)
+    return F.signum(v) * F.asinh(F.abs(v))
+
+
+def acosh(value) -> Column:
+    return F.acosh(_d(value))
+
+
+def atanh(value) -> Column:
+    return F.atanh(_d(value))
+
+
 # -- activations ----------------------------------------------------------------------------------------------------
 
 

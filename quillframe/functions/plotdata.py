@@ -62,6 +62,34 @@ def heat(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("i"), cell(y).alias("j")).agg(F.count("*").alias("n"))
 
 
+def contour(df: DataFrame, x: str, y: str, value: str, levels: list[float], bins: int = 20) -> DataFrame:
+    """(i, j, value, level): the mean of a value over a grid of equal cells, and how many of the ascending levels it reaches, as filled contours show."""
+    ends = df.agg(*(f(c).cast("double").alias(f"{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    cell = lambda c: F.least(F.floor((F.col(c) - ends[f"lo{c}"]) / ((ends[f"hi{c}"] - ends[f"lo{c}"]) / bins or 1.0)), F.lit(bins - 1)).cast("int")
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("i"), cell(y).alias("j")).agg(F.avg(value).alias("value"))
+    return cells.withColumn("level", sum(((F.col("value") >= float(v)).cast("int") for v in levels), F.lit(0)))
+
+
+def lines(df: DataFrame, x: str, y: str, steps: int = 500) -> DataFrame:
+    """(step, x, low, high, mean): a line of any number of points, as a picture of ``steps`` columns shows it."""
+    ends = df.agg(F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi")).first()
+    if ends.lo is None:
+        return df.sparkSession.createDataFrame([], "step int, x double, low double, high double, mean double")
+    width = (ends.hi - ends.lo) / steps or 1.0
+    step = F.least(F.floor((F.col(x) - ends.lo) / width), F.lit(steps - 1)).cast("int")
+    v = F.col(y).cast("double")
+    return df.where(F.col(x).isNotNull()).groupBy(step.alias("step")).agg(F.min(F.col(x).cast("double")).alias("x"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"))
+
+
+def validation_curve(make, values: list[float], train: DataFrame, test: DataFrame, score) -> DataFrame:
+    """(value, train, test): scores of models made with each value of a parameter. score is a column of a prediction."""
+    rows = []
+    for value in values:
+        model = make(value).fit(train)
+        rows.append((float(value), *(float(model.predict(d).agg(score).first()[0]) for d in (train, test))))
+    return train.sparkSession.createDataFrame(rows, "value double, train double, test double")
+
+
 def boundary(spark, model, features: list[str], low: list[float], high: list[float], steps: int = 50) -> DataFrame:
     """A model's predictions over a grid of two features."""
     grid = spark.range(steps * steps).select(*((F.lit(a) + f(F.col("id")) * ((b - a) / (steps - 1))).alias(c) for c, a, b, f in zip(features, low, high, (lambda i: F.pmod(i, F.lit(steps)), lambda i: F.floor(i / steps)), strict=True)))

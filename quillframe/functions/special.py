@@ -7,6 +7,10 @@ import math
 NORMAL_A = 0.147
 
 
+def log_gamma(x: float) -> float:
+    return math.lgamma(x)
+
+
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
@@ -77,6 +81,19 @@ def t_sf2(t: float, df: float) -> float:
     return regularized_beta(df / (df + t * t), df / 2, 0.5)
 
 
+def t_cdf(t: float, df: float) -> float:
+    tail = t_sf2(t, df) / 2
+    return 1 - tail if t > 0 else tail
+
+
+def chi2_cdf(x: float, df: float) -> float:
+    return regularized_gamma(df / 2, x / 2)
+
+
+def f_cdf(x: float, d1: float, d2: float) -> float:
+    return 1 - f_sf(x, d1, d2)
+
+
 def f_sf(x: float, d1: float, d2: float) -> float:
     return 1.0 if x <= 0 else regularized_beta(d2 / (d2 + d1 * x), d2 / 2, d1 / 2)
 

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,11 @@ def quantile(v, q: float | Sequence[float]) -> Column:
     return F.percentile(_c(v), F.lit(q) if isinstance(q, (int, float)) else F.array(*map(F.lit, q)))
 
 
+def percentile(v, p: float | Sequence[float]) -> Column:
+    """As quantile, in percent."""
+    return quantile(v, p / 100 if isinstance(p, (int, float)) else [x / 100 for x in p])
+
+
 def geometric_mean(v) -> Column:
     """Of positive values; null if any is not."""
     return F.when(F.min(_c(v)) > 0, F.exp(F.avg(F.when(_c(v) > 0, F.ln(_c(v))))))
@@ -231,15 +236,27 @@ def normaltest(df: DataFrame, name: str) -> tuple[float, float]:
     return k2, special.chi2_sf(k2, 2)
 
 
-def kstest_normal(df: DataFrame, name: str) -> tuple[float, float]:
-    """One sample against the standard normal, by the closed form of its distribution function as a column."""
-    at = ordering.numbered(df.select(_c(name).alias("v")).where("v is not null"), ["v"], "i", unique=False)
-    n = at.count()
-    z = F.col("v") / math.sqrt(2)
+def normal_cdf(v: Column) -> Column:
+    """The standard normal distribution function in its closed form, as a column."""
+    z = v / math.sqrt(2)
     erf = F.sqrt(1 - F.exp(-z * z * (F.lit(4 / math.pi) + z * z * special.NORMAL_A) / (z * z * special.NORMAL_A + 1)))
-    cdf = (F.signum(z) * erf + 1) * 0.5
-    d = at.agg(F.max(F.greatest((F.col("i") + 1) / n - cdf, cdf - F.col("i") / n))).first()[0]
-    return d, special.kolmogorov_sf(d * math.sqrt(n))
+    return (F.signum(z) * erf + 1) * 0.5
+
+
+def kstest(df: DataFrame, name: str, cdf: Callable[[Column], Column]) -> tuple[float, float]:
+    """One sample against any distribution function, given as a column of a column. Equal values are counted, not numbered one by one."""
+    seen = df.select(_c(name).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    seen = ordering.running(seen, ["v"], {"upto": (F.col("n"), "sum")}).withColumn("p", cdf(F.col("v")))
+    size = seen.agg(F.sum("n").alias("size"))
+    gap = F.max(F.greatest(F.col("upto") / F.col("size") - F.col("p"), F.col("p") - (F.col("upto") - F.col("n")) / F.col("size")))
+    s = seen.crossJoin(F.broadcast(size)).agg(gap.alias("d"), F.max("size").alias("size")).first()
+    if not s.size:
+        raise DataValidationError("the sample is empty")
+    return s.d, special.kolmogorov_sf(s.d * math.sqrt(s.size))
+
+
+def kstest_normal(df: DataFrame, name: str) -> tuple[float, float]:
+    return kstest(df, name, normal_cdf)
 
 
 def friedman(df: DataFrame, samples: Sequence[str]) -> tuple[float, float]:

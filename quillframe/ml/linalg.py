@@ -69,6 +69,14 @@ def eigh(a):
     return np.linalg.eigh(_square(a))
 
 
+def eigvals(a):
+    return eig(a)[0]
+
+
+def eigvalsh(a):
+    return eigh(a)[0]
+
+
 def solve(a, b):
     try:
         return np.linalg.solve(_square(a), np.asarray(b, float))

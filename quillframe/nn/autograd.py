@@ -21,6 +21,16 @@ def no_grad():
         _recording.pop()
 
 
+@contextmanager
+def with_grad():
+    """Records inside no_grad."""
+    _recording.append(True)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
 def _fitted(g: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
     """g summed over what broadcasting repeated."""
     while g.ndim > len(shape):
@@ -241,6 +251,24 @@ def stack(parts: Sequence[Tensor], axis: int = 0) -> Tensor:
     return Tensor(np.stack([p.data for p in parts], axis), False, tuple(parts), lambda g: tuple(np.moveaxis(g, axis, 0)))
 
 
+def dropout_mask(shape: tuple[int, ...], p: float, seed: int = 0) -> np.ndarray:
+    """0 with probability p, else what keeps the mean: 1 / (1 - p)."""
+    return (np.random.default_rng(seed).random(shape) >= p) / (1 - p)
+
+
+def dropout(x, p: float = 0.5, training: bool = True, seed: int = 0) -> Tensor:
+    x = tensor(x)
+    return x * dropout_mask(x.shape, p, seed) if training and p else x
+
+
+def folded(cells: Tensor, shape: tuple[int, int, int, int], kernel: tuple[int, int], stride: tuple[int, int] = (1, 1), padding: tuple[int, int] = (0, 0)) -> Tensor:
+    """What ``patches`` spread out, summed up again at its place: (batch, channels, height, width) of the given shape."""
+    image = parameter(np.zeros(shape))
+    with with_grad():
+        patches(image, kernel, stride, padding).backward(tensor(cells).data)
+    return Tensor(image.grad, False, (tensor(cells),), lambda g: (patches(Tensor(g), kernel, stride, padding).data,))
+
+
 def patches(x: Tensor, kernel: tuple[int, int], stride: tuple[int, int] = (1, 1), padding: tuple[int, int] = (0, 0)) -> Tensor:
     """(batch, channels, height, width) to (batch, positions, channels * kernel), as convolutions multiply them."""
     b, c, h, w = x.shape

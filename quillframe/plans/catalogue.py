@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.plans import extras, learning, numeric, relational
+from quillframe.plans import elementary, extras, learning, network, numeric, relational
 from quillframe.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "extras", "learning", "numeric", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "elementary", "extras", "learning", "network", "numeric", "relational"]

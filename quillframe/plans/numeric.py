@@ -28,8 +28,8 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 def math_arithmetic(t):
     some = lambda c: F.when(F.col("y") != 0, c)
     return _lines(t).withColumn("x", F.col("x") + 0.5).select(  # no zero, whose sign engines round away differently
-        *KEYS, (F.col("x") + F.col("y")).alias("a"), (F.col("x") - F.col("y")).alias("s"), (F.col("x") * F.col("y")).alias("m"), F.round(some(expr.div("x", "y")), 6).alias("d"), some(expr.floor_div("x", "y")).alias("fd"),
-        F.round(some(expr.mod("x", "y")), 6).alias("md"), expr.neg("x").alias("n"), F.abs("x").alias("ab"), expr.sign("x").alias("sg"), expr.maximum("x", "y").alias("mx"), expr.minimum("x", "y").alias("mn"),
+        *KEYS, expr.add("x", "y").alias("a"), expr.sub("x", "y").alias("s"), expr.mul("x", "y").alias("m"), F.round(some(expr.div("x", "y")), 6).alias("d"), some(expr.floor_div("x", "y")).alias("fd"),
+        F.round(some(expr.mod("x", "y")), 6).alias("md"), expr.neg("x").alias("n"), expr.absolute("x").alias("ab"), expr.sign("x").alias("sg"), expr.maximum("x", "y").alias("mx"), expr.minimum("x", "y").alias("mn"),
     )
 
 
@@ -46,7 +46,7 @@ def math_ieee(t):
 )
 def math_functions(t):
     z, r = F.col("p_size"), "p_retailprice"
-    rounded = {"e": F.exp(z / 50.0), "l": expr.log(z), "s": expr.sqrt(z), "rs": expr.rsqrt(z), "c": expr.cbrt(z), "l2": expr.log2(z), "l10": expr.log10(z), "rc": expr.reciprocal(z)}
+    rounded = {"e": expr.exp(z / 50.0), "l": expr.log(z), "s": expr.sqrt(z), "rs": expr.rsqrt(z), "c": expr.cbrt(z), "l2": expr.log2(z), "l10": expr.log10(z), "rc": expr.reciprocal(z)}
     return t.part.select(
         "p_partkey", *(F.round(v, 8).alias(k) for k, v in rounded.items()), expr.square(z).alias("q"), F.round(expr.exp2(z / 10.0), 6).alias("e2"),
         expr.floor(r).alias("fl"), expr.ceil(r).alias("ce"), expr.round_half_up(r).alias("ro"), expr.trunc(r).alias("tr"),
@@ -59,7 +59,7 @@ TRIG = ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "as
 @query("math_trigonometry", "SELECT p_partkey, " + ", ".join(f"round({f}(p_size / 60.0), 8) AS {f}" for f in TRIG) + ", round(acosh(1 + p_size / 60.0), 8) AS acosh, round(atan2(p_size, p_retailprice), 8) AS atan2 FROM part")
 def math_trigonometry(t):
     x = F.col("p_size") / 60.0
-    return t.part.select("p_partkey", *(F.round(getattr(F, f)(x), 8).alias(f) for f in TRIG), F.round(F.acosh(x + 1), 8).alias("acosh"), F.round(F.atan2(F.col("p_size").cast("double"), F.col("p_retailprice")), 8).alias("atan2"))
+    return t.part.select("p_partkey", *(F.round(getattr(expr, f)(x), 8).alias(f) for f in TRIG), F.round(expr.acosh(x + 1), 8).alias("acosh"), F.round(expr.atan2("p_size", "p_retailprice"), 8).alias("atan2"))
 
 
 @query(
@@ -393,11 +393,11 @@ def regression_scores(t):
     "clustering_scores",
     """WITH p AS (SELECT label AS t, vec_id % 8 AS g FROM embeddings), c AS (SELECT t, g, count(*)::DOUBLE AS n FROM p GROUP BY ALL), a AS (SELECT t, sum(n) AS n FROM c GROUP BY t), b AS (SELECT g, sum(n) AS n FROM c GROUP BY g), z AS (SELECT sum(n) AS z FROM c),
     s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS pc, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb, (SELECT -sum(n / z * ln(n / z)) FROM c, z) AS hc, (SELECT -sum(n / z * ln(n / z)) FROM a, z) AS ha, (SELECT -sum(n / z * ln(n / z)) FROM b, z) AS hb, z FROM z)
-    SELECT round((pc - pa * pb / (z * (z - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (z * (z - 1) / 2)), 8) AS ari, round((ha + hb - hc) / ((ha + hb) / 2), 8) AS nmi, round((ha + hb - hc) / ha, 8) AS homogeneity, round((ha + hb - hc) / hb, 8) AS completeness, round(pc / sqrt(pa * pb), 8) AS fowlkes_mallows FROM s""",
+    SELECT round((pc - pa * pb / (z * (z - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (z * (z - 1) / 2)), 8) AS ari, round((ha + hb - hc) / ((ha + hb) / 2), 8) AS nmi, round((ha + hb - hc) / ha, 8) AS homogeneity, round((ha + hb - hc) / hb, 8) AS completeness, round(2 * (ha + hb - hc) / (ha + hb), 8) AS v_measure, round(pc / sqrt(pa * pb), 8) AS fowlkes_mallows FROM s""",
 )
 def clustering_scores(t):
     s = metrics.clustering_scores(_clusters(t), "label", "guess")
-    return s.select(*(F.round(c, 8).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness", "fowlkes_mallows")))
+    return s.select(*(F.round(c, 8).alias(c) for c in ("ari", "nmi", "homogeneity", "completeness", "v_measure", "fowlkes_mallows")))
 
 
 @query(
