@@ -287,9 +287,11 @@ def silhouette(df: DataFrame, features: list[str], label: str, key: str, block_r
             clusters, at = np.unique(b["c"].to_numpy(), return_inverse=True)
             member = np.eye(len(clusters))[at]
             y = b[names].to_numpy(float)
+            xs = a[names].to_numpy(float)
             for s in range(0, len(a), 256):
-                x = a[names].to_numpy(float)[s : s + 256]
-                d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)) @ member
+                x = xs[s : s + 256]
+                squares = sum((x[:, k, None] - y[None, :, k]) ** 2 for k in range(y.shape[1]))  # one feature at a time bounds the memory
+                d = np.sqrt(squares) @ member
                 parts.append(pd.DataFrame({"k": np.repeat(a["k"].to_numpy()[s : s + 256], len(clusters)), "c": np.repeat(a["c"].to_numpy()[s : s + 256], len(clusters)), "o": np.tile(clusters, len(x)), "d": d.ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"k": [], "c": [], "o": [], "d": []})
 

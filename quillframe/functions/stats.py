@@ -272,6 +272,23 @@ def friedman(df: DataFrame, samples: Sequence[str]) -> tuple[float, float]:
     return x, special.chi2_sf(x, k - 1)
 
 
+def inversions(y: Sequence[float], w: Sequence[int]) -> int:
+    """The weight of pairs of which the first is larger: block against neighbouring block, all blocks of a size at once."""
+    import numpy as np
+
+    y, w = np.unique(y, return_inverse=True)[1], np.asarray(w, np.int64)
+    at, total, half = np.arange(len(y)), 0, 1
+    while half < len(y):
+        block, right = at // (2 * half), at // half % 2
+        order = np.lexsort((right, y, block))  # of equal values, those of the left block first
+        left = np.cumsum(np.where(right[order] == 0, w[order], 0))
+        ends = np.searchsorted(block[order], block[order], side="right") - 1
+        larger = left[ends] - left  # the left block's weight behind each place, as the right block adds none
+        total += int((larger * np.where(right[order] == 1, w[order], 0)).sum())
+        half *= 2
+    return total
+
+
 def kendall(df: DataFrame, x: str, y: str) -> tuple[float, float]:
     """tau-b with a normal tail. Discordant pairs are inversions, counted by merging sorted stretches: inside each bucket of x by a merge sort, across buckets against counts of y.
 
@@ -281,32 +298,13 @@ def kendall(df: DataFrame, x: str, y: str) -> tuple[float, float]:
     import pandas as pd
 
     rows = df.select(_c(x).alias("x"), _c(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("w"))
-    cut = ordering.bucketed(rows, ["x"], sample_by=["x", "y"])
+    cut = ordering.bucketed(rows, ["x"], min(256, math.ceil(rows.count() / ordering.BUCKET_ROWS)), sample_by=["x", "y"])
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one bucket with x and y in the same and in opposite order, by a Fenwick tree over y."""
-        values = np.unique(group["y"].to_numpy())
-        tree, same, opposite, seen = [0] * (len(values) + 1), 0, 0, 0
-
-        def upto(k: int) -> int:
-            total = 0
-            while k:
-                total += tree[k]
-                k &= k - 1
-            return total
-
-        for _, part in group.sort_values("x").groupby("x", sort=True):
-            at = np.searchsorted(values, part["y"].to_numpy())
-            for k, w in zip(at.tolist(), part["w"].tolist(), strict=True):
-                same += w * upto(k)
-                opposite += w * (seen - upto(k + 1))
-            for k, w in zip(at.tolist(), part["w"].tolist(), strict=True):
-                seen += w
-                k += 1
-                while k < len(tree):
-                    tree[k] += w
-                    k += k & -k
-        return pd.DataFrame({"same": [same], "opposite": [opposite]})
+        """Pairs of one bucket with x and y in the same and in opposite order: inversions, with ties in x laid so that they are none."""
+        x, y, w = (group[c].to_numpy() for c in ("x", "y", "w"))
+        up, down = np.lexsort((y, x)), np.lexsort((-y, x))
+        return pd.DataFrame({"same": [inversions(-y[down], w[down])], "opposite": [inversions(y[up], w[up])]})
 
     own = cut.groupBy(ordering.BUCKET).applyInPandas(inside, "same long, opposite long").agg(F.sum("same").alias("s"), F.sum("opposite").alias("o")).first()
     # across buckets: for each y, how many rows of earlier buckets lie below and above it

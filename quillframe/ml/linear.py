@@ -3,18 +3,64 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.errors import NotFittedError
 
 
+#: terms from which an expression of columns costs more to compile than a product of matrices takes over Arrow
+WIDE = 256
+
+
+def matrix_of(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """The named columns as doubles; nulls are NaN."""
+    return np.column_stack([batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names])
+
+
+def appended(df: DataFrame, features: Sequence[str], make: Callable[[np.ndarray], dict[str, np.ndarray]], fields: Sequence[T.StructField]) -> DataFrame:
+    """df with the columns that ``make`` computes from a batch's features; columns of their names are replaced."""
+    new = [f.name for f in fields]
+    kept = [f for f in df.schema.fields if f.name not in new]
+    used = [f for f in features if f in new]
+    df = df.withColumns({f"__own_{f}": F.col(f) for f in used}) if used else df
+    names = [f"__own_{f}" if f in used else f for f in features]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(matrix_of(batch, names))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(made[n]) for n in new)], names=[*(f.name for f in kept), *new])
+
+    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def _wide_gram(rows: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """As gram, by products of matrices a batch: the means first, then the moments around them, a row a task and cell."""
+    one = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(names))).first()
+    mean = np.array([one[f"m{i}"] or 0.0 for i in range(len(names))])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            x = matrix_of(batch, names) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
+
+    found = {r.k: r.v for r in rows.mapInArrow(moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    c = np.array([found.get(k, 0.0) for k in range(len(names) ** 2)]).reshape(len(names), len(names))
+    return one.n, mean, (c + c.T) / 2
+
+
 def gram(df: DataFrame, features: Sequence[str], target: str | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means, and centred second moments of features and target (in that order), by one aggregation."""
+    """Row count, means, and centred second moments of features and target (in that order), by one aggregation, or two passes where they are many."""
     names = [*features, *([target] if target else [])]
+    if len(names) ** 2 > WIDE:
+        return _wide_gram(df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna(), names)
     cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     asked = [F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in cells)]
     row = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna().agg(*asked).first()

@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillframe.errors import DataValidationError, InvalidParameterError, NotFittedError
-from quillframe.ml.linear import gram
+from quillframe.errors import CapacityError, DataValidationError, InvalidParameterError, NotFittedError
+from quillframe.ml.linear import WIDE, appended, gram, matrix_of
 from quillframe.plans.components import connected_components
 
 
@@ -118,15 +120,20 @@ class KMeans:
         self.inertia, self.n_iter = math.inf, 0
 
     def _start(self, df: DataFrame) -> np.ndarray:
-        """k-means++ on a bounded sample, by hash."""
-        rows = df.select(*self.features).orderBy(F.xxhash64(*self.features, F.lit(self.seed)), *self.features).limit(self.sample).collect()
-        x = np.array([tuple(r) for r in rows], float)
-        if len(np.unique(x, axis=0)) < self.k:
+        """k-means++ on about ``sample`` different rows, those with the smallest hashes, each as often as it occurs."""
+        rows = df.select(*self.features)
+        share = self.sample / max(1, rows.agg(F.approx_count_distinct(F.struct(*self.features), 0.02)).first()[0])
+        if share < 1:
+            rows = rows.where(F.xxhash64(*self.features, F.lit(self.seed)) < F.lit(int((2 * share - 1) * 2**63)))
+        found = np.array([tuple(r) for r in rows.groupBy(*self.features).count().collect()], float).reshape(-1, len(self.features) + 1)
+        found = found[np.lexsort(found.T)]  # the order of rows depends on partitions
+        x, weight = found[:, :-1], found[:, -1]
+        if len(x) < self.k:
             raise DataValidationError("fewer different rows than clusters")
         random = np.random.default_rng(self.seed)
-        chosen = [x[random.integers(len(x))]]
+        chosen = [x[random.choice(len(x), p=weight / weight.sum())]]
         while len(chosen) < self.k:
-            d = np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+            d = weight * np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0)
             chosen.append(x[random.choice(len(x), p=d / d.sum())])
         return np.array(chosen)
 
@@ -137,12 +144,33 @@ class KMeans:
 
     def step(self, df: DataFrame) -> float:
         """Move the centres once; returns the inertia before the move. A centre without rows stays."""
+        if self.centres.size > WIDE:
+            return self._wide_step(df)
         at = df.select(*self.features, self._nearest().alias("__n"))
         rows = at.groupBy(F.col("__n.i").alias("i")).agg(F.sum("__n.d").alias("d"), *(F.avg(c).alias(f"m{j}") for j, c in enumerate(self.features))).collect()
         for r in rows:
             self.centres[r.i] = [r[f"m{j}"] for j in range(len(self.features))]
         return float(sum(r.d for r in rows))
 
+    def _wide_step(self, df: DataFrame) -> float:
+        """As step, by products of matrices a batch: a row a task, centre and sum."""
+        centres, names = self.centres.copy(), self.features
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(centres), len(names) + 2))
+            for batch in batches:
+                x = matrix_of(batch, names)
+                d, at = _closest(x, centres)
+                member = np.eye(len(centres))[at]
+                total += member.T @ np.column_stack([x, np.ones(len(x)), d])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
+
+        found = {r.k: r.v for r in df.select(*names).mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        total = np.array([found.get(k, 0.0) for k in range(len(centres) * (len(names) + 2))]).reshape(len(centres), -1)
+        own = total[:, -2] > 0
+        self.centres[own] = total[own, :-2] / total[own, -2:-1]
+        return float(total[:, -1].sum())
+
     def fit(self, df: DataFrame, start: np.ndarray | None = None) -> KMeans:
         rows = df.select(*(F.col(c).cast("double").alias(c) for c in self.features)).dropna().persist()
         try:
@@ -158,9 +186,22 @@ class KMeans:
     def predict(self, df: DataFrame, into: str = "cluster") -> DataFrame:
         if self.centres is None:
             raise NotFittedError("fit comes first")
+        if self.centres.size > WIDE:
+            centres = self.centres.copy()
+            return appended(df, self.features, lambda x: {into: _closest(x, centres)[1].astype(np.int32)}, [T.StructField(into, T.IntegerType())])
         return df.withColumn(into, self._nearest()["i"])
 
 
+def _closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, number) of each row's nearest centre, the first of several; one centre at a time, so that memory is a batch's."""
+    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for i, c in enumerate(centres):
+        d = ((x - c) ** 2).sum(axis=1)
+        closer = d < best
+        best[closer], at[closer] = d[closer], i
+    return best, at
+
+
 class DBSCAN:
     """Density clusters by a grid join: rows meet only those of the same and the neighbouring cells, of side eps.
 
@@ -212,6 +253,10 @@ class PCA:
     def transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
         if self.components is None:
             raise NotFittedError("fit comes first")
+        if self.components.size > WIDE:
+            axes = self.components / np.sqrt(self.explained_variance)[:, None] if self.whiten else self.components
+            names, mean = [f"{prefix}{k}" for k in range(len(axes))], self.mean
+            return appended(df, self.features, lambda x: dict(zip(names, ((x - mean) @ axes.T).T, strict=True)), [T.StructField(n, T.DoubleType()) for n in names])
         new = {}
         for k, axis in enumerate(self.components):
             value = sum(((F.col(c) - float(m)) * float(w) for c, m, w in zip(self.features, self.mean, axis, strict=True)), F.lit(0.0))
@@ -220,6 +265,9 @@ class PCA:
 
     def inverse_transform(self, df: DataFrame, prefix: str = "pc") -> DataFrame:
         scale = np.sqrt(self.explained_variance) if self.whiten else np.ones(len(self.components))
+        if self.components.size > WIDE:
+            back, mean, names = self.components * scale[:, None], self.mean, self.features
+            return appended(df, [f"{prefix}{k}" for k in range(len(back))], lambda x: dict(zip(names, (x @ back + mean).T, strict=True)), [T.StructField(c, T.DoubleType()) for c in names])
         return df.withColumns({c: sum((F.col(f"{prefix}{k}") * float(self.components[k, i] * scale[k]) for k in range(len(self.components))), F.lit(float(self.mean[i]))) for i, c in enumerate(self.features)})
 
 
@@ -265,13 +313,15 @@ def batches(df: DataFrame, order: Sequence[str], size: int, seed: int | None = N
 
 
 class TSNE:
-    """Exact embedding of at most ``most`` rows, on the driver; larger tables are sampled by hash."""
+    """Exact embedding on the driver, whose work grows with the square of the rows: a table of more than ``most`` is an error."""
 
     def __init__(self, features: Sequence[str], n_components: int = 2, perplexity: float = 30.0, steps: int = 300, rate: float = 200.0, seed: int = 0, most: int = 2000):
         self.features, self.n, self.perplexity, self.steps, self.rate, self.seed, self.most = list(features), n_components, perplexity, steps, rate, seed, most
 
     def fit_transform(self, df: DataFrame, key: str) -> DataFrame:
-        rows = df.select(key, *self.features).orderBy(F.xxhash64(key, F.lit(self.seed)), key).limit(self.most).collect()
+        rows = sorted(df.select(key, *self.features).limit(self.most + 1).collect())
+        if len(rows) > self.most:
+            raise CapacityError(f"more than {self.most} rows: sample them first")
         x = np.array([tuple(r)[1:] for r in rows], float).reshape(len(rows), -1)
         y = self._embed(x) if len(x) > 1 else np.zeros((len(x), self.n))
         kind = df.schema[key].dataType.simpleString()

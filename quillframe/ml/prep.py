@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.errors import DataValidationError, InvalidParameterError, NotFittedError
+from quillframe.functions.quantiles import quantiles
 from quillframe.functions.special import NORMAL_A
 from quillframe.plans import ordering
 
@@ -94,12 +95,11 @@ class RobustScaler(Scaler):
         super().__init__(columns)
         self.quantile_range = quantile_range
 
-    def _aggregates(self, c):
-        q = F.percentile(F.col(c), F.array(*(F.lit(x / 100) for x in (self.quantile_range[0], 50.0, self.quantile_range[1]))))
-        return [F.get(q, k) for k in range(3)]
-
-    def _derive(self, values):
-        return values[1], (values[2] - values[0]) or 1.0
+    def fit(self, df):
+        found = quantiles(df, {c: F.col(c) for c in self.columns}, [x / 100 for x in (self.quantile_range[0], 50.0, self.quantile_range[1])])
+        for c, (low, middle, high) in found.items():
+            self.shift[c], self.scale[c] = middle, (high - low) or 1.0
+        return self
 
 
 def normalize(df: DataFrame, columns: Sequence[str], norm: str = "l2") -> DataFrame:
@@ -117,9 +117,8 @@ class QuantileTransformer:
         self.quantiles: dict[str, list[float]] = {}
 
     def fit(self, df: DataFrame) -> QuantileTransformer:
-        at = F.array(*(F.lit(k / (self.n - 1)) for k in range(self.n)))
-        row = df.agg(*(F.percentile(F.col(c), at).alias(c) for c in self.columns)).first()
-        self.quantiles = {c: [float(x) for x in row[c]] for c in self.columns}
+        found = quantiles(df, {c: F.col(c) for c in self.columns}, [k / (self.n - 1) for k in range(self.n)])
+        self.quantiles = {c: [float(x) for x in found[c]] for c in self.columns}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

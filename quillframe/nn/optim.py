@@ -197,8 +197,8 @@ def fit_table(df, model, loss: Callable, optimizer: Optimizer, features: Sequenc
     import pandas as pd
     from pyspark.sql import functions as F
 
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("__y")).dropna().persist()
-    rows = rows.repartition(partitions) if partitions else rows
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(target).cast("double").alias("__y")).dropna()
+    rows = (rows.repartition(partitions) if partitions else rows).persist()
     history = []
     try:
         for _ in range(steps):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.errors import DataValidationError, InvalidParameterError, PositionError
+from quillframe.functions.quantiles import quantiles
 from quillframe.operators.grouped import Grouped, finite
 from quillframe.plans import ordering
 
@@ -152,7 +153,7 @@ class Frame:
         return self._with(self.df.select(*(F.col(c).isNotNull().alias(c) for c in self.columns)), [])
 
     def fillna(self, value: object) -> Frame:
-        """value for null and NaN, in every column that can hold it."""
+        """value for null and NaN, in every column that can hold it: a column keeps its type, so text never fills numbers nor numbers text."""
         text = isinstance(value, str)
         fits = lambda c: isinstance(self._type(c), T.StringType) if text else isinstance(self._type(c), (T.BooleanType,) if isinstance(value, bool) else NUMERIC)
         return self._with(self.df.select(*(F.when(self._missing(c), F.lit(value).cast(self._type(c))).otherwise(F.col(c)).alias(c) if fits(c) else F.col(c) for c in self.columns)))
@@ -204,8 +205,15 @@ class Frame:
         """n rows, those with the smallest hashes of the order columns and the seed: the same at any partitioning."""
         return self._with(self.df.orderBy(F.xxhash64(*self.order, F.lit(seed)), *self.order).limit(n))
 
-    def apply(self, function: Callable, schema: str | T.StructType) -> Frame:
-        """function over pandas batches of rows, for what columns cannot express."""
+    def apply(self, function: Callable, schema: str | T.StructType | None = None, axis: int | None = None, into: str = "result") -> Frame:
+        """axis 0: function, from a column to an aggregate, of each numeric column; axis 1: function, from an array column to a column, of each row's numbers; with a schema, function over pandas batches of rows, for what columns cannot express."""
+        numbers = [c for c in self._numeric() if c not in self.order]
+        if axis == 0:
+            return Frame(self.df.agg(*(function(F.col(c)).alias(c) for c in numbers)))
+        if axis == 1:
+            return self._with(self.df.withColumn(into, function(F.array(*(F.col(c).cast("double") for c in numbers)))))
+        if schema is None:
+            raise InvalidParameterError("an axis or a schema is needed", "axis", axis)
         return Frame(self.df.mapInPandas(lambda batches: map(function, batches), schema), [])
 
     # -- joins and sets ---------------------------------------------------------------------------------------------
@@ -251,12 +259,18 @@ class Frame:
                 add(F.col(f"__r_{c}"), c + suffixes[1] if c in both else c)
         return self._with(joined.select(*out))
 
-    def concat(self, other: Frame, axis: int = 0) -> Frame:
-        """axis 0: all rows of both, by column name; axis 1: columns side by side, matched by position."""
+    def concat(self, other: Frame, axis: int = 0, index: str | None = None) -> Frame:
+        """axis 0: all rows of both, by column name; axis 1: columns side by side, all rows of both matched by the labels of ``index``, or by position."""
         if axis == 0:
             if set(self.columns) != set(other.columns):
                 raise DataValidationError("the frames have different columns")
             return self._with(self.df.unionByName(other.df))
+        if index is not None:
+            self._known([index])
+            other._known([index])
+            if (twice := self.df.groupBy(index).count().where("count > 1").limit(1).count()) or other.df.groupBy(index).count().where("count > 1").limit(1).count():
+                raise DataValidationError(f"labels of the {'first' if twice else 'second'} frame repeat")
+            return self.join(other, index, "outer")
         left, right = self.reset_index("__at"), other.reset_index("__at")
         return left.join(right, "__at", "outer").drop(["__at"])
 
@@ -299,13 +313,14 @@ class Frame:
     # -- statistics -------------------------------------------------------------------------------------------------
 
     def describe(self, names: Sequence[str] | None = None) -> DataFrame:
-        """count, mean, std, min, quartiles and max of finite values: one aggregation, a row a metric."""
+        """count, mean, std, min, quartiles and max of finite values, a row a metric: one aggregation beside the quartiles."""
         chosen = self._numeric(names)
+        quartiles = quantiles(self.df, {c: finite(F.col(c)) for c in chosen}, (0.25, 0.5, 0.75))
         parts = []
         for c in chosen:
             v = finite(F.col(c))
-            q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            parts.append(F.array(F.count(v).cast("double"), F.avg(v), F.stddev_samp(v), F.min(v).cast("double"), F.get(q, 0), F.get(q, 1), F.get(q, 2), F.max(v).cast("double")).alias(c))
+            q = [F.lit(x).cast("double") for x in quartiles[c]]
+            parts.append(F.array(F.count(v).cast("double"), F.avg(v), F.stddev_samp(v), F.min(v).cast("double"), *q, F.max(v).cast("double")).alias(c))
         metrics = F.array(*map(F.lit, ("count", "mean", "std", "min", "25%", "50%", "75%", "max")))
         one = self.df.agg(*parts)
         zipped = F.explode(F.arrays_zip(metrics.alias("metric"), *(F.col(c) for c in chosen))).alias("z")
@@ -314,7 +329,8 @@ class Frame:
     def quantile(self, q: float, names: Sequence[str] | None = None) -> DataFrame:
         if not 0 <= q <= 1:
             raise InvalidParameterError("q lies between 0 and 1", "q", q)
-        return self.df.agg(*(F.percentile(finite(F.col(c)), F.lit(q)).alias(c) for c in self._numeric(names)))
+        found = quantiles(self.df, {c: finite(F.col(c)) for c in self._numeric(names)}, (q,))
+        return self.df.sparkSession.createDataFrame([tuple(v[0] for v in found.values())], ", ".join(f"`{c}` double" for c in found))
 
     def _pairs(self, names: Sequence[str], value: Callable[[Column, Column], Column]) -> DataFrame:
         """A long matrix (row, col, value) of pairwise complete statistics: one aggregation of the upper half."""
@@ -434,6 +450,18 @@ class Series:
     def __len__(self) -> int:
         return self.frame.df.count()
 
+    def __str__(self) -> str:
+        return self.frame.select([self.name]).text()
+
+    @property
+    def index(self) -> list[str]:
+        """The columns whose values label the rows."""
+        return list(self.frame.order)
+
+    def get(self, label: object) -> list:
+        """The values of the rows with a label of the index."""
+        return [r[self.name] for r in self.frame.loc(label, self.index[0]).df.collect()]
+
     def sum(self) -> float:
         found = self._agg(F.sum(self._value()))
         if found is None and not len(self):

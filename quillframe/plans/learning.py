@@ -42,12 +42,12 @@ def linear_predict(t):
     return m.predict(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).drop("l_quantity").withColumn("prediction", F.round("prediction", 2))
 
 
-def _points(t, n=4):
+def _points(t, n=64):
     return t.embeddings.select("vec_id", "label", *(F.get("embedding", i).cast("double").alias(f"x{i}") for i in range(n)))
 
 
-XS = [f"x{i}" for i in range(4)]
-POINTS = "(SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(4)) + " FROM embeddings)"
+XS = [f"x{i}" for i in range(64)]
+POINTS = "(SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64)) + " FROM embeddings)"
 
 
 @query(
@@ -75,12 +75,6 @@ def kmeans_step(t):
     return p.sparkSession.createDataFrame(rows, "cluster long, " + ", ".join(f"{x} double" for x in XS))
 
 
-@query("kmeans")
-def kmeans(t):
-    p = _points(t)
-    return models.KMeans(XS, 4, max_iter=10).fit(p).predict(p).select("vec_id", "cluster")
-
-
 @query(
     "knn_regress",
     f"""WITH p AS {POINTS}, d AS (SELECT a.vec_id, b.label, sqrt({" + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in XS)}) AS d FROM p a, p b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
@@ -92,35 +86,11 @@ def knn_regress(t):
     return m.predict(p.where("vec_id % 100 = 0"), "vec_id").withColumn("prediction", F.round("prediction", 6))
 
 
-@query("knn_classify")
-def knn_classify(t):
-    p = _points(t)
-    return models.KNeighborsClassifier(XS, "label", 5, weights="distance").fit(p.where("vec_id % 100 <> 0")).predict(p.where("vec_id % 100 = 0"), "vec_id")
-
-
 @query("pca_variance", f"WITH p AS {POINTS} SELECT round({' + '.join(f'var_samp({x})' for x in XS)}, 6) AS total FROM p")
 def pca_variance(t):
     return _row(t, total=round(models.PCA(XS).fit(_points(t)).explained_variance.sum(), 6))
 
 
-@query("pca_transform")
-def pca_transform(t):
-    p = _points(t)
-    return models.PCA(XS, 2).fit(p).transform(p).select("vec_id", "pc0", "pc1")
-
-
-@query("logistic_regression")
-def logistic_regression(t):
-    p = _points(t).withColumn("y", (F.col("label") < 4).cast("int"))
-    return linear.LogisticRegression(XS, "y", max_iter=15).fit(p).predict(p).select("vec_id", "prediction")
-
-
-@query("decision_tree")
-def decision_tree(t):
-    p = _points(t)
-    return models.Trees(XS, "label", "tree", maxDepth=5).fit(p).predict(p).select("vec_id", "prediction")
-
-
 # -- plot data and generated data -----------------------------------------------------------------------------------
 
 

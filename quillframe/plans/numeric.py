@@ -281,16 +281,10 @@ def mann_whitney(t):
 
 @query(
     "kendall",
-    """WITH p AS (SELECT p_size AS x, floor(p_retailprice / 10) AS y FROM part WHERE p_partkey <= 1000), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b), n AS (SELECT count(*) * (count(*) - 1) / 2.0 AS n FROM p),
+    """WITH p AS (SELECT p_size AS x, floor(p_retailprice / 10) AS y FROM part), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b), n AS (SELECT count(*) * (count(*) - 1) / 2.0 AS n FROM p),
     tx AS (SELECT sum(c * (c - 1) / 2.0) AS t FROM (SELECT count(*) AS c FROM p GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2.0) AS t FROM (SELECT count(*) AS c FROM p GROUP BY y)) SELECT round(s / sqrt((n - tx.t) * (n - ty.t)), 6) AS statistic FROM s, n, tx, ty""",
 )
 def kendall(t):
-    d = t.part.where("p_partkey <= 1000").select(F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
-    return _row(t, stats.kendall(d, "x", "y")[0])
-
-
-@query("kendall_all")  # every part; all pairs are too many for SQL
-def kendall_all(t):
     d = t.part.select(F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
     return _row(t, stats.kendall(d, "x", "y")[0])
 
@@ -402,18 +396,13 @@ def clustering_scores(t):
 
 @query(
     "silhouette",
-    """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings WHERE vec_id < 300), d AS (SELECT p.vec_id, p.label, q.label AS o, sum(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))) AS d, count(*) AS n FROM p, p q GROUP BY ALL),
+    """WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT p.vec_id, p.label, q.label AS o, sum(list_distance(p.e, q.e)) AS d, count(*) AS n FROM p, p q GROUP BY ALL),
     s AS (SELECT vec_id, max(CASE WHEN label = o AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN label <> o THEN d / n END) AS b FROM d GROUP BY vec_id) SELECT vec_id, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""",
 )
 def silhouette(t):
-    d = t.embeddings.where("vec_id < 300").select("vec_id", "label", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
-    return metrics.silhouette(d, ["a", "b"], "label", "vec_id", 100).withColumn("silhouette", F.round("silhouette", 6))
-
-
-@query("silhouette_all")  # every embedding; all pairs are too many for SQL
-def silhouette_all(t):
-    d = t.embeddings.select("vec_id", "label", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
-    return metrics.silhouette(d, ["a", "b"], "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
+    names = [f"x{i}" for i in range(64)]
+    d = t.embeddings.select("vec_id", "label", *(F.get("embedding", i).cast("double").alias(x) for i, x in enumerate(names)))
+    return metrics.silhouette(d, names, "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
 # -- preprocessing --------------------------------------------------------------------------------------------------
@@ -467,13 +456,3 @@ def stratified_k_fold(t):
 @query("train_test_split", "SELECT count(*) AS n, ceil(count(*) * 0.25)::BIGINT AS test FROM labels")
 def train_test_split(t):
     return prep.train_test_split(t.labels, ["doc_id"], 0.25).agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("test"))
-
-
-@query("quantile_transform")
-def quantile_transform(t):
-    return prep.QuantileTransformer(["c_acctbal"], 100).fit(_balances(t)).transform(_balances(t))
-
-
-@query("power_transform")
-def power_transform(t):
-    return prep.PowerTransformer(["c_acctbal"]).fit(_balances(t)).transform(_balances(t))
