@@ -15,7 +15,7 @@ from quillframe.errors import NotFittedError
 
 
 #: terms from which an expression of columns costs more to compile than a product of matrices takes over Arrow
-WIDE = 256
+WIDE = 128
 
 
 def matrix_of(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:

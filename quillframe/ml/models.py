@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ class GaussianNB:
         asked = [a.alias(f"{p}{i}") for i, c in enumerate(self.features) for p, a in (("m", F.avg(c)), ("v", F.var_pop(c)))]
         rows = df.groupBy(F.col(self.target).alias("label")).agg(F.count("*").alias("n"), *asked).orderBy("label").collect()
         total = sum(r.n for r in rows)
+        self.kind = df.schema[self.target].dataType
         self.classes = {r.label: (math.log(r.n / total), [(r[f"m{i}"], r[f"v{i}"] + self.smoothing) for i in range(len(self.features))]) for r in rows}
         return self
 
@@ -40,9 +41,25 @@ class GaussianNB:
     def predict(self, df: DataFrame, into: str = "prediction") -> DataFrame:
         if not self.classes:
             raise NotFittedError("fit comes first")
+        if len(self.classes) * len(self.features) > WIDE and all(isinstance(k, int) for k in self.classes):
+            return appended(df, self.features, lambda x, joint=self._joints(): {into: joint(x)[0]}, [T.StructField(into, self.kind)])
         best = F.array_max(F.array(*(F.struct(self._joint(k).alias("s"), F.lit(k).alias("k")) for k in self.classes)))
         return df.withColumn(into, best["k"])
 
+    def _joints(self) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The best class of each row of a matrix, the last of several, and the joint log probabilities."""
+        labels = np.array(list(self.classes))
+        priors = np.array([p for p, _ in self.classes.values()])
+        means, spreads = (np.array([[m[k] for m in moments] for _, moments in self.classes.values()]) for k in (0, 1))
+        fixed = priors - 0.5 * np.log(2 * np.pi * spreads).sum(axis=1)
+        kind = np.int32 if isinstance(self.kind, T.IntegerType) else np.int64
+
+        def joint(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s = np.column_stack([c - ((x - m) ** 2 / (2 * v)).sum(axis=1) for c, m, v in zip(fixed, means, spreads, strict=True)])
+            return labels[len(labels) - 1 - s[:, ::-1].argmax(axis=1)].astype(kind), s
+
+        return joint
+
     def predict_proba(self, df: DataFrame, prefix: str = "p_") -> DataFrame:
         joints = {k: self._joint(k) for k in self.classes}
         top = F.greatest(*joints.values()) if len(joints) > 1 else next(iter(joints.values()))
