@@ -24,10 +24,11 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 
 
 class Frame:
-    def __init__(self, df: DataFrame, order: Sequence[str] = ()):
+    def __init__(self, df: DataFrame, order: Sequence[str] = (), sorted_by: Sequence[tuple[str, bool]] = ()):
+        """sorted_by: columns and whether they ascend, by which rows stand before the order columns decide."""
         if len(set(df.columns)) != len(df.columns):
             raise DataValidationError("duplicate column names")
-        self.df, self.order = df, list(order)
+        self.df, self.order, self.sorted_by = df, list(order), list(sorted_by)
 
     # -- shape and access -------------------------------------------------------------------------------------------
 
@@ -43,7 +44,26 @@ class Frame:
         return self.select([name])
 
     def _with(self, df: DataFrame, order: Sequence[str] | None = None) -> Frame:
-        return Frame(df, [c for c in (self.order if order is None else order) if c in df.columns])
+        kept = self.sorted_by if order is None and all(c in df.columns for c, _ in self.sorted_by) else ()
+        return Frame(df, [c for c in (self.order if order is None else order) if c in df.columns], kept)
+
+    def _places(self) -> tuple[DataFrame, list[str]]:
+        """The table with columns that ascend as its rows stand, and their names."""
+        made: dict[str, Column] = {}
+        for i, (name, ascending) in enumerate(self.sorted_by):
+            own, kind = F.col(name), self._type(name)
+            missing = F.when(own.isNull(), 2)
+            made[f"__last{i}"] = (missing.when(F.isnan(own), 1) if isinstance(kind, FRACTIONAL) else missing).otherwise(0)
+            if ascending:
+                made[f"__key{i}"] = own
+            elif isinstance(kind, NUMERIC):
+                made[f"__key{i}"] = -own
+            elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+                made[f"__key{i}"] = -(F.unix_date(own) if isinstance(kind, T.DateType) else F.unix_micros(own.cast("timestamp")))
+            else:  # the bytes of a text turned round; a digit beyond theirs ends it, as a longer text comes first
+                made[f"__key{i}"] = F.concat(F.translate(F.hex(own.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+        rest = [c for c in self.order if c not in [n for n, _ in self.sorted_by]]
+        return self.df.withColumns(made) if made else self.df, [*made, *rest]
 
     def _known(self, names: Sequence[str]) -> None:
         for n in names:
@@ -61,7 +81,8 @@ class Frame:
         return own.isNull() | F.isnan(own) if isinstance(self._type(name), FRACTIONAL) else own.isNull()
 
     def ordered(self) -> DataFrame:
-        return self.df.orderBy(*ordering.ascending(self.order)) if self.order else self.df
+        df, order = self._places()
+        return df.orderBy(*ordering.ascending(order)).select(*self.columns) if order else df
 
     def loc(self, label: object, index: str) -> Frame:
         self._known([index])
@@ -71,7 +92,8 @@ class Frame:
         """The row at a position; none beyond the end."""
         if position < 0:
             raise PositionError(f"position {position} is negative")
-        return self._with(ordering.numbered(self.df, self.order).where(F.col(ordering.ORD) == position).drop(ordering.ORD))
+        df, order = self._places()
+        return self._with(ordering.numbered(df, order).where(F.col(ordering.ORD) == position).select(*self.columns))
 
     def head(self, n: int = 5) -> Frame:
         if n < 0:
@@ -82,7 +104,8 @@ class Frame:
         """The last n rows, all of a shorter frame."""
         if n < 0:
             raise InvalidParameterError("n must not be negative", "n", n)
-        return self._with(self.df.orderBy(*(F.col(c).desc_nulls_last() for c in self.order)).limit(n))
+        df, order = self._places()
+        return self._with(df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).select(*self.columns))
 
     def set_index(self, name: str) -> Frame:
         """The frame ordered by a column, whose values must be unique: a row beside its double is an error when read."""
@@ -138,13 +161,14 @@ class Frame:
         new = {c: (mapper(c) if callable(mapper) else mapper.get(c, c)) for c in self.columns}
         if len(set(new.values())) != len(new):
             raise DataValidationError("renaming makes duplicate columns")
-        return self._with(self.df.withColumnsRenamed(new), [new[c] for c in self.order])
+        return Frame(self.df.withColumnsRenamed(new), [new[c] for c in self.order], [(new[c], up) for c, up in self.sorted_by])
 
     def reset_index(self, name: str = "index") -> Frame:
         """A first column with the position of each row."""
         while name in self.columns:
             name += "_1"
-        return self._with(ordering.numbered(self.df, self.order, name).select(name, *self.columns))
+        df, order = self._places()
+        return self._with(ordering.numbered(df, order, name).select(name, *self.columns))
 
     def isnull(self) -> Frame:
         return self._with(self.df.select(*(F.col(c).isNull().alias(c) for c in self.columns)), [])
@@ -286,7 +310,7 @@ class Frame:
     # -- order and groups -------------------------------------------------------------------------------------------
 
     def sort(self, by: str | Sequence[str], ascending: bool = True) -> Frame:
-        """All keys in one direction; NaN, then null, last in both; ties in the frame's order."""
+        """All keys in one direction; NaN, then null, last in both; ties in the frame's order. Positions, heads and tails follow."""
         keys = [by] if isinstance(by, str) else list(by)
         self._known(keys)
         columns = []
@@ -295,7 +319,10 @@ class Frame:
             if isinstance(self._type(k), FRACTIONAL):
                 columns.append(F.when(own.isNull(), 2).when(F.isnan(own), 1).otherwise(0))
             columns.append(own.asc_nulls_last() if ascending else own.desc_nulls_last())
-        return Frame(self.df.orderBy(*columns, *ordering.ascending([c for c in self.order if c not in keys])), self.order)
+        again = Frame(self.df, self.order, [*((k, ascending) for k in keys), *(x for x in self.sorted_by if x[0] not in keys)])
+        before, order = Frame(self.df, self.order, again.sorted_by[len(keys) :])._places()
+        again.df = before.orderBy(*columns, *ordering.ascending([c for c in order if c not in keys])).select(*self.columns)
+        return again
 
     def group_by(self, by: str | Sequence[str]) -> Grouped:
         keys = [by] if isinstance(by, str) else list(by)
@@ -374,7 +401,8 @@ class Frame:
         return self._with(ranked.select(*self.columns, into))
 
     def _around(self, back: int, ahead: int, columns: Callable, partition_by: Sequence[str]) -> Frame:
-        return self._with(ordering.around(self.df, self.order, back, ahead, columns, partition_by))
+        df, order = self._places()
+        return self._with(ordering.around(df, order, back, ahead, columns, partition_by).drop(*(c for c in order if c not in self.columns)))
 
     def shift(self, name: str, periods: int = 1, fill: object = None, into: str = "shifted", partition_by: Sequence[str] = ()) -> Frame:
         move = F.lag if periods >= 0 else F.lead
@@ -401,9 +429,10 @@ class Frame:
 
     def _running(self, name: str, how: str, into: str, partition_by: Sequence[str]) -> Frame:
         value = F.col(name)
-        done = ordering.running(self.df, self.order, {into: (value, how), "__nan": (F.isnan(value.cast("double")).cast("int"), "max")}, partition_by)
+        df, order = self._places()
+        done = ordering.running(df, order, {into: (value, how), "__nan": (F.isnan(value.cast("double")).cast("int"), "max")}, partition_by)
         out = F.when(F.col(name).isNull(), None).when((F.col("__nan") == 1), F.lit(float("nan"))).otherwise(F.col(into)) if isinstance(self._type(name), FRACTIONAL) else F.when(value.isNotNull(), F.col(into))
-        return self._with(done.withColumn(into, out).drop("__nan"))
+        return self._with(done.withColumn(into, out).drop("__nan", *(c for c in order if c not in self.columns)))
 
     def cumsum(self, name: str, into: str = "cumsum", partition_by: Sequence[str] = ()) -> Frame:
         return self._running(name, "sum", into, partition_by)

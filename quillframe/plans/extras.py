@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillframe.operators.asof import asof_join, range_join
 from quillframe.operators.frame import Frame
 from quillframe.plans.registry import query
-from quillframe.sources import datasets
 
 
 @query("strings", "SELECT c_custkey, lower(c_mktsegment) AS low, length(c_name) AS n, substr(c_name, 1, 4) AS head, replace(c_name, '#', '-') AS other, c_name || '/' || c_mktsegment AS joined, regexp_extract(c_name, '[0-9]+') AS digits, levenshtein(c_mktsegment, 'BUILDING') AS d FROM customer")
@@ -41,18 +40,20 @@ def count_distinct(t):
     return t.orders.agg(F.count_distinct("o_custkey").alias("n"), F.count_distinct("o_orderpriority").alias("p"))
 
 
-@query("approx_distinct")
+@query("approx_distinct", "SELECT o_orderstatus, true AS near FROM orders GROUP BY 1")
 def approx_distinct(t):
-    return t.orders.agg(F.approx_count_distinct("o_custkey").alias("n"))
+    """Within three deviations of the exact number."""
+    near = F.abs(F.approx_count_distinct("o_custkey", 0.02) / F.count_distinct("o_custkey") - 1) <= 0.06
+    return t.orders.groupBy("o_orderstatus").agg(near.alias("near"))
 
 
 @query(
     "asof_join",
-    """SELECT a.event_id, b.event_id AS last_event_id FROM (SELECT * FROM events WHERE event_id % 2 = 0) a ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts""",
+    """SELECT a.event_id, b.event_id AS last_event_id FROM (SELECT * FROM events WHERE event_type = 'click') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts""",
 )
 def asof(t):
-    e = t.events.select("event_id", "user_id", "ts")
-    return asof_join(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "ts", ["user_id"], ["event_id"]).select("event_id", "last_event_id")
+    e = t.events
+    return asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type <> 'click'").select("event_id", "user_id", "ts"), "ts", ["user_id"], ["event_id"]).select("event_id", "last_event_id")
 
 
 @query("range_join", "SELECT p_partkey, lo FROM part JOIN (SELECT r_regionkey * 400.0 AS lo, r_regionkey * 400.0 + 250.0 AS hi FROM region) ON p_retailprice >= lo AND p_retailprice < hi")
@@ -64,8 +65,3 @@ def ranges(t):
 @query("apply_batches", "SELECT n_nationkey, upper(n_name) AS name FROM nation")
 def apply_batches(t):
     return Frame(t.nation.select("n_nationkey", "n_name")).apply(lambda b: b.assign(name=b["n_name"].str.upper())[["n_nationkey", "name"]], "n_nationkey int, name string").df
-
-
-@query("data_set")
-def data_set(t):
-    return datasets.load(t.region.sparkSession, "iris")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import plotdata
 from quillframe.ml import linear, models
 from quillframe.plans.registry import query
-from quillframe.sources import files, generated
+from quillframe.sources import files
 from quillframe.streaming import state, windows
 
 
@@ -112,16 +112,6 @@ def boxplot(t):
     return plotdata.boxplot(t.events, "value", "event_type").withColumns({c: F.round(c, 6) for c in ("q1", "q2", "q3")})
 
 
-@query("density")
-def density(t):
-    return plotdata.density(t.events, "value")
-
-
-@query("generated_blobs")
-def generated_blobs(t):
-    return generated.make_blobs(t.region.sparkSession, 1000, [[0.0, 0.0], [5.0, 5.0]])
-
-
 @query("csv_typed", "SELECT 1.5::DOUBLE AS a, '01' AS b, true AS c UNION ALL SELECT NULL, 'x,y', false")
 def csv_typed(t):
     raw = t.region.sparkSession.createDataFrame([("1.5", "01", "true"), ("", "x,y", "false")], "a string, b string, c string")

@@ -124,26 +124,26 @@ def reset_index(t):
 
 
 def _two(t):
-    return Frame(t.documents.select("doc_id", "lang")), Frame(t.labels.where("doc_id % 3 <> 0").select("doc_id", "quality"))
+    return Frame(t.documents.select("doc_id", "lang")), Frame(t.labels.where("quality = 1").select("doc_id", "quality"))
 
 
-SIDES = "(SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 0) d", "(SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) l"
+SIDES = "(SELECT doc_id, lang FROM documents WHERE lang <> 'en') d", "(SELECT doc_id, quality FROM labels WHERE quality = 1) l"
 for _name, _how in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
 
     def _join(t, how=_name):
         left, right = _two(t)
-        return left.filter("doc_id % 5 <> 0").join(right, "doc_id", how).df
+        return left.filter("lang <> 'en'").join(right, "doc_id", how).df
 
     query(f"join_{_name}", f"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM {SIDES[0]} {_how} {SIDES[1]} ON d.doc_id = l.doc_id")(_join)
 
 
-@query("join_semi", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 3 <> 0)")
+@query("join_semi", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def join_semi(t):
     left, right = _two(t)
     return left.join(right, "doc_id", "semi").df
 
 
-@query("join_anti", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 3 <> 0)")
+@query("join_anti", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def join_anti(t):
     left, right = _two(t)
     return left.join(right, "doc_id", "anti").df
@@ -170,39 +170,39 @@ def join_cross(t):
     return Frame(t.region.select("r_name")).merge(Frame(t.nation.select("n_name")), how="cross").df
 
 
-@query("concat_rows", "SELECT event_id, value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, value FROM events WHERE event_id % 3 = 0")
+@query("concat_rows", "SELECT event_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value FROM events WHERE value > 50")
 def concat_rows(t):
-    e = Frame(t.events.select("event_id", "value"), ["event_id"])
-    return e.filter("event_id % 2 = 0").concat(e.filter("event_id % 3 = 0")).df
+    e = Frame(t.events.select("event_id", "event_type", "value"), ["event_id"])
+    return e.filter("event_type = 'click'").select(["event_id", "value"]).concat(e.filter("value > 50").select(["event_id", "value"])).df
 
 
 @query(
     "concat_columns",
-    """SELECT a.event_id, a.value AS value, b.value AS other FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_id % 2 = 0) a
-    FULL JOIN (SELECT value, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_id % 3 = 0) b ON a.i = b.i""",
+    """SELECT a.event_id, a.value AS value, b.value AS other FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'click') a
+    FULL JOIN (SELECT value, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type <> 'click') b ON a.i = b.i""",
 )
 def concat_columns(t):
-    left = Frame(t.events.where("event_id % 2 = 0").select("event_id", "value"), ["event_id"])
-    right = Frame(t.events.where("event_id % 3 = 0").select(F.col("value").alias("other"), F.col("event_id").alias("at")), ["at"])
+    left = Frame(t.events.where("event_type = 'click'").select("event_id", "value"), ["event_id"])
+    right = Frame(t.events.where("event_type <> 'click'").select(F.col("value").alias("other"), F.col("event_id").alias("at")), ["at"])
     return left.concat(right, 1).select(["event_id", "value", "other"]).df
 
 
-@query("union_distinct", "SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("union_distinct", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def union_distinct(t):
-    o = Frame(t.orders.select("o_orderkey", "o_custkey"))
-    return o.filter("o_orderkey % 2 = 0").select(["o_custkey"]).union(o.filter("o_orderkey % 3 = 0").select(["o_custkey"])).df
+    o = Frame(t.orders.select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    return o.filter("o_orderstatus = 'F'").select(["o_custkey"]).union(o.filter("o_orderpriority = '1-URGENT'").select(["o_custkey"])).df
 
 
-@query("intersect", "SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("intersect", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def intersect(t):
-    o = Frame(t.orders.select("o_orderkey", "o_custkey"))
-    return o.filter("o_orderkey % 2 = 0").select(["o_custkey"]).intersect(o.filter("o_orderkey % 3 = 0").select(["o_custkey"])).df
+    o = Frame(t.orders.select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    return o.filter("o_orderstatus = 'F'").select(["o_custkey"]).intersect(o.filter("o_orderpriority = '1-URGENT'").select(["o_custkey"])).df
 
 
-@query("subtract", "SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0")
+@query("subtract", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def subtract(t):
-    o = Frame(t.orders.select("o_orderkey", "o_custkey"))
-    return o.filter("o_orderkey % 2 = 0").select(["o_custkey"]).subtract(o.filter("o_orderkey % 3 = 0").select(["o_custkey"])).df
+    o = Frame(t.orders.select("o_orderstatus", "o_orderpriority", "o_custkey"))
+    return o.filter("o_orderstatus = 'F'").select(["o_custkey"]).subtract(o.filter("o_orderpriority = '1-URGENT'").select(["o_custkey"])).df
 
 
 # -- order, groups --------------------------------------------------------------------------------------------------
@@ -381,6 +381,11 @@ def melt(t):
     return Frame(t.lineitem.select("l_orderkey", "l_discount", "l_tax")).melt(["l_orderkey"], ["l_discount", "l_tax"])
 
 
-@query("sample_n")
+@query("sample_n", "SELECT 100 AS n, 100 AS found, true AS same FROM region LIMIT 1")
 def sample_n(t):
-    return Frame(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"]).sample(100, 7).df
+    """As many different rows of the table as asked for, the same at another partitioning."""
+    orders = t.orders.select("o_orderkey", "o_totalprice")
+    taken = Frame(orders, ["o_orderkey"]).sample(100, 7).df
+    again = Frame(orders.repartition(7), ["o_orderkey"]).sample(100, 7).df
+    found = taken.distinct().intersect(again)
+    return taken.agg(F.count("*").cast("int").alias("n")).crossJoin(found.join(orders, ["o_orderkey", "o_totalprice"]).agg(F.count("*").cast("int").alias("found"))).withColumn("same", F.col("n") == F.col("found"))

@@ -41,7 +41,7 @@ def typed(raw: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, single: bool = False) -> None:
     """A folder of files written by all tasks; ``single`` gathers them in one, which is for small results."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep=delimiter, header=header, nullValue="", emptyValue='""')
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, sep=delimiter, header=header, escape='"', nullValue="", emptyValue='""')
 
 
 def to_csv_text(df: DataFrame, delimiter: str = ",", header: bool = True, most: int = 100_000) -> str:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.functions import expr, metrics, special, stats
+from quillframe import config, errors
+from quillframe.functions import arrays, expr, metrics, special, stats
+from quillframe.functions.quantiles import quantiles
 from quillframe.ml import linalg, linear, models, prep
-from quillframe.plans import catalogue
+from quillframe.plans import catalogue, ordering
 from quillframe.sources import files, generated
 
 
@@ -134,33 +136,105 @@ def test_registered_kendall_takes_every_part(spark, tmp_path):
     x, y = np.array([r[1] for r in rows]), np.array([r[2] // 10 for r in rows])
     s, over = [np.sign(v[:, None] - v[None, :]) for v in (x, y)], np.tril_indices(len(rows), -1)
     want = (s[0] * s[1])[over].sum() / math.sqrt(np.abs(s[0][over]).sum() * np.abs(s[1][over]).sum())
-    got = catalogue.QUERIES["kendall_all"](spark, str(tmp_path)).first().statistic
+    got = catalogue.QUERIES["kendall"](spark, str(tmp_path)).first().statistic
     assert got == pytest.approx(want, abs=1e-6)
-    assert got != catalogue.QUERIES["kendall"](spark, str(tmp_path)).first().statistic
 
 
-def test_kendall_over_many_buckets(spark):
+def test_kendall_over_many_buckets(spark, monkeypatch):
     rows = [(i * 7 % 61, i * 11 % 23) for i in range(300)]
     few = stats.kendall(spark.createDataFrame(rows, "x int, y int"), "x", "y")
-    spark.conf.set("spark.sql.shuffle.partitions", "211")  # a bucket for each x
-    try:
-        assert stats.kendall(spark.createDataFrame(rows, "x int, y int").coalesce(1), "x", "y") == pytest.approx(few)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
-def test_registered_silhouette_takes_every_embedding(spark, tmp_path):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 3)
+    assert stats.kendall(spark.createDataFrame(rows, "x int, y int").coalesce(1), "x", "y") == pytest.approx(few)
+
+
+def test_inversions_against_all_pairs():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 7, 60):
+        for _ in range(20):
+            y, w = rng.integers(0, 6, n), rng.integers(1, 4, n)
+            assert stats.inversions(y, w) == sum(int(w[i] * w[j]) for i in range(n) for j in range(i + 1, n) if y[i] > y[j])
+
+
+@pytest.mark.parametrize("column", ["l_returnflag", "l_quantity", "l_shipdate", "l_orderkey"])
+def test_buckets_are_even_whatever_the_first_column(spark, column):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    for order, unique in (([column], False), ([column, "l_orderkey", "l_linenumber", "l_partkey"], True)):
+        sizes = [r["count"] for r in ordering.bucketed(lines, order, 16, unique).groupBy(ordering.BUCKET).count().collect()]
+        assert len(sizes) > 8 and max(sizes) <= 3 * sum(sizes) / 16
+
+
+def test_positions_over_many_buckets(spark, monkeypatch):
+    """Values that repeat, nulls, NaN and text, in tables of many small buckets."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 7)
+    rows = [(None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i * 37 % 5), "x" * (i % 3), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "a double, b string, i int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] is not None and r[0] != r[0], r[0] if r[0] is not None and r[0] == r[0] else 0, r[1], r[2]))
+    got = ordering.numbered(d, ["a", "b", "i"]).orderBy(ordering.ORD).select(ordering.ORD, "i").collect()
+    assert [tuple(r) for r in got] == [(k, r[2]) for k, r in enumerate(want)]
+    same = spark.createDataFrame([(1, 5)] * 50, "a int, b int")  # rows that nothing tells apart
+    assert sorted(r[0] for r in ordering.numbered(same, ["a"], "n", unique=False).select("n").collect()) == list(range(50))
+    assert ordering.numbered(d.limit(0), ["a", "b", "i"]).count() == 0
+
+
+@pytest.mark.parametrize("values", [[1.0, 1.0, 1.0], [5.0], [], [float(x) ** 9 * (-1) ** x for x in range(200)], [0.1 * (x % 7) for x in range(500)], [-1e300, 1e300, 0.0, None, 2.0]])
+def test_quantiles_by_closing_histograms(spark, values):
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    known = [v for v in values if v is not None]
+    got = quantiles(d, {"v": F.col("v"), "w": -F.col("v")}, qs, buffered=0)
+    assert got["v"] == (pytest.approx(list(np.quantile(known, qs))) if known else [None] * 6)
+    assert got["w"] == (pytest.approx(list(np.quantile([-v for v in known], qs))) if known else [None] * 6)
+
+
+def test_sparse_matrices_refuse_what_does_not_fit(spark):
+    entries = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (1, 2, -1.0), (1, 2, 1.0)], "i long, j long, v double")
+    m = arrays.Sparse.from_coo(entries, (2, 3))
+    assert (m.nnz(), m.get(0, 0), m.get(1, 2), m.shape, m.transpose().shape) == (1, 3.0, 0.0, (2, 3), (3, 2))
+    assert [r.row for r in m.to_dense().orderBy("i").collect()] == [[3.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+    for wrong in (lambda: m.get(2, 0), lambda: m.add(m.transpose()), lambda: m.matmul(m)):
+        with pytest.raises((IndexError, ValueError)):
+            wrong()
+    with pytest.raises(Exception, match="outside the matrix"):
+        arrays.Sparse.from_coo(entries, (1, 1)).nnz()
+
+
+def test_checks_of_settings_and_shapes():
+    config.set_seed(3)
+    assert config.get_seed() == 3 and (config.clear_seed(), config.get_seed())[1] is None
+    assert config.get_device() == "spark" and config.is_device("driver") and not config.is_device("gpu")
+    assert config.broadcast_shape((3, 1), (2,)) == (3, 2) and config.dimension((4, 5), -1) == 5 and config.array((1, 2), "a") == [1, 2]
+    for error, wrong in (
+        (errors.DeviceError, lambda: config.set_device("gpu")), (errors.DTypeError, lambda: config.set_dtype("complex")), (errors.DTypeError, lambda: config.numeric_dtype("string")),
+        (errors.BroadcastError, lambda: config.broadcast_shape((3,), (2,))), (errors.ShapeError, lambda: config.dimension((3,), 1)), (errors.DataValidationError, lambda: config.array([], "a", 1)),
+    ):
+        with pytest.raises(error):
+            wrong()
+
+
+def test_embedding_refuses_more_rows_than_it_takes(spark):
+    d = spark.range(30).select("id", F.rand(1).alias("x"))
+    with pytest.raises(errors.CapacityError):
+        models.TSNE(["x"], most=20).fit_transform(d, "id")
+    assert models.TSNE(["x"], steps=5).fit_transform(d, "id").count() == 30
+
+
+def test_start_of_clusters_with_a_row_repeated_thousands_of_times(spark):
+    d = spark.range(10_020).select(F.when(F.col("id") < 10_000, 0.0).otherwise(F.col("id") % 4 + 1.0).alias("x"))
+    m = models.KMeans(["x"], 4).fit(d)
+    assert sorted(np.round(m.centres.ravel(), 6))[0] == 0.0
+
+
+def test_silhouette_in_blocks_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     points, labels = rng.normal(size=(400, 2)), rng.integers(0, 4, 400)
-    rows = [(i, int(c), [float(a), float(b)]) for i, (c, (a, b)) in enumerate(zip(labels, points))]
-    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = {}
     for i in range(400):
         d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
         a = d[labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1)
         b = min(d[labels == c].mean() for c in range(4) if c != labels[i])
         want[i] = (b - a) / max(a, b)
-    got = {r.vec_id: r.silhouette for r in catalogue.QUERIES["silhouette_all"](spark, str(tmp_path)).collect()}
+    rows = spark.createDataFrame([(i, int(c), float(a), float(b)) for i, (c, (a, b)) in enumerate(zip(labels, points))], "k long, label int, a double, b double")
+    got = {r.k: r.silhouette for r in metrics.silhouette(rows, ["a", "b"], "label", "k", 90).collect()}
     assert got == pytest.approx(want, abs=2e-6)
 
 
