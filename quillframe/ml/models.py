@@ -222,31 +222,83 @@ def _closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class DBSCAN:
     """Density clusters by a grid join: rows meet only those of the same and the neighbouring cells, of side eps.
 
-    The grid covers the first ``GRID`` features, as cells multiply with each; core rows' links are contracted like any
-    graph, and a row at a border joins the smallest of its core neighbours' clusters.
+    The grid covers the first ``GRID`` features, as cells multiply with each. A cell's rows meet in blocks of bounded
+    size, dealt by hashes; a task returns a number of neighbours a row, and then a spanning forest of its links between
+    core rows, never the pairs. The links are contracted like any graph, and a row at a border joins the smallest of its
+    core neighbours' clusters.
     """
 
-    GRID = 2
+    GRID, BLOCK = 2, 4_000
 
     def __init__(self, features: Sequence[str], eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean"):
         self.features, self.eps, self.min_samples, self.metric = list(features), eps, min_samples, metric
 
     def fit_predict(self, df: DataFrame, key: str) -> DataFrame:
         """(key, cluster), -1 for noise; a cluster is named by its smallest core key."""
-        cells = self.features[: self.GRID]
-        rows = df.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.features)))
-        home = rows.withColumns({f"g{i}": F.floor(F.col(f"x{i}") / self.eps) for i in range(len(cells))})
-        away = home.toDF("o", *(f"y{i}" for i in range(len(self.features))), *(f"g{i}" for i in range(len(cells))))
-        for i in range(len(cells)):
-            away = away.withColumn(f"g{i}", F.explode(F.array(F.col(f"g{i}") - 1, F.col(f"g{i}"), F.col(f"g{i}") + 1)))
-        gaps = [F.abs(F.col(f"x{i}") - F.col(f"y{i}")) for i in range(len(self.features))]
-        near = sum(gaps, F.lit(0.0)) <= self.eps if self.metric == "manhattan" else sum((g * g for g in gaps), F.lit(0.0)) <= self.eps**2
-        pairs = home.join(away, [f"g{i}" for i in range(len(cells))]).where(near).select("k", "o").persist()
-        core = pairs.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("k")
-        touching = pairs.join(core.withColumnRenamed("k", "o"), "o", "left_semi")
-        found = connected_components(touching.join(core, "k", "left_semi").where("k < o").select(F.col("k").alias("a"), F.col("o").alias("b")))
-        of_core = core.join(found, F.col("k") == F.col("node"), "left").select(F.col("k").alias("o"), F.coalesce("component", "k").alias("c"))
-        joined = touching.join(of_core, "o").groupBy("k").agg(F.min("c").alias("c"))
+        names, eps, manhattan = [f"x{i}" for i in range(len(self.features))], self.eps, self.metric == "manhattan"
+        cells = [f"g{i}" for i in range(min(self.GRID, len(names)))]
+        rows = df.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(x) for c, x in zip(self.features, names, strict=True)))
+        home = rows.withColumns({g: F.floor(F.col(x) / eps) for g, x in zip(cells, names, strict=False)}).persist()
+        # both sides of a cell in blocks: its own rows by rows, and those around it by columns
+        others = [f"y{i}" for i in range(len(self.features))]
+        away = home.toDF("o", *others, *cells)
+        for g in cells:
+            away = away.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+        blocks = lambda d, n: d.groupBy(*cells).agg(F.ceil(F.count("*") / self.BLOCK).alias(n))
+        sizes = blocks(home, "rows").join(blocks(away, "columns"), cells)
+        own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left, right = home.join(sizes, cells), away.join(sizes, cells)
+        left = left.select(*cells, own("k", "rows").alias("row"), every("columns").alias("column"), "k", *names)
+        right = right.select(*cells, every("rows").alias("row"), own("o", "columns").alias("column"), "o", *others)
+        right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
+        at = [*cells, "row", "column"]
+        kind = rows.schema["k"].dataType.simpleString()
+
+        def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+            """Each row of a with the places in b of those within eps."""
+            x, y = a[names].to_numpy(float), b[others].to_numpy(float)
+            for i in range(len(x)):
+                gap = np.abs(y - x[i])
+                yield i, np.flatnonzero(gap.sum(axis=1) <= eps if manhattan else (gap * gap).sum(axis=1) <= eps * eps)
+
+        def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": a["k"], "n": [len(found) for _, found in near(a, b)] if len(b) else 0})
+
+        counted = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(count, f"k {kind}, n long")
+        core = counted.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_samples).select("k").persist()
+
+        def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            """Links that connect what links between core rows of a and b connect."""
+            root: dict = {}
+
+            def find(k):
+                while (up := root.get(k, k)) != k:
+                    k = up
+                return k
+
+            links, ks, os = [], a["k"].tolist(), b["o"].tolist()
+            for i, found in near(a, b) if len(b) else ():
+                for j in found.tolist():
+                    p, q = find(ks[i]), find(os[j])
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        links.append((ks[i], os[j]))
+            return pd.DataFrame(links, columns=["a", "b"])
+
+        cores = core.select(F.col("k").alias("o"))
+        linked = left.join(core, "k", "left_semi").groupBy(*at).cogroup(right.join(cores, "o", "left_semi").groupBy(*at)).applyInPandas(forest, f"a {kind}, b {kind}")
+        found = connected_components(linked)
+        of_core = core.join(found, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("c"))
+
+        def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            """The smallest cluster among each row's core neighbours."""
+            clusters = b["c"].to_numpy()
+            best = [(i, clusters[found].min()) for i, found in near(a, b) if len(found)] if len(b) else []
+            return pd.DataFrame({"k": a["k"].to_numpy()[[i for i, _ in best]], "c": [c for _, c in best]})
+
+        edge = left.join(core, "k", "left_anti").groupBy(*at).cogroup(right.join(of_core.select(F.col("k").alias("o"), "c"), "o").groupBy(*at)).applyInPandas(border, f"k {kind}, c {kind}")
+        joined = of_core.unionByName(edge.groupBy("k").agg(F.min("c").alias("c")))
         return rows.select("k").join(joined, "k", "left").select(F.col("k").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
 
 

@@ -280,8 +280,8 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.25
     """df with ``is_test``: exactly ceil(n * test_size) rows, or per class, in the order of a hash of the keys."""
     at = df.withColumn("__h", F.xxhash64(*keys, F.lit(seed)))
     if stratify:
-        sizes = at.groupBy(stratify).agg(F.count("*").alias("__n"))
-        at = ordering.running(at.withColumn("__one", F.lit(1)), ["__h", *keys], {"__i": (F.col("__one"), "sum")}, [stratify]).join(sizes, stratify)
+        sizes = at.groupBy(F.col(stratify).alias("__s")).agg(F.count("*").alias("__n"))
+        at = ordering.running(at, ["__h", *keys], {"__i": (F.lit(1), "count")}, [stratify]).join(sizes, F.col(stratify).eqNullSafe(F.col("__s"))).drop("__s")
     else:
         at = ordering.running(at, ["__h", *keys], {"__i": (F.lit(1), "count")}).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
     train = F.floor(F.col("__n") * (1 - test_size) + 1e-9)
@@ -293,8 +293,8 @@ def k_fold(df: DataFrame, order: Sequence[str], k: int = 5, stratify: str | None
     if k < 2:
         raise InvalidParameterError("two folds at least", "k", k)
     if stratify:
-        sizes = df.groupBy(stratify).agg(F.count("*").alias("__n"))
-        at = ordering.running(df, order, {"__i": (F.lit(1), "count")}, [stratify]).join(sizes, stratify)
+        sizes = df.groupBy(F.col(stratify).alias("__s")).agg(F.count("*").alias("__n"))
+        at = ordering.running(df, order, {"__i": (F.lit(1), "count")}, [stratify]).join(sizes, F.col(stratify).eqNullSafe(F.col("__s"))).drop("__s")
     else:
         at = ordering.running(df, order, {"__i": (F.lit(1), "count")}).crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))
     i, size, more = F.col("__i") - 1, F.floor(F.col("__n") / k), F.col("__n") % k

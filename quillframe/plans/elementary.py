@@ -44,15 +44,14 @@ def array_shapes(t):
 
 @query(
     "array_makers",
-    "SELECT " + ", ".join(f"{v}::DOUBLE[] AS {k}" for k, v in {"z": [0, 0], "o": [1, 1], "e": [0, 0], "f": [2.5, 2.5], "a": [0, 1, 2], "b": [1, 1.5, 2, 2.5], "l": [0, 0.25, 0.5, 0.75, 1], "lg": [1, 10, 100], "g": [1, 2, 4, 8], "x": [1.5, -2]}.items()) + ", '[1.5, -2.0]' AS t",
+    "SELECT " + ", ".join(f"'{[float(x) for x in v]}' AS {k}" for k, v in {"z": [0, 0], "o": [1, 1], "e": [0, 0], "f": [2.5, 2.5], "a": [0, 1, 2], "b": [1, 1.5, 2, 2.5], "l": [0, 0.25, 0.5, 0.75, 1], "lg": [1, 10, 100], "g": [1, 2, 4, 8], "x": [1.5, -2], "t": [1.5, -2]}.items()),
 )
 def array_makers(t):
-    rounded = lambda a: F.transform(a, lambda x: F.round(x, 9))
     made = {
         "z": arrays.zeros(2), "o": arrays.ones(2), "e": arrays.empty(2), "f": arrays.full(2.5, 2), "a": arrays.arange(3), "b": arrays.arange(1, 3, 0.5), "l": arrays.linspace(0, 1, 5),
-        "lg": arrays.logspace(0, 2, 3), "g": arrays.geomspace(1, 8, 4), "x": arrays.from_text(F.lit("[1.5, -2]")), "t": arrays.to_text(F.array(F.lit(1.5), F.lit(-2.0))),
+        "lg": arrays.logspace(0, 2, 3), "g": arrays.geomspace(1, 8, 4), "x": arrays.from_text(F.lit("[1.5, -2]")), "t": F.array(F.lit(1.5), F.lit(-2.0)),
     }
-    return t.region.limit(1).select(*((v if k == "t" else rounded(v)).alias(k) for k, v in made.items()))
+    return t.region.limit(1).select(*(arrays.to_text(v).alias(k) for k, v in made.items()))
 
 
 @query("matrix_eye", "SELECT i, i + 1 AS j, 1.0::DOUBLE AS v FROM range(5) r(i) WHERE i < 3")
@@ -132,9 +131,10 @@ def _row(t, statistic, digits=6):
     return t.region.sparkSession.createDataFrame([(round(float(statistic), digits),)], "statistic double")
 
 
-@query("percentile", "SELECT quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_totalprice, [0.25, 0.5]) AS q FROM orders")
+@query("percentile", "SELECT quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS p50 FROM orders")
 def percentile(t):
-    return t.orders.agg(stats.percentile("o_totalprice", 90).alias("p90"), stats.percentile("o_totalprice", [25, 50]).alias("q"))
+    found = t.orders.agg(stats.percentile("o_totalprice", 90).alias("p90"), stats.percentile("o_totalprice", [25, 50]).alias("q"))
+    return found.select("p90", F.get("q", 0).alias("p25"), F.get("q", 1).alias("p50"))
 
 
 @query("rank_data", "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS r FROM orders")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 1 << 14  # the rows of a bucket grow only beyond their product
 SAMPLE = 32  # sampled rows for each bucket
 CHUNK = 100_000
+HOT_ROWS = 1_000_000  # rows of one key that a window may sort in one task
 BUCKET, ORD, TAKEN, TIE = "__bucket", "__ord", "__chunk", "__tie"
 
 
@@ -78,11 +79,33 @@ COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 AGGREGATE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "product": F.product, "max": F.max, "min": F.min}
 
 
+def _hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some key has more rows than a task should sort."""
+    return not df.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).limit(1).isEmpty()
+
+
+def _running_by_key(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], keys: Sequence[str], buckets: int | None) -> DataFrame:
+    """As running for each key, with keys of any number of rows cut into buckets; only what a key has in earlier buckets is joined, at most a row a bucket."""
+    cut = bucketed(df, [*keys, *(c for c in order if c not in keys)], buckets, unique=True)
+    here = cut.withColumns({name: AGGREGATE[how](value).over(Window.partitionBy(BUCKET, *keys).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)) for name, (value, how) in outputs.items()})
+    totals = cut.groupBy(BUCKET, *keys).agg(*(AGGREGATE[how](value).alias(f"__t_{name}") for name, (value, how) in outputs.items()))
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__b_{name}": AGGREGATE["sum" if how == "count" else how](f"__t_{name}").over(before) for name, (_, how) in outputs.items()})
+    totals = totals.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(BUCKET))).where("__first > 1")
+    totals = totals.select(F.col(BUCKET).alias("__at"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(f"__b_{name}" for name in outputs))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = here.join(F.broadcast(totals), [F.col(BUCKET) == F.col("__at"), *same], "left")  # fewer rows than buckets
+    out = {name: F.coalesce(COMBINE[how](F.col(f"__b_{name}"), F.col(name)), F.col(name), F.col(f"__b_{name}")) for name, (_, how) in outputs.items()}
+    return joined.withColumns(out).drop(BUCKET, "__at", *(f"__k{i}" for i in range(len(keys))), *(f"__b_{name}" for name in outputs))
+
+
 def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None, unique: bool = True) -> DataFrame:
     """df with running aggregates, from the first row in order to each: name -> (value, one of AGGREGATE)."""
-    if partition_by:
+    if partition_by and not _hot(df, partition_by):
         w = Window.partitionBy(*partition_by).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: AGGREGATE[how](value).over(w) for name, (value, how) in outputs.items()})
+    if partition_by:
+        return _running_by_key(df, order, outputs, partition_by, buckets)
     cut = bucketed(df, order, buckets, unique)
     w = Window.partitionBy(BUCKET).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(BUCKET).agg(*(AGGREGATE[how](value).alias(f"__t_{name}") for name, (value, how) in outputs.items()))
@@ -101,12 +124,12 @@ def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int
 
 def around(df: DataFrame, order: Sequence[str], back: int, ahead: int, columns: Callable[[Window], dict[str, Column]], partition_by: Sequence[str] = ()) -> DataFrame:
     """df with window columns that look at most ``back`` rows back and ``ahead`` rows ahead; columns gets the window."""
-    if partition_by:
+    if partition_by and not _hot(df, partition_by):
         return df.withColumns(columns(Window.partitionBy(*partition_by).orderBy(*ascending(order))))
     size = max(CHUNK, 4 * (back + ahead))
-    at = numbered(df, order)
+    at = numbered(df, [*partition_by, *(c for c in order if c not in partition_by)])
     chunk, place = F.floor(F.col(ORD) / size), F.col(ORD) % size
     needed = F.array_compact(F.array(chunk, F.when(place >= size - back, chunk + 1), F.when((place < ahead) & (chunk > 0), chunk - 1)))
     spread = at.select("*", F.explode(needed).alias(TAKEN))
-    done = spread.withColumns(columns(Window.partitionBy(TAKEN).orderBy(ORD)))
+    done = spread.withColumns(columns(Window.partitionBy(TAKEN, *partition_by).orderBy(ORD)))
     return done.where(F.col(TAKEN) == chunk).drop(TAKEN, ORD)

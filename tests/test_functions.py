@@ -10,6 +10,7 @@ from quillframe import config, errors
 from quillframe.functions import arrays, expr, metrics, special, stats
 from quillframe.functions.quantiles import quantiles
 from quillframe.ml import linalg, linear, models, prep
+from quillframe.operators.frame import Frame
 from quillframe.plans import catalogue, ordering
 from quillframe.sources import files, generated
 
@@ -273,3 +274,33 @@ def test_embedding_and_splits(spark):
     assert across > 2 * inside
     assert len(prep.leave_p_out(5, 2)) == 10
     assert prep.leave_one_out(d, ["id"]).select("fold").distinct().count() == 60
+
+
+def test_hot_keys_are_cut_and_give_what_windows_give(spark, monkeypatch):
+    rows = [(i % 3 if i % 4 else None if i % 8 else 0, i, float(i * 7 % 11)) for i in range(400)]
+    d = spark.createDataFrame(rows, "k int, i int, v double").repartition(6)
+    f = Frame(d, ["i"])
+    ways = [lambda: f.cumsum("v", "x", ["k"]), lambda: f.cummax("v", "x", ["k"]), lambda: f.shift("v", 2, into="x", partition_by=["k"]), lambda: f.rolling_mean("v", 5, "x", ["k"])]
+    folds = lambda: prep.k_fold(d, ["i"], 3, "k")
+    plain, even = [sorted(map(tuple, w().df.select("i", "x").collect())) for w in ways], sorted(map(tuple, folds().select("i", "fold").collect()))
+    monkeypatch.setattr(ordering, "HOT_ROWS", 20)
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(ordering, "CHUNK", 25)
+    assert [sorted(map(tuple, w().df.select("i", "x").collect())) for w in ways] == plain
+    assert sorted(map(tuple, folds().select("i", "fold").collect())) == even and len(even) == 400
+
+
+@pytest.mark.parametrize("block", [4_000, 15])
+def test_density_clusters_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(models.DBSCAN, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.2, (90, 2)), rng.normal(2, 0.2, (60, 2)), rng.uniform(-3, 5, (40, 2)), np.zeros((30, 2))])
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.3
+    core = near.sum(axis=1) >= 5
+    label = np.where(core, np.arange(len(x)), 10**6)
+    for _ in range(len(x)):
+        label = np.where(core, np.where(near & core[None], label[None], 10**6).min(axis=1), 10**6)
+    want = np.where(near & core[None], label[None], 10**6).min(axis=1)
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, a double, b double")
+    got = {r.i: r.cluster for r in models.DBSCAN(["a", "b"], 0.3, 5).fit_predict(d, "i").collect()}
+    assert got == {i: -1 if c == 10**6 else c for i, c in enumerate(want.tolist())}
