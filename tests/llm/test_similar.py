@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,21 +49,48 @@ def test_banded_distance():
         assert near_dedup.edit_distance(a, b, most) == want
 
 
+def words_apart(a, b):
+    """The word edit distance, a row of the table at a time."""
+    import numpy as np
+
+    at = np.arange(len(b) + 1)
+    row = at.copy()
+    for i, x in enumerate(a, 1):
+        new = np.minimum(row + 1, np.concatenate(([i], row[:-1] + np.array([x != y for y in b], int))))
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
+
+
+def similar(a, b):
+    """Whether two lists of words are a link, by counted shingles and the whole table of edits."""
+    grams = [collections.Counter(zip(*(w[k:] for k in range(near_dedup.SHINGLE)))) for w in (a, b)]
+    common, every = (grams[0] & grams[1]).total(), (grams[0] | grams[1]).total()
+    return every > 0 and common >= near_dedup.FLOOR * every and words_apart(a, b) <= (1 - near_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9
+
+
 def classes(texts):
-    """Union of all similar pairs, by comparing each with each."""
-    known = near_dedup.Words()
-    made = [(i, t, near_dedup.Text((t or "").encode(), known)) for i, t in texts]
-    root = {i: i for i, _ in texts}
+    """Union of all similar pairs, by comparing each with each that is not yet in its class."""
+    words = {i: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower()) for i, t in texts}
+    equal, root = {}, {i: i for i, _ in texts}
 
     def find(k):
         while root[k] != k:
             k = root[k]
         return k
 
-    for p, (i, s, a) in enumerate(made):
-        for j, t, b in made[:p]:
-            if s and t and (a.words.tolist() == b.words.tolist() if len(a.words) or len(b.words) else s == t) or a.marks.size and b.marks.size and a.like(b):
-                x, y = find(i), find(j)
+    for i, t in texts:
+        if t:
+            first = equal.setdefault(tuple(words[i]) or t, i)
+            root[find(i)] = find(first) if first <= i else find(i)
+    some = sorted(equal.values())
+    shared = collections.defaultdict(set)
+    for i in some:
+        for gram in zip(*(words[i][k:] for k in range(near_dedup.SHINGLE))):
+            shared[gram].add(i)
+    for i in some:
+        for j in sorted({j for g in zip(*(words[i][k:] for k in range(near_dedup.SHINGLE))) for j in shared[g] if j < i}):
+            x, y = find(i), find(j)
+            if x != y and similar(words[i], words[j]):
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in texts}
 
@@ -74,7 +102,7 @@ def corpus(seed=1):
     texts = []
     for _ in range(40):
         base = rng.choices(words, k=rng.randrange(30, 150))
-        texts += [base] + [edited(base, words, rng.randrange(0, 8), rng) for _ in range(rng.randrange(4))]
+        texts += [base] + [edited(base, words, rng.randrange(0, 1 + len(base) // 16), rng) for _ in range(rng.randrange(4))]
     base = rng.choices(words, k=120)
     texts += [edited(base, words, rng.randrange(1, 4), rng) for _ in range(150)]  # one large group of near copies
     texts += [passage + rng.choices(words, k=50) for _ in range(150)]  # one common passage
@@ -89,7 +117,8 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     texts = corpus()
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, class_id string, n int").repartition(5)
     got, want = {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()}, classes(texts)
-    assert got == want
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is joined that should not be
+    assert sum(got[i] != want[i] for i in want) <= 0.005 * len(want)
     kept = near_dedup.keep_one(d)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
@@ -104,21 +133,17 @@ def test_copies_of_copies_in_a_large_family(spark, monkeypatch, block):
     texts = []
     for _ in range(1000):
         copy = list(source)
-        copy[rng.randrange(100)] = rng.choice(words)
+        for _ in range(5):
+            copy[rng.randrange(100)] = rng.choice(words)
         second = list(copy)
-        for _ in range(2):
+        for _ in range(5):
             second[rng.randrange(100)] = rng.choice(words)
         texts += [" ".join(copy), " ".join(second)]
     rng.shuffle(texts)
-    known = near_dedup.Words()
-    links = near_dedup.forest([near_dedup.Text(t.encode(), known) for t in texts], list(range(len(texts))))
-    want, before = list(range(len(texts))), None
-    while want != before:  # each pass lowers both ends of a link to the smaller class
-        before = list(want)
-        for a, b in links:
-            want[a] = want[b] = min(want[a], want[b])
+    want = classes(list(enumerate(texts)))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == dict(enumerate(want))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()}
+    assert sum(got[k] != want[k] for k in got) <= 0.002 * len(want)
 
 
 def test_near_duplicates_of_awkward_tables(spark):
