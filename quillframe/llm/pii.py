@@ -15,6 +15,7 @@ rows; other columns are ignored by ``find`` and kept by ``with_spans``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ LOCAL = "A-Za-z0-9._%+-"
 class Kind:
     name: str
     pattern: str
-    #: a character without which there is no match; texts without it are not searched
-    needs: str
+    #: texts of which a match has one; texts without any are not searched
+    needs: tuple[str, ...]
     base: bool
     #: score of a valid match, and of context words before or after it
     score: float
@@ -43,33 +44,33 @@ IBAN_LENGTHS = {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
 #: Each country's IBAN has its own length, so that a word in capitals behind it is none of it.
-IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+IBAN = "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 
 
 #: The card pattern takes whole runs of digits of the right length only, which drops the other runs unseen. Email and
 #: ip patterns start where a run of their characters starts (or the last match ended), as other starts in it fail
 #: alike, and never give characters back: long runs take time in proportion, and no stack.
 KINDS = (
-    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.9, r"mail|contact|write to|reach"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.7, r"\bip\b|host|server|address"),
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", "", True, 0.8, r"card|visa|master|credit|karte|carte|tarjeta"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", True, 0.7, r"tel|phone|call|fax|mobil"),
-    Kind("iban", IBAN, "", False, 0.8, r"iban|account|bank|konto|compte|cuenta"),
-    Kind("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9])", "", False, 0.4, r"card|amex|american express|diners|credit|karte|carte|tarjeta"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", False, 0.4, r"ssn|social security|tax id"),
-    Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "", False, 0.4, r"tel|phone|call|fax|mobil"),
-    Kind("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?", "-----BEGIN", False, 1.0),
+    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",), True, 0.9, r"mail|contact|write to|reach"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", (".",), True, 0.7, r"\bip\b|host|server|address"),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", (), True, 0.8, r"card|visa|master|credit|karte|carte|tarjeta"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", ("+",), True, 0.7, r"tel|phone|call|fax|mobil"),
+    Kind("iban", IBAN, (), False, 0.8, r"iban|account|bank|konto|compte|cuenta"),
+    Kind("short_card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9])", (), False, 0.4, r"card|amex|american express|diners|credit|karte|carte|tarjeta"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), False, 0.4, r"ssn|social security|tax id"),
+    Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", (), False, 0.4, r"tel|phone|call|fax|mobil"),
+    Kind("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?", ("-----BEGIN",), False, 1.0),
     # Public prefixes and lengths of access keys and tokens (AWS, GitHub, GitLab, Slack, Google, Stripe, npm; JSON web tokens).
     Kind(
         "access_key",
-        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{50,90}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,80}"
+        r"(?<![A-Za-z0-9])(?=[Aegnrsx])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{50,90}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,80}"
         r"|AIza[A-Za-z0-9_-]{35}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,64}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{16,1000})(?![A-Za-z0-9])",
-        "", False, 0.9,
+        ("AKIA", "ASIA", "_", "glpat-", "xox", "AIza", "eyJ"), False, 0.9,
     ),
     Kind(
         "secret",
-        r"(?i)(?<![a-z0-9])(?:api[_ -]?key|access[_ -]?key|auth[_ -]?token|token|secret|passw(?:or)?d|pwd|client[_ -]?secret|private[_ -]?key)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?[a-z0-9+/_.=~-]{12,256}+",
-        "", False, 0.8,
+        r"(?i)(?<![a-z0-9])(?=[acpst])(?:api[_ -]?key|access[_ -]?key|auth[_ -]?token|token|secret|passw(?:or)?d|pwd|client[_ -]?secret|private[_ -]?key)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?[a-z0-9+/_.=~-]{12,256}+",
+        ("=", ":"), False, 0.8,
     ),
 )
 NEAR, CONTEXT_SCORE, LEAST, CHUNK = 40, 0.3, 0.6, 64
@@ -152,7 +153,7 @@ def spans(text: Column, kind: Kind) -> Column:
     )
     none = F.array().cast(f"array<{SPAN}>")
     found = F.coalesce(found.cast(f"array<{SPAN}>"), none)
-    return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none) if kind.needs else found
+    return F.when(reduce(Column.__or__, (F.contains(text, F.lit(n)) for n in kind.needs)), found).otherwise(none) if kind.needs else found
 
 
 def apart(more: Column, base: Column) -> Column:
