@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillframe import config, errors
 from quillframe.functions import extension, plotdata
 from quillframe.ml import linear, models
 from quillframe.operators.frame import Frame, Series
@@ -121,6 +122,52 @@ def batches(t):
     return t.region.sparkSession.createDataFrame(rows, "i int, n_rows int, ordered boolean")
 
 
+# -- settings and checks ----------------------------------------------------------------------------------------------
+
+
+def _refused(error, call) -> str:
+    """Whether a call raises an error, which must be one of the library's."""
+    try:
+        call()
+    except error as e:
+        return str(isinstance(e, errors.EngineError))
+    return "accepted"
+
+
+def _settings() -> dict[str, str]:
+    found = {"dtype": config.get_config()["default_dtype"]}
+    config.set_dtype("float32")
+    config.set_device("driver")
+    config.set_seed(7)
+    found |= {"set": f"{config.get_dtype()} {config.get_device()} {config.get_seed()}"}
+    config.clear_seed()
+    found["cleared"] = str(config.get_seed())
+    config.reset_config()
+    found |= {
+        "reset": f"{config.get_dtype()} {config.get_device()}", "types": ",".join(sorted(config.DTYPES)), "devices": ",".join(config.DEVICES), "is_dtype": f"{config.is_dtype('int32')} {config.is_dtype('int33')}",
+        "is_device": f"{config.is_device('spark')} {config.is_device('gpu')}", "numeric": config.numeric_dtype("uint8"), "axis": f"{config.normalize_axis(-1, 3)} {config.normalize_axis('columns', 2)}", "shape": str(config.shape([2, 3])),
+        "size": str(config.size([2, 3, 4])), "positive": str(config.positive(2, "n")), "non_negative": str(config.non_negative(0, "n")), "range": str(config.in_range(0.5, 0, 1, "n")), "integer": str(config.integer(3.0, "n")), "one_of": config.one_of("a", ["a", "b"], "n"),
+        "array": str(config.array((1, 2), "n")), "dimension": str(config.dimension((4, 5), 1)), "broadcast": str(config.broadcast_shape((3, 1), (2,))),
+        "InvalidParameterError": _refused(errors.InvalidParameterError, lambda: config.positive(0, "n")), "DTypeError": _refused(errors.DTypeError, lambda: config.set_dtype("complex")), "DeviceError": _refused(errors.DeviceError, lambda: config.set_device("gpu")),
+        "ShapeError": _refused(errors.ShapeError, lambda: config.dimension((3,), 1)), "BroadcastError": _refused(errors.BroadcastError, lambda: config.broadcast_shape((3,), (2,))), "DataValidationError": _refused(errors.DataValidationError, lambda: config.array([], "n", 1)),
+        "NotFittedError": _refused(errors.NotFittedError, lambda: models.PCA(["x"]).transform(None)), "hierarchy": ",".join(sorted(c.__name__ for c in (errors.PositionError, errors.ConvergenceError, errors.CapacityError, errors.UnsupportedError) if issubclass(c, errors.EngineError))),
+    }
+    return found
+
+
+#: what the settings and checks above must say
+_SAID = {
+    "dtype": "float64", "set": "float32 driver 7", "cleared": "None", "reset": "float64 spark", "types": "bool,float32,float64,int32,int64,string,uint8", "devices": "spark,driver", "is_dtype": "True False", "is_device": "True False", "numeric": "uint8",
+    "axis": "2 1", "shape": "(2, 3)", "size": "24", "positive": "2", "non_negative": "0", "range": "0.5", "integer": "3", "one_of": "a", "array": "[1, 2]", "dimension": "5", "broadcast": "(3, 2)", "InvalidParameterError": "True", "DTypeError": "True",
+    "DeviceError": "True", "ShapeError": "True", "BroadcastError": "True", "DataValidationError": "True", "NotFittedError": "True", "hierarchy": "CapacityError,ConvergenceError,PositionError,UnsupportedError",
+}
+
+
+@query("settings", " UNION ALL ".join(f"SELECT '{k}' AS name, '{v}' AS said" for k, v in _SAID.items()))
+def settings(t):
+    return t.region.sparkSession.createDataFrame(sorted(_settings().items()), "name string, said string")
+
+
 # -- generated data: moments that lie within five deviations of what the distributions say -----------------------------------
 
 _DRAWS = {
