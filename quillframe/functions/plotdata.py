@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.quantiles import grouped
+
 
 def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
     """bin, low, high and n for bins of equal width; the last includes its end. Empty bins are there."""
@@ -22,8 +24,7 @@ def histogram(df: DataFrame, name: str, bins: int = 10) -> DataFrame:
 
 def boxplot(df: DataFrame, name: str, by: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 spreads and the number of values beyond, for each group."""
-    q = F.percentile(F.col(name), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    box = df.groupBy(by).agg(q.alias("q")).select(by, F.get("q", 0).alias("q1"), F.get("q", 1).alias("q2"), F.get("q", 2).alias("q3"))
+    box = grouped(df, [by], F.col(name), (0.25, 0.5, 0.75), ("q1", "q2", "q3"))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(name).between(low, high)
     return df.join(box, by).groupBy(by, "q1", "q2", "q3").agg(F.min(F.when(inside, F.col(name))).alias("low"), F.max(F.when(inside, F.col(name))).alias("high"), F.count(F.when(~inside, F.lit(1))).alias("outside"))

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.plans import ordering
+
 #: values up to which one aggregation may hold all of a column (its buffer keeps every different value)
 BUFFERED = 1_000_000
 BINS = 4_096
@@ -59,3 +61,26 @@ def quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], bu
             values.append(low + (high - low) * (at - math.floor(at)))
         out[name] = values if n else [None] * len(qs)
     return out
+
+
+def grouped(df: DataFrame, keys: Sequence[str], value: Column, qs: Sequence[float], into: Sequence[str]) -> DataFrame:
+    """keys and a column for each quantile of the value's numbers in each group.
+
+    Where a group has more rows than a task should hold, different values are counted and summed up in order, with
+    large groups cut into buckets; else one aggregation holds a group's values.
+    """
+    rows = df.select(*keys, value.cast("double").alias("__v"))
+    if not ordering.is_hot(rows, keys):
+        found = rows.groupBy(*keys).agg(F.percentile("__v", F.array(*map(F.lit, qs))).alias("__q"))
+        return found.select(*keys, *(F.get("__q", k).alias(n) for k, n in enumerate(into)))
+    counted = rows.groupBy(*keys, "__v").agg(F.sum(F.col("__v").isNotNull().cast("long")).alias("__n"))
+    counted = ordering.running(counted, ["__v"], {"__upto": (F.col("__n"), "sum")}, keys)
+    sizes = counted.groupBy(*(F.col(k).alias(f"__s{i}") for i, k in enumerate(keys))).agg(F.sum("__n").alias("__all"))
+    same = [F.col(k).eqNullSafe(F.col(f"__s{i}")) for i, k in enumerate(keys)]
+    placed = counted.join(sizes, same)
+    picked = []
+    for q, name in zip(qs, into, strict=True):
+        at = (F.col("__all") - 1) * q
+        low, high = (F.min(F.when((F.col("__n") > 0) & (F.col("__upto") > rank), F.col("__v"))) for rank in (F.floor(at), F.ceil(at)))
+        picked.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*keys).agg(*picked)

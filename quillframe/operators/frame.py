@@ -501,7 +501,7 @@ class Series:
         return self._agg(F.avg(self._value()))
 
     def median(self) -> float | None:
-        return self._agg(F.median(self._value()))
+        return quantiles(self.frame.df, {self.name: self._value()}, (0.5,))[self.name][0]
 
     def std(self) -> float | None:
         return self._agg(F.stddev_samp(self._value()))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.errors import InvalidParameterError
+from quillframe.functions import quantiles
+from quillframe.plans import ordering
 
 NAN = float("nan")
 
@@ -43,13 +45,22 @@ class Grouped:
 
     def agg(self, wanted: dict[str, str | Sequence[str]]) -> DataFrame:
         """Keys and aggregates: column -> name keeps the column's name, column -> names makes column_name."""
-        functions, out = self._functions(), []
+        functions, out, medians = self._functions(), [], {}
+        hot = any("median" in ([names] if isinstance(names, str) else names) for names in wanted.values()) and ordering.is_hot(self.df, self.keys)
         for column, names in wanted.items():
             for name in [names] if isinstance(names, str) else names:
                 if name not in functions:
                     raise InvalidParameterError(f"unknown aggregate {name!r}", "agg", name)
-                out.append(functions[name](column).alias(column if isinstance(names, str) else f"{column}_{name}"))
-        return self.df.groupBy(*self.keys).agg(*out)
+                alias = column if isinstance(names, str) else f"{column}_{name}"
+                if name == "median" and hot:
+                    medians[alias] = column
+                out.append((F.lit(None) if name == "median" and hot else functions[name](column)).alias(alias))
+        found = self.df.groupBy(*self.keys).agg(*out)
+        for alias, column in medians.items():  # of groups too large for a task: by counted values, a join each
+            own = quantiles.grouped(self.df, self.keys, finite(F.col(column)), (0.5,), ("__median",)).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(self.keys)})
+            same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
+            found = found.join(own, same).withColumn(alias, _or_nan(F.col("__median"))).drop("__median", *(f"__k{i}" for i in range(len(self.keys))))
+        return found
 
     def _all(self, name: str) -> DataFrame:
         return self.agg(dict.fromkeys(self.numeric, name))

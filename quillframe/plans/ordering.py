@@ -79,7 +79,7 @@ COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 AGGREGATE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "product": F.product, "max": F.max, "min": F.min}
 
 
-def _hot(df: DataFrame, keys: Sequence[str]) -> bool:
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
     """Whether some key has more rows than a task should sort."""
     return not df.groupBy(*keys).count().where(F.col("count") > HOT_ROWS).limit(1).isEmpty()
 
@@ -101,7 +101,7 @@ def _running_by_key(df: DataFrame, order: Sequence[str], outputs: dict[str, tupl
 
 def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None, unique: bool = True) -> DataFrame:
     """df with running aggregates, from the first row in order to each: name -> (value, one of AGGREGATE)."""
-    if partition_by and not _hot(df, partition_by):
+    if partition_by and not is_hot(df, partition_by):
         w = Window.partitionBy(*partition_by).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: AGGREGATE[how](value).over(w) for name, (value, how) in outputs.items()})
     if partition_by:
@@ -124,7 +124,7 @@ def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int
 
 def around(df: DataFrame, order: Sequence[str], back: int, ahead: int, columns: Callable[[Window], dict[str, Column]], partition_by: Sequence[str] = ()) -> DataFrame:
     """df with window columns that look at most ``back`` rows back and ``ahead`` rows ahead; columns gets the window."""
-    if partition_by and not _hot(df, partition_by):
+    if partition_by and not is_hot(df, partition_by):
         return df.withColumns(columns(Window.partitionBy(*partition_by).orderBy(*ascending(order))))
     size = max(CHUNK, 4 * (back + ahead))
     at = numbered(df, [*partition_by, *(c for c in order if c not in partition_by)])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe import config, errors
-from quillframe.functions import arrays, expr, metrics, special, stats
+from quillframe.functions import arrays, expr, metrics, plotdata, special, stats
 from quillframe.functions.quantiles import quantiles
 from quillframe.ml import linalg, linear, models, prep
 from quillframe.operators.frame import Frame
@@ -304,3 +304,14 @@ def test_density_clusters_against_all_pairs(spark, monkeypatch, block):
     d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, a double, b double")
     got = {r.i: r.cluster for r in models.DBSCAN(["a", "b"], 0.3, 5).fit_predict(d, "i").collect()}
     assert got == {i: -1 if c == 10**6 else c for i, c in enumerate(want.tolist())}
+
+
+def test_quantiles_of_hot_groups(spark, monkeypatch):
+    rows = [(i % 3 if i % 4 else None, float(i * i % 97) if i % 5 else None, i) for i in range(300)] + [(9, None, 0)]
+    d = spark.createDataFrame(rows, "k int, v double, i int").repartition(5)
+    medians = lambda: sorted(map(tuple, Frame(d, ["i"]).group_by("k").agg({"v": ["median", "count"]}).collect()), key=str)
+    boxes = lambda: sorted(map(tuple, plotdata.boxplot(d.where("k < 3"), "v", "k").collect()))
+    plain, drawn = medians(), boxes()
+    monkeypatch.setattr(ordering, "HOT_ROWS", 10)
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 20)
+    assert str(medians()) == str(plain) and boxes() == drawn and len(plain) == 5
