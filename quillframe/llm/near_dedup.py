@@ -6,8 +6,9 @@ retains their order in the text, so that equal sketches speak for edit similarit
 Documents that share a sketch are candidates. A pair is a link if a banded alignment of the words has an edit
 similarity of ``SIMILAR`` or more and at least ``FLOOR`` of the labelled k-mers of either are common to both (Jaccard), which is
 what some twelve edits a hundred words leave; classes are the connected components of links. A sketch is equal with a
-chance of about the third power of the Jaccard index: a link is met in one of them with a chance of 0.75 at the floor,
-0.98 at an index of 0.5 and 0.999 from 0.6 on, and its documents may also share a class by others.
+chance of about the third power of the Jaccard index: a link is met in one of them with a chance of 0.65 at the floor,
+0.96 at an index of 0.5 and 0.997 from 0.6 on, and its documents may also share a class by others. Pairs whose bags of
+words alone are further apart than the bound, as those are that share a passage, are not aligned.
 
 Equal word sequences are one document from the start. A bucket of up to ``BUCKET`` documents is searched inside one
 task, which emits the links of a spanning forest. A larger bucket is split into chunks of that size, each joined by
@@ -41,7 +42,7 @@ from quillframe.llm.decontaminate import words_of
 from quillframe.plans.components import connected_components
 
 SHINGLE, SIMILAR, FLOOR = 5, 0.8, 0.35
-SKETCHES, TAKEN = 28, 3
+SKETCHES, TAKEN = 24, 3
 BUCKET, DEPTH = 48, 4
 BLOCK = 4 << 20  # bytes of texts on either side of one exact search
 CELLS = 1 << 20
@@ -80,7 +81,12 @@ def kmers(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    out = mixed(out)
+    return labelled_hashes(mixed(out))
+
+
+def labelled_hashes(out: np.ndarray) -> np.ndarray:
+    """Hashes of which no two are equal: the second and further occurrences of one are told apart by their number."""
+    n = len(out)
     order = np.argsort(out, kind="stable")
     ranked = out[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
@@ -170,7 +176,7 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     a, b = a[head:], b[head:]
     tail = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    band = max(16, abs(len(a) - len(b)) * 2)
+    band = max(64, abs(len(a) - len(b)) * 2)  # a wider band costs little up to a few machine words
     while band < most:
         if (found := banded_distance(a, b, band)) <= band:
             return found
@@ -184,6 +190,14 @@ class Text:
     def __init__(self, text: bytes, known: Words):
         self.words = word_hashes(words_of(text), known)
         self.marks = np.sort(kmers(self.words))
+        self._bag: np.ndarray | None = None
+
+    @property
+    def bag(self) -> np.ndarray:
+        """The sorted words, occurrences told apart."""
+        if self._bag is None:
+            self._bag = np.sort(labelled_hashes(self.words))
+        return self._bag
 
     def like(self, other: Text) -> bool:
         n, m = len(self.marks), len(other.marks)
@@ -191,14 +205,34 @@ class Text:
         most = int((1 - SIMILAR) * longest + 1e-9)
         if longest - min(len(self.words), len(other.words)) > most:
             return False
-        both = np.concatenate((self.marks, other.marks))
-        both.sort(kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        if common < FLOOR * (n + m - common):
+        common = in_common(self.marks, other.marks)
+        if common < FLOOR * (n + m - common) or longest - in_common(self.bag, other.bag) > most:
             return False
         return edit_distance(self.words.tolist(), other.words.tolist(), most) <= most
 
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted arrays without repeats share."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+class Owners:
+    """An inverted index of sorted arrays: how many numbers of an array each of them shares."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.n = len(arrays)
+        values = np.concatenate(arrays)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], np.repeat(np.arange(self.n), [len(a) for a in arrays])[order]
+
+    def common(self, asked: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.values, asked, "left"), np.searchsorted(self.values, asked, "right")
+        met = [self.owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
+        return np.bincount(np.concatenate(met), minlength=self.n) if met else np.zeros(self.n, np.int64)
+
+
 def forest(texts: list[Text], classes: list[int]) -> list[tuple[int, int]]:
     """Links that, with those which made ``classes``, span the documents' components.
 
@@ -224,12 +258,11 @@ def forest(texts: list[Text], classes: list[int]) -> list[tuple[int, int]]:
 def crossing(asks: list[Text], members: list[Text], classes: list[int], ask_classes: list[int]) -> list[tuple[int, int]]:
     """Links (ask, member) between documents of different classes that, with those which made the classes, connect what such pairs connect.
 
-    Common k-mers of an ask and every member are counted by an inverted index, so only pairs with enough of them are aligned.
+    Common k-mers, and where these are enough for many members common words, are counted by inverted indexes, so only
+    pairs with enough of both are aligned.
     """
-    sizes = np.array([len(t.marks) for t in members])
-    marks = np.concatenate([t.marks for t in members])
-    order = np.argsort(marks, kind="stable")
-    marks, owner = marks[order], np.repeat(np.arange(len(members)), sizes)[order]
+    sizes, lengths = (np.array([len(x) for x in xs]) for xs in ([t.marks for t in members], [t.words for t in members]))
+    marks, bags = Owners([t.marks for t in members]), None
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -239,12 +272,13 @@ def crossing(asks: list[Text], members: list[Text], classes: list[int], ask_clas
 
     links = []
     for k, ask in enumerate(asks):
-        low, high = np.searchsorted(marks, ask.marks, "left"), np.searchsorted(marks, ask.marks, "right")
-        met = [owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if x < y]
-        if not met:
-            continue
-        common = np.bincount(np.concatenate(met), minlength=len(members))
-        for other in np.flatnonzero((common > 0) & (common >= FLOOR * (sizes + len(ask.marks) - common))).tolist():
+        common = marks.common(ask.marks)
+        longest = np.maximum(lengths, len(ask.words))
+        others = np.flatnonzero((common > 0) & (common >= FLOOR * (sizes + len(ask.marks) - common)) & (np.minimum(lengths, len(ask.words)) >= SIMILAR * longest - 1e-6))
+        if len(others) > 32:
+            bags = bags or Owners([t.bag for t in members])
+            others = others[longest[others] - bags.common(ask.bag)[others] <= (1 - SIMILAR) * longest[others] + 1e-6]
+        for other in others.tolist():
             a, b = find(ask_classes[k]), find(classes[other])
             if a != b and members[other].like(ask):
                 links.append((k, other))
