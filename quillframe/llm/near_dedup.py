@@ -431,10 +431,10 @@ def near_links(docs: DataFrame, unique: DataFrame, id_col: str = "doc_id", text_
     members = exploded(sets.where("depth > 1")).join(label("doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("doc_id_class", "doc_id").alias("class"))
     mixed_sets = members.groupBy("set").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("set")
     second = durable(chunked(durable(rest)).unionAll(members.join(mixed_sets, "set", "left_semi").select("set", "doc_id")))
-    if not second.isEmpty():
-        found = found.unionAll(links(second, labelled(texts, classed)))
-        classed = connected_components(found)
-    return found.unionAll(remainder(pairs, texts, classed))
+    stars = lambda: classed.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if not second.isEmpty():  # what is one class already takes part as a star, which needs no further rounds
+        classed = connected_components(stars().unionAll(links(second, labelled(texts, classed))))
+    return stars().unionAll(remainder(pairs, texts, classed))
 
 
 def classed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
