@@ -59,9 +59,12 @@ def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None, un
     places = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(t, kinds, order, strict=True))) for t in bounds))
     key = F.struct(*order)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    # the number of bounds at or below the key, by bisection: beyond the last bound there is none to compare with
-    at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(places, low + step - 1) <= key, low + step).otherwise(low))
-    return df.withColumn(BUCKET, at)
+    # the number of bounds at or below the key, by bisection: beyond the last bound there is none to compare with; the
+    # key goes along in the state, as Spark overlooks columns inside a lambda when it infers filters for the other side of a join
+    start = F.struct(F.lit(0).alias("low"), key.alias("key"))
+    step_up = lambda at, step: F.when(F.get(places, at["low"] + step - 1) <= at["key"], at["low"] + step).otherwise(at["low"])
+    at = F.aggregate(steps, start, lambda at, step: F.struct(step_up(at, step).alias("low"), at["key"].alias("key")), lambda at: at["low"])
+    return df.withColumn(BUCKET, F.coalesce(at, F.lit(0)))  # never null: else a join on it finds each row's number twice, for a filter as well
 
 
 def ascending(order: Sequence[str]) -> list[Column]:

@@ -315,3 +315,14 @@ def test_quantiles_of_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(ordering, "HOT_ROWS", 10)
     monkeypatch.setattr(ordering, "BUCKET_ROWS", 20)
     assert str(medians()) == str(plain) and boxes() == drawn and len(plain) == 5
+
+
+def test_trim_mean_over_many_buckets(spark, monkeypatch):
+    """A bucket's number, found from a grouped value, meets the totals of the buckets before."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 100)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    got = stats.trim_mean(orders, "o_totalprice", 0.1)
+    assert "!Filter" not in got._jdf.queryExecution().optimizedPlan().toString()  # a filter on columns that its input lacks
+    values = np.sort([r[0] for r in orders.select("o_totalprice").collect()])
+    cut = len(values) // 10
+    assert got.first().trim_mean == pytest.approx(values[cut : len(values) - cut].mean(), rel=1e-12)
