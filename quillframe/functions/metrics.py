@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions import pairwise
 from quillframe.plans import ordering
 
 INF = float("inf")
@@ -264,39 +265,46 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> float:
     return sum(worst) / max(1, len(worst))
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, key: str, block_rows: int = 4_000) -> DataFrame:
+def silhouette(df: DataFrame, features: list[str], label: str, key: str, block_rows: int = 32_000) -> DataFrame:
     """(key, silhouette) by Euclidean distances: exact, every row against all rows in blocks of bounded size.
 
-    The work is quadratic by definition; each task holds two blocks and returns a sum a row and cluster.
+    The work is quadratic by definition. Each pair of blocks meets once, in a task that holds the two and returns a sum
+    a row and cluster for both; distances are products of matrices. Blocks are smaller where clusters are many.
     """
     import numpy as np
     import pandas as pd
 
-    n = df.count()
-    blocks = max(1, math.ceil(n / block_rows))
     rows = df.select(F.col(key).alias("k"), F.col(label).alias("c"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
+    sizes = rows.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
+    size = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("clusters")).first()
+    n = size["rows"] or 0
+    most = min(block_rows, max(1_000, 4_000_000 // max(1, size["clusters"])))
+    blocks = max(1, math.ceil(n / most), min(12, n // 2_000))  # some for each core of a cluster, even of few rows
     rows = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "q")
-    right = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("b", "p")
+    left = rows.withColumn("q", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))).withColumnRenamed("b", "p")
+    right = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumnRenamed("b", "q")
     names = [f"x{i}" for i in range(len(features))]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(a) and len(b):
-            clusters, at = np.unique(b["c"].to_numpy(), return_inverse=True)
-            member = np.eye(len(clusters))[at]
-            y = b[names].to_numpy(float)
-            xs = a[names].to_numpy(float)
-            for s in range(0, len(a), 256):
-                x = xs[s : s + 256]
-                squares = sum((x[:, k, None] - y[None, :, k]) ** 2 for k in range(y.shape[1]))  # one feature at a time bounds the memory
-                d = np.sqrt(squares) @ member
-                parts.append(pd.DataFrame({"k": np.repeat(a["k"].to_numpy()[s : s + 256], len(clusters)), "c": np.repeat(a["c"].to_numpy()[s : s + 256], len(clusters)), "o": np.tile(clusters, len(x)), "d": d.ravel()}))
-        return pd.concat(parts) if parts else pd.DataFrame({"k": [], "c": [], "o": [], "d": []})
+    def distances(pair: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"k": [], "c": [], "o": [], "d": []})
+        (own, at), (others, to) = (np.unique(side["c"].to_numpy(), return_inverse=True) for side in (a, b))
+        of_a, of_b = np.eye(len(own))[at], np.eye(len(others))[to]
+        squares = pairwise.Squares(a[names].to_numpy(float), b[names].to_numpy(float))
+        ours, theirs = np.zeros((len(a), len(others))), np.zeros((len(b), len(own)))
+        for s in range(0, len(a), 256):
+            for t in range(0, len(b), 2_048):
+                e, f = min(len(a), s + 256), min(len(b), t + 2_048)
+                d = squares.block(s, e, t, f)
+                np.sqrt(d, out=d)
+                ours[s:e] += d @ of_b[t:f]
+                if pair[0] != pair[1]:
+                    theirs[t:f] += d.T @ of_a[s:e]
+        sums = [(a, others, ours)] + ([(b, own, theirs)] if pair[0] != pair[1] else [])
+        return pd.concat([pd.DataFrame({"k": np.repeat(x["k"].to_numpy(), len(o)), "c": np.repeat(x["c"].to_numpy(), len(o)), "o": np.tile(o, len(x)), "d": d.ravel()}) for x, o, d in sums])
 
     sums = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(distances, f"k {kinds['k']}, c {kinds['c']}, o {kinds['c']}, d double")
-    sizes = rows.groupBy(F.col("c").alias("o")).agg(F.count("*").alias("n"))
     means = sums.groupBy("k", "c", "o").agg(F.sum("d").alias("d")).join(sizes, "o")
     own = F.max(F.when((F.col("o") == F.col("c")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
     other = F.min(F.when(F.col("o") != F.col("c"), F.col("d") / F.col("n")))

@@ -1,13 +1,14 @@
 """Distribution functions, tests, metrics and models against numbers known in closed form or from numpy."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillframe import config, errors
-from quillframe.functions import arrays, expr, metrics, plotdata, special, stats
+from quillframe.functions import arrays, expr, metrics, pairwise, plotdata, special, stats
 from quillframe.functions.quantiles import quantiles
 from quillframe.ml import linalg, linear, models, prep
 from quillframe.operators.frame import Frame
@@ -334,3 +335,50 @@ def test_batches_lists_what_its_sql_lists(spark, tmp_path):
         rows.write.parquet(f"{tmp_path}/{name}.parquet")
     got = catalogue.QUERIES["batches"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, 700, True) for i in range(100)]
+
+
+def test_squared_distances_of_wide_rows_keep_their_digits_in_little_memory():
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(20_000, 64)) + 1e4
+    x = np.concatenate([y[:20] + 1e-7 * rng.normal(size=(20, 64)), y[20:40], rng.normal(size=(260, 64)) + 1e4])
+    tracemalloc.start()
+    for a, b, d in pairwise.Squares(x, y).strips():
+        want = np.stack([((y - x[i]) ** 2).sum(axis=1) for i in range(a, min(b, a + 2))])
+        assert np.allclose(d[: len(want)], want, rtol=1e-9, atol=0)
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # all differences of 256 rows would be 2.6 GB
+    tracemalloc.stop()
+    x[0, 0] = np.inf
+    assert pairwise.Squares(x[:2], y[:50]).block(0, 1, 0, 50).min() == np.inf
+    assert list(pairwise.Squares(x[:2], y[:0]).strips())[0][2].shape == (2, 0)
+
+
+def test_silhouette_of_wide_rows_in_pairs_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 12)) + np.arange(300)[:, None] % 3
+    x[100:150] = x[:50]  # copies, some of them in other clusters
+    label = np.arange(300) % 7
+    names = [f"f{i}" for i in range(12)]
+    rows = spark.createDataFrame([(i, int(label[i]), *map(float, x[i])) for i in range(300)], "k long, label long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.k: r.silhouette for r in metrics.silhouette(rows, names, "label", "k", 70).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for i in range(300):
+        means = [d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(7)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_neighbours_of_wide_rows_against_all_pairs(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 12))
+    x[100:160] = x[40:100]
+    names = [f"f{i}" for i in range(12)]
+    rows = spark.createDataFrame([(i, i % 5, *map(float, x[i])) for i in range(240)], "k long, label int, " + ", ".join(f"{n} double" for n in names))
+    got = models.KNeighbors(names, "label", 4, metric, block_rows=50).fit(rows).neighbours(rows, "k").collect()
+    found = {(r.k, r.rank): (r.distance, r.target) for r in got}
+    assert len(found) == 960
+    for i in range(240):
+        gap = np.abs(x - x[i])
+        d = gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1))
+        for rank, (distance, target) in enumerate(sorted(zip(d, np.arange(240) % 5, strict=True))[:4]):
+            assert found[i, rank] == (pytest.approx(distance, abs=1e-12), target)
