@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.errors import CapacityError, DataValidationError, InvalidParameterError, NotFittedError
+from quillframe.functions.pairwise import Squares
 from quillframe.ml.linear import WIDE, appended, gram, matrix_of
 from quillframe.plans.components import connected_components
 
@@ -95,13 +96,24 @@ class KNeighbors:
                 return pd.DataFrame({"q": [], "distance": [], "target": []})
             x, y, labels = left[names].to_numpy(float), right[names].to_numpy(float), right[target].to_numpy()
             order = np.lexsort((labels,))
-            y, labels, parts = y[order], labels[order], []
-            for at in range(0, len(x), 256):
-                d = x[at : at + 256, None, :] - y[None, :, :]
-                d = np.abs(d).sum(axis=2) if metric == "manhattan" else np.sqrt((d * d).sum(axis=2))
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(best)), best.shape[1])
-                parts.append(pd.DataFrame({"q": left["__q"].to_numpy()[at + rows], "distance": d[rows, best.ravel()], "target": labels[best.ravel()]}))
+            y, labels, keys, parts = y[order], labels[order], left["__q"].to_numpy(), []
+
+            def found(i: int, j: np.ndarray, d: np.ndarray) -> None:
+                best = np.argsort(d, kind="stable")[:k]
+                parts.append(pd.DataFrame({"q": np.repeat(keys[i : i + 1], len(best)), "distance": d[best], "target": labels[j[best]]}))
+
+            if metric == "manhattan":
+                for i in range(len(x)):
+                    found(i, np.arange(len(y)), np.abs(x[i] - y).sum(axis=1))
+            else:
+                squares = Squares(x, y)
+                for a, b, d in squares.strips():
+                    # what may be among the k nearest, as far as the squares are exact; those are measured by differences
+                    far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : k]
+                    near = ~(d > far + 2 * squares.slack(a, b))
+                    for i in range(a, b):
+                        j = np.flatnonzero(near[i - a])
+                        found(i, j, np.sqrt(squares.exact(i, j)))
             return pd.concat(parts)
 
         # queries are dealt to tasks by block and a salt, so that no task holds more than its share of them
