@@ -240,7 +240,7 @@ class DBSCAN:
     core neighbours' clusters.
     """
 
-    GRID, BLOCK = 2, 4_000
+    GRID, BLOCK = 2, 16_000
 
     def __init__(self, features: Sequence[str], eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean"):
         self.features, self.eps, self.min_samples, self.metric = list(features), eps, min_samples, metric
@@ -268,35 +268,50 @@ class DBSCAN:
         kind = rows.schema["k"].dataType.simpleString()
 
         def near(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-            """Each row of a with the places in b of those within eps."""
+            """Each row of a that has rows of b within eps, with their places, ascending."""
             x, y = a[names].to_numpy(float), b[others].to_numpy(float)
-            for i in range(len(x)):
-                gap = np.abs(y - x[i])
-                yield i, np.flatnonzero(gap.sum(axis=1) <= eps if manhattan else (gap * gap).sum(axis=1) <= eps * eps)
+            if manhattan or not len(y):
+                for i in range(len(x) if len(y) else 0):
+                    if len(found := np.flatnonzero(np.abs(y - x[i]).sum(axis=1) <= eps)):
+                        yield i, found
+                return
+            squares = Squares(x, y)
+            for s, e, d in squares.strips():
+                slack = squares.slack(s, e)
+                for i in np.flatnonzero((d <= eps * eps + slack).any(axis=1)).tolist():
+                    found = np.flatnonzero(d[i] <= eps * eps + slack[i])
+                    doubtful = d[i, found] >= eps * eps - slack[i]  # too near eps for a product to tell
+                    inside = ~doubtful
+                    inside[doubtful] = squares.exact(s + i, found[doubtful]) <= eps * eps
+                    if inside.any():
+                        yield s + i, found[inside]
 
         def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"k": a["k"], "n": [len(found) for _, found in near(a, b)] if len(b) else 0})
+            met = [(i, len(found)) for i, found in near(a, b)]
+            return pd.DataFrame({"k": a["k"].to_numpy()[[i for i, _ in met]], "n": [n for _, n in met]})
 
         counted = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(count, f"k {kind}, n long")
         core = counted.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_samples).select("k").persist()
 
         def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             """Links that connect what links between core rows of a and b connect."""
-            root: dict = {}
-
-            def find(k):
-                while (up := root.get(k, k)) != k:
-                    k = up
-                return k
-
-            links, ks, os = [], a["k"].tolist(), b["o"].tolist()
-            for i, found in near(a, b) if len(b) else ():
-                for j in found.tolist():
-                    p, q = find(ks[i]), find(os[j])
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        links.append((ks[i], os[j]))
-            return pd.DataFrame(links, columns=["a", "b"])
+            nodes, at = np.unique(np.concatenate([a["k"].to_numpy(), b["o"].to_numpy()]), return_inverse=True)
+            root, own, other, links = np.arange(len(nodes)), at[: len(a)], at[len(a) :], []
+            for i, found in near(a, b):
+                js = other[found]
+                up = root[js]
+                while not np.array_equal(higher := root[up], up):
+                    up = higher
+                root[js] = up
+                mine = int(own[i])
+                while root[mine] != mine:
+                    mine = int(root[mine])
+                tops, first = np.unique(up, return_index=True)
+                if new := [(int(t), int(f)) for t, f in zip(tops, first, strict=True) if t != mine]:
+                    root[[mine, *(t for t, _ in new)]] = min(mine, new[0][0])
+                    links += [(own[i], js[f]) for _, f in new]
+            ends = np.array(links, dtype=int).reshape(-1, 2)
+            return pd.DataFrame({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
 
         cores = core.select(F.col("k").alias("o"))
         linked = left.join(core, "k", "left_semi").groupBy(*at).cogroup(right.join(cores, "o", "left_semi").groupBy(*at)).applyInPandas(forest, f"a {kind}, b {kind}")
@@ -306,7 +321,7 @@ class DBSCAN:
         def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             """The smallest cluster among each row's core neighbours."""
             clusters = b["c"].to_numpy()
-            best = [(i, clusters[found].min()) for i, found in near(a, b) if len(found)] if len(b) else []
+            best = [(i, clusters[found].min()) for i, found in near(a, b)]
             return pd.DataFrame({"k": a["k"].to_numpy()[[i for i, _ in best]], "c": [c for _, c in best]})
 
         edge = left.join(core, "k", "left_anti").groupBy(*at).cogroup(right.join(of_core.select(F.col("k").alias("o"), "c"), "o").groupBy(*at)).applyInPandas(border, f"k {kind}, c {kind}")

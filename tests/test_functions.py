@@ -1,6 +1,7 @@
 """Distribution functions, tests, metrics and models against numbers known in closed form or from numpy."""
 
 import math
+import time
 import tracemalloc
 
 import numpy as np
@@ -382,3 +383,33 @@ def test_neighbours_of_wide_rows_against_all_pairs(spark, metric):
         d = gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1))
         for rank, (distance, target) in enumerate(sorted(zip(d, np.arange(240) % 5, strict=True))[:4]):
             assert found[i, rank] == (pytest.approx(distance, abs=1e-12), target)
+
+
+@pytest.mark.parametrize("block", [30, 16_000])
+def test_density_clusters_of_wide_rows_with_copies(spark, monkeypatch, block):
+    """Twelve features, copies, and pairs at exactly eps, which a product of matrices alone cannot tell from farther ones."""
+    monkeypatch.setattr(models.DBSCAN, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(150, 12)) / 2, 2) * 4
+    x[30:60], x[60:80] = x[0], x[1] + 0.5 * (np.arange(12) == 3)
+    x[80:90] = x[1] - 0.5 * (np.arange(12) == 5)
+    x[90:92] = x[1] - (np.arange(12) == 5)
+    names = [f"f{i}" for i in range(12)]
+    rows = spark.createDataFrame([(i, *map(float, x[i])) for i in range(150)], "k long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.k: r.cluster for r in models.DBSCAN(names, 0.5, 4).fit_predict(rows, "k").collect()}
+    near = [[j for j in range(150) if ((x[i] - x[j]) ** 2).sum() <= 0.25] for i in range(150)]
+    core = [i for i in range(150) if len(near[i]) >= 4]
+    name = {i: i for i in core}
+    for _ in range(150):
+        for i in core:
+            name[i] = min(name[j] for j in near[i] if j in name)
+    assert got == {i: min((name[j] for j in near[i] if j in name), default=-1) for i in range(150)}
+    assert len({c for c in got.values() if c >= 0}) >= 2
+
+
+def test_density_clusters_of_many_copies_end(spark):
+    """Four thousand copies are sixteen million links, which a task meets a row at a time."""
+    rows = spark.range(4000).select(F.col("id").alias("k"), *(F.lit(float(i)).alias(f"f{i}") for i in range(10)))
+    began = time.monotonic()
+    got = models.DBSCAN([f"f{i}" for i in range(10)], 0.5, 4).fit_predict(rows, "k").groupBy("cluster").count().collect()
+    assert [tuple(r) for r in got] == [(0, 4000)] and time.monotonic() - began < 60
