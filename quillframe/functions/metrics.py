@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import pairwise
+from quillframe.functions.quantiles import quantiles
 from quillframe.plans import ordering
 
 INF = float("inf")
@@ -184,9 +185,15 @@ def mape(t, p) -> Column:
 
 
 def median_absolute_error(t, p) -> Column:
+    """For groups; it keeps each different error of a group in one buffer. ``median_error`` is for whole tables."""
     return F.median(F.abs(_error(t, p)))
 
 
+def median_error(df: DataFrame, t, p) -> float:
+    """The median absolute error of a table of any size; null without errors."""
+    return quantiles(df, {"error": F.abs(_error(t, p))}, (0.5,))["error"][0]
+
+
 def max_error(t, p) -> Column:
     return F.max(F.abs(_error(t, p)))
 

@@ -15,7 +15,7 @@ BUFFERED = 1_000_000
 BINS = 4_096
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], buffered: int = BUFFERED) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], buffered: int | None = None) -> dict[str, list[float | None]]:
     """name -> its quantiles, between neighbours by their distance; null for a column without values.
 
     A rank's value lies between two bounds, at first the least and the greatest value. Each pass counts the values
@@ -25,7 +25,9 @@ def quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], bu
     """
     rows = df.select(*(v.cast("double").alias(f"v{i}") for i, v in enumerate(columns.values())))
     ends = rows.agg(*(f(f"v{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max)))).first()
-    if max((ends[f"n{i}"] for i in range(len(columns))), default=0) <= buffered:
+    buffered = BUFFERED if buffered is None else buffered
+    endless = any(ends[f"n{i}"] and not math.isfinite(ends[f"{n}{i}"]) for i in range(len(columns)) for n in ("lo", "hi"))  # NaN, the greatest, or infinite: no bins
+    if endless or max((ends[f"n{i}"] for i in range(len(columns))), default=0) <= buffered:
         one = rows.agg(*(F.percentile(f"v{i}", F.array(*map(F.lit, qs))).alias(f"q{i}") for i in range(len(columns)))).first()
         return {name: list(one[f"q{i}"] or [None] * len(qs)) for i, name in enumerate(columns)}
     wanted = {(i, r) for i in range(len(columns)) for q in qs if ends[f"n{i}"] for r in (math.floor((ends[f"n{i}"] - 1) * q), math.ceil((ends[f"n{i}"] - 1) * q))}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillframe.errors import DataValidationError, InvalidParameterError
 from quillframe.functions import special
+from quillframe.functions.quantiles import grouped, quantiles
 from quillframe.operators.frame import Frame
 from quillframe.plans import ordering
 
@@ -75,6 +76,16 @@ def percentile(v, p: float | Sequence[float]) -> Column:
     return quantile(v, p / 100 if isinstance(p, (int, float)) else [x / 100 for x in p])
 
 
+def quantiles_of(df: DataFrame, v, q: Sequence[float]) -> list[float | None]:
+    """As quantile, of a whole table of any size, without a buffer of its values."""
+    return quantiles(df, {"v": _c(v)}, q)["v"]
+
+
+def percentiles_of(df: DataFrame, v, p: Sequence[float]) -> list[float | None]:
+    """As quantiles_of, in percent."""
+    return quantiles_of(df, v, [x / 100 for x in p])
+
+
 def geometric_mean(v) -> Column:
     """Of positive values; null if any is not."""
     return F.when(F.min(_c(v)) > 0, F.exp(F.avg(F.when(_c(v) > 0, F.ln(_c(v))))))
@@ -169,8 +180,9 @@ def bartlett(df: DataFrame, value: str, group: str) -> tuple[float, float]:
 
 
 def levene(df: DataFrame, value: str, group: str, center: str = "median") -> tuple[float, float]:
-    how = {"median": F.median, "mean": F.avg}[center]
-    mid = df.groupBy(group).agg(how(_c(value)).alias("__mid"))
+    if center not in ("median", "mean"):
+        raise InvalidParameterError("the center is median or mean", "center", center)
+    mid = grouped(df, [group], _c(value), (0.5,), ("__mid",)) if center == "median" else df.groupBy(group).agg(F.avg(_c(value)).alias("__mid"))
     away = df.join(mid, group).select(group, F.abs(_c(value) - F.col("__mid")).alias("__d"))
     return f_oneway(away, "__d", group)
 

@@ -133,8 +133,8 @@ def _row(t, statistic, digits=6):
 
 @query("percentile", "SELECT quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS p50 FROM orders")
 def percentile(t):
-    found = t.orders.agg(stats.percentile("o_totalprice", 90).alias("p90"), stats.percentile("o_totalprice", [25, 50]).alias("q"))
-    return found.select("p90", F.get("q", 0).alias("p25"), F.get("q", 1).alias("p50"))
+    p90, p25, p50 = stats.percentiles_of(t.orders, "o_totalprice", [90, 25, 50])
+    return t.region.sparkSession.createDataFrame([(p90, p25, p50)], "p90 double, p25 double, p50 double")
 
 
 @query("rank_data", "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS r FROM orders")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.functions.quantiles import quantiles
+
 
 def uniform(seed: int, low: float = 0.0, high: float = 1.0, key: str = "id") -> Column:
     """By a hash of a key and the seed, in (low, high): what rand() gives would depend on the partitions."""
@@ -101,5 +103,5 @@ def make_gaussian_quantiles(spark: SparkSession, n: int, features: int = 2, clas
     """One cloud, with labels by equal parts of its distance from the middle."""
     x = spark.range(n).select("id", *(normal(seed * 97 + j).alias(f"x{j}") for j in range(features)))
     r = sum((F.col(f"x{j}") * F.col(f"x{j}") for j in range(features)), F.lit(0.0))
-    cuts = x.agg(F.percentile(r, F.array(*(F.lit(k / classes) for k in range(1, classes))))).first()[0] if classes > 1 else []
+    cuts = quantiles(x, {"r": r}, [k / classes for k in range(1, classes)])["r"] if classes > 1 else []
     return x.withColumn("label", sum(((r >= float(c)).cast("int") for c in cuts), F.lit(0)))

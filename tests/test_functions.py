@@ -1,6 +1,7 @@
 """Distribution functions, tests, metrics and models against numbers known in closed form or from numpy."""
 
 import math
+import sys
 import time
 import tracemalloc
 
@@ -413,3 +414,29 @@ def test_density_clusters_of_many_copies_end(spark):
     began = time.monotonic()
     got = models.DBSCAN([f"f{i}" for i in range(10)], 0.5, 4).fit_predict(rows, "k").groupBy("cluster").count().collect()
     assert [tuple(r) for r in got] == [(0, 4000)] and time.monotonic() - began < 60
+
+
+def test_quantiles_of_whole_tables_need_no_buffer(spark, tmp_path, monkeypatch):
+    """Percentiles and the median error of more rows than a buffer may hold, without the aggregates that hold them."""
+
+    def refused(*_):
+        raise AssertionError("a buffer of all values")
+
+    rng = np.random.default_rng(7)
+    y, q = rng.normal(size=3000) * 1000, rng.integers(1, 50, 3000).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, q, strict=True)], "l_extendedprice double, l_quantity double")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows.select(F.col("l_extendedprice").alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/region.parquet")
+    module = sys.modules["quillframe.functions.quantiles"]
+    for at, name, value in ((module, "BUFFERED", 100), (F, "percentile", refused), (F, "median", refused)):
+        monkeypatch.setattr(at, name, value, raising=False)
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).first()
+    assert tuple(run("percentile")) == pytest.approx(np.percentile(y, [90, 25, 50]), rel=1e-12)
+    assert run("regression_scores").medae == pytest.approx(np.median(np.abs(y - 1000 * q)), abs=1e-4)
+    assert run("stats_summary").q == pytest.approx(np.quantile(q, 0.1))
+
+
+def test_quantiles_with_values_that_no_bins_hold(spark):
+    rows = spark.createDataFrame([(v,) for v in (1.0, 2.0, math.inf, math.nan)], "v double")
+    assert quantiles(rows, {"v": F.col("v")}, (0.0, 1 / 3), 2)["v"] == pytest.approx([1.0, 2.0])
