@@ -29,6 +29,9 @@ class Frame:
         if len(set(df.columns)) != len(df.columns):
             raise DataValidationError("duplicate column names")
         self.df, self.order, self.sorted_by = df, list(order), list(sorted_by)
+        #: the rows of a sorted df before the sort, and an order with the bounds of its buckets: both for what runs along the order
+        self._loose: DataFrame | None = None
+        self._cuts: tuple[list[str], list[tuple]] | None = None
 
     # -- shape and access -------------------------------------------------------------------------------------------
 
@@ -63,7 +66,21 @@ class Frame:
             else:  # the bytes of a text turned round; a digit beyond theirs ends it, as a longer text comes first
                 made[f"__key{i}"] = F.concat(F.translate(F.hex(own.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
         rest = [c for c in self.order if c not in [n for n, _ in self.sorted_by]]
-        return self.df.withColumns(made) if made else self.df, [*made, *rest]
+        df = self.df if self._loose is None else self._loose
+        return df.withColumns(made) if made else df, [*made, *rest]
+
+    def _bounds(self, df: DataFrame, order: list[str]) -> list[tuple]:
+        """Of the buckets of what _places gave; found once for frames of the same rows."""
+        if self._cuts is None or self._cuts[0] != order:
+            self._cuts = order, ordering.bounds_of(df, order)
+        return self._cuts[1]
+
+    def _same_rows(self, df: DataFrame, changed: str) -> Frame:
+        """A frame of the same rows, whose order stays if the changed column has no part in it."""
+        out = self._with(df)
+        if changed not in [*self.order, *(n for n, _ in self.sorted_by)]:
+            out._cuts = self._cuts
+        return out
 
     def _known(self, names: Sequence[str]) -> None:
         for n in names:
@@ -168,7 +185,7 @@ class Frame:
         while name in self.columns:
             name += "_1"
         df, order = self._places()
-        return self._with(ordering.numbered(df, order, name).select(name, *self.columns))
+        return self._same_rows(ordering.numbered(df, order, name, bounds=self._bounds(df, order)).select(name, *self.columns), name)
 
     def isnull(self) -> Frame:
         return self._with(self.df.select(*(F.col(c).isNull().alias(c) for c in self.columns)), [])
@@ -321,6 +338,7 @@ class Frame:
             columns.append(own.asc_nulls_last() if ascending else own.desc_nulls_last())
         again = Frame(self.df, self.order, [*((k, ascending) for k in keys), *(x for x in self.sorted_by if x[0] not in keys)])
         before, order = Frame(self.df, self.order, again.sorted_by[len(keys) :])._places()
+        again._loose = before.select(*self.columns)
         again.df = before.orderBy(*columns, *ordering.ascending([c for c in order if c not in keys])).select(*self.columns)
         return again
 
@@ -430,9 +448,9 @@ class Frame:
     def _running(self, name: str, how: str, into: str, partition_by: Sequence[str]) -> Frame:
         value = F.col(name)
         df, order = self._places()
-        done = ordering.running(df, order, {into: (value, how), "__nan": (F.isnan(value.cast("double")).cast("int"), "max")}, partition_by)
+        done = ordering.running(df, order, {into: (value, how), "__nan": (F.isnan(value.cast("double")).cast("int"), "max")}, partition_by, bounds=None if partition_by else self._bounds(df, order))
         out = F.when(F.col(name).isNull(), None).when((F.col("__nan") == 1), F.lit(float("nan"))).otherwise(F.col(into)) if isinstance(self._type(name), FRACTIONAL) else F.when(value.isNotNull(), F.col(into))
-        return self._with(done.withColumn(into, out).drop("__nan", *(c for c in order if c not in self.columns)))
+        return self._same_rows(done.withColumn(into, out).drop("__nan", *(c for c in order if c not in self.columns)), into)
 
     def cumsum(self, name: str, into: str = "cumsum", partition_by: Sequence[str] = ()) -> Frame:
         return self._running(name, "sum", into, partition_by)

@@ -42,17 +42,17 @@ def bounds_of(df: DataFrame, order: Sequence[str], buckets: int | None = None, s
     return bounds
 
 
-def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None, unique: bool = False, sample_by: Sequence[str] | None = None) -> DataFrame:
+def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None, unique: bool = False, sample_by: Sequence[str] | None = None, bounds: list[tuple] | None = None) -> DataFrame:
     """df with a bucket number that ascends with the order tuple, nulls first.
 
     Unless order tuples are known to be unique, rows of one tuple are told apart by a hash of all their columns, so
     that a very frequent tuple fills more than one bucket; with ``sample_by``, columns that tell rows apart for the
-    sample of bounds, rows of one tuple share a bucket.
+    sample of bounds, rows of one tuple share a bucket. ``bounds`` of unique tuples are taken as they are.
     """
     if not unique and not sample_by:
         tie = F.xxhash64(*(f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))))
         return bucketed(df.withColumn(TIE, tie), [*order, TIE], buckets, unique=True).drop(TIE)
-    bounds = bounds_of(df, order, buckets, sample_by)
+    bounds = bounds_of(df, order, buckets, sample_by) if bounds is None else bounds
     if not bounds:
         return df.withColumn(BUCKET, F.lit(0))
     kinds = [df.schema[c].dataType for c in order]
@@ -102,14 +102,14 @@ def _running_by_key(df: DataFrame, order: Sequence[str], outputs: dict[str, tupl
     return joined.withColumns(out).drop(BUCKET, "__at", *(f"__k{i}" for i in range(len(keys))), *(f"__b_{name}" for name in outputs))
 
 
-def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None, unique: bool = True) -> DataFrame:
+def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column, str]], partition_by: Sequence[str] = (), buckets: int | None = None, unique: bool = True, bounds: list[tuple] | None = None) -> DataFrame:
     """df with running aggregates, from the first row in order to each: name -> (value, one of AGGREGATE)."""
     if partition_by and not is_hot(df, partition_by):
         w = Window.partitionBy(*partition_by).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: AGGREGATE[how](value).over(w) for name, (value, how) in outputs.items()})
     if partition_by:
         return _running_by_key(df, order, outputs, partition_by, buckets)
-    cut = bucketed(df, order, buckets, unique)
+    cut = bucketed(df, order, buckets, unique, bounds=bounds)
     w = Window.partitionBy(BUCKET).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(BUCKET).agg(*(AGGREGATE[how](value).alias(f"__t_{name}") for name, (value, how) in outputs.items()))
     before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BUCKETS rows
@@ -120,9 +120,9 @@ def running(df: DataFrame, order: Sequence[str], outputs: dict[str, tuple[Column
     return joined.withColumns(out).drop(BUCKET, *(f"__b_{name}" for name in outputs))
 
 
-def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int | None = None, unique: bool = True) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], into: str = ORD, buckets: int | None = None, unique: bool = True, bounds: list[tuple] | None = None) -> DataFrame:
     """df with the position of each row, from 0."""
-    return running(df, order, {into: (F.lit(1), "count")}, buckets=buckets, unique=unique).withColumn(into, F.col(into) - 1)
+    return running(df, order, {into: (F.lit(1), "count")}, buckets=buckets, unique=unique, bounds=bounds).withColumn(into, F.col(into) - 1)
 
 
 def around(df: DataFrame, order: Sequence[str], back: int, ahead: int, columns: Callable[[Window], dict[str, Column]], partition_by: Sequence[str] = ()) -> DataFrame:

@@ -153,3 +153,18 @@ def test_columns_as_series_and_arrays(spark):
     with pytest.raises(DataValidationError):
         f.set_index("s")
     assert f.set_index("i").order == ["i"]
+
+
+def test_running_values_of_a_sorted_frame_do_not_sort_it_all_and_find_bounds_once(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 50)
+    found = []
+    monkeypatch.setattr(ordering, "bounds_of", lambda *a, f=ordering.bounds_of: found.append(a) or f(*a))
+    rows = [(i, "abc"[i % 3], i * 37 % 211) for i in range(400)]
+    f = Frame(spark.createDataFrame(rows, "k long, name string, v long"), ["k"]).sort(["name", "v"], False).reset_index("at").cumsum("v", "total")
+    assert len(found) == 1 and "rangepartitioning" not in f.df._jdf.queryExecution().executedPlan().toString()
+    want, total = {}, 0
+    placed = sorted(rows, key=lambda r: (-ord(r[1]), -r[2], r[0]))
+    for at, (k, _, v) in enumerate(placed):
+        total += v
+        want[k] = (at, total)
+    assert {r.k: (r["at"], r.total) for r in f.df.collect()} == want
